@@ -1,39 +1,63 @@
-"""A training-data pipeline over ``documents``; its stages call operators of lodegraph.llm."""
+"""A training-data pipeline over ``documents``; its stages call operators of lodegraph.llm.
+
+Every stage takes all rows that its predecessor kept. Rows without a doc_id are kept by the stages that compare documents, since
+nothing can refer to them.
+"""
 
 from __future__ import annotations
 
 import public_tokenizers as P
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lodegraph.llm import bpe, common, pii
+from lodegraph.llm import bpe, common, decontaminate, jaccard, pii, quality
 
+LEAST_QUALITY = 0.3
 
-def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """PII: personal data and terms that disclose it are replaced by placeholders; n_chars follows the text."""
-    from pyspark.sql import functions as F
 
-    found = common.materialise(pii.find(docs, ("doc_id",)), "pipeline-pii")
-    all_spans = pii.with_all_spans(found, docs)
-    hit = all_spans.where("size(all_spans) > 0").select("doc_id", "all_spans")
-    clean = pii.sanitise(docs.join(hit, "doc_id", "left").select(*docs.columns, "all_spans"))
-    return clean.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Quality classifier: documents that score below LEAST_QUALITY go."""
+    field = quality.learn(docs, quality.training_labels(common.table(spark, sf_dir, "labels")))
+    if field is None:
+        return docs
+    columns = [c for c in docs.columns if c != "score"]
+    return quality.score(docs, field, columns).where(F.col("score") >= LEAST_QUALITY).select(docs.columns)
+
+
+def no_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """N-gram Jaccard join on five-word shingles from 0.8: the least doc_id of each group stays."""
+    named = jaccard.groups(docs, 5, 4, 5)
+    copies = common.materialise(named.where("component_id <> doc_id").select("doc_id").distinct(), "stage-copies")
+    return docs.join(copies, "doc_id", "left_anti").select(docs.columns)
+
+
+def no_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Benchmark decontamination: documents that hold a benchmark item go."""
+    found = decontaminate.matches(docs, common.table(spark, sf_dir, "benchmark"))
+    leaks = common.materialise(found.select("doc_id").distinct(), "stage-leaks")
+    return docs.join(leaks, "doc_id", "left_anti").select(docs.columns)
+
+
+def no_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """PII: personal data and terms that disclose it are replaced by placeholders; n_chars follows the text."""
+    found = common.materialise(pii.find(docs), "stage-pii")
+    hit = common.materialise(pii.with_all_spans(found, docs).where("size(all_spans) > 0").groupBy("doc_id").agg(F.first("all_spans").alias("all_spans")), "stage-spans")
+    return pii.sanitise(docs.join(hit, "doc_id", "left").select(*docs.columns, "all_spans")).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Byte-level BPE: the ids of every text, and whether they decode to it."""
-    from pyspark.sql import functions as F
-
     out = bpe.encode(docs, P.path(bpe.VOCABULARY), P.PATTERN, ("doc_id", "lang", "source", "text"))
     return out.select("doc_id", "lang", "source", "n_tokens", "token_ids", (F.coalesce("text", F.lit("")).cast("binary") == F.col("decoded")).alias("round_trip"))
 
 
-STAGES = [("pii", personal_data), ("bpe", encoded)]
-ORACLE_SQL = None
+STAGES = [("quality", good_quality), ("near copies", no_near_copies), ("decontamination", no_leaks), ("personal data", no_personal_data), ("encoding", encoded)]
+ORACLE_SQL = None  # the classifier, the personal data and the encoding aren't SQL
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages applied to documents, each stage's rows written as Parquet and read again."""
     docs = common.table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = common.materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+        docs = common.materialise(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
     return STAGES[-1][1](spark, docs, sf_dir)

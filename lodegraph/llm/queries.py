@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 from .bpe import op7_bpe
+from .decontaminate import op3_decontaminate
 from .fertility import op10_fertility
+from .jaccard import op8_jaccard
 from .langid import op1_langid
+from .lmscore import op6_lm_score
 from .pii import op4_pii
+from .quality import op2_quality
+from .substring import op5_substring
 from .wordpiece import op9_token_counts
 
-QUERIES = {f.__name__: f for f in (op1_langid, op4_pii, op7_bpe, op9_token_counts, op10_fertility)}
+QUERIES = {f.__name__: f for f in (op1_langid, op2_quality, op3_decontaminate, op4_pii, op5_substring, op6_lm_score, op7_bpe, op8_jaccard, op9_token_counts, op10_fertility)}
 ORACLE_SQL: dict[str, str] = {}
