@@ -1,0 +1,4 @@
+"""Streams. The query language is one-shot over a static graph, so there is nothing here but this note.
+
+A stream of N-Triples lines can be parsed with ``sources.ntriples.parse_lines``, which is a plain DataFrame transformation.
+"""
