@@ -40,9 +40,12 @@ def no_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def no_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """PII: personal data and terms that disclose it are replaced by placeholders; n_chars follows the text."""
-    found = common.materialise(pii.find(docs), "stage-pii")
-    hit = common.materialise(pii.with_all_spans(found, docs).where("size(all_spans) > 0").groupBy("doc_id").agg(F.first("all_spans").alias("all_spans")), "stage-spans")
-    return pii.sanitise(docs.join(hit, "doc_id", "left").select(*docs.columns, "all_spans")).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+    keyed = pii.with_key(docs)
+    found = common.materialise(pii.find(keyed, (pii.KEY,)), "stage-pii")
+    spans = pii.with_all_spans(found, keyed, pii.KEY).where("size(all_spans) > 0").groupBy(pii.KEY).agg(F.first("all_spans").alias("all_spans"))
+    hit = common.materialise(spans, "stage-spans")
+    clean = pii.sanitise(keyed.join(hit, pii.KEY, "left").select(*docs.columns, "all_spans"))
+    return clean.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

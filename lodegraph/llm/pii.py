@@ -8,8 +8,9 @@ with t, and c(t,e) of texts with t in e's context; 1 means that t tells e for ce
 a pair estimates nothing). Disclosing terms are generalised: in e's contexts they become spans of kind ``term``.
 
 Matches are leftmost and don't overlap within a kind; one that fails its check is dropped, and the search goes on behind it.
-Null texts are empty. Texts in which nothing is found have no spans; repeated rows are judged alike; rows without a key keep
-their base spans and take part in no statistics. Offsets count code points.
+Null texts are empty. Texts in which nothing is found have no spans; repeated rows are judged alike, and count once. Rows whose
+key is null keep their base spans and take part in no statistics; ``with_key`` makes a key that is never null. Offsets count
+code points.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ from pyspark.sql import functions as F
 from . import common as C
 
 KINDS = ("email", "ip", "card", "phone")
+KEY = "pii_key"
 LOCAL_SET = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
 # a match can start inside a run of digits only if it could start before it
@@ -128,19 +130,26 @@ def find(df: DataFrame, keep=("doc_id",), text: str = "text", reach: int = 6) ->
 
 
 def disclosing(found: DataFrame, docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.8, support: int = 3) -> DataFrame:
-    """(entity, term) pairs that disclose too much. ``found`` is ``find``'s result, stored."""
+    """(entity, term) pairs that disclose too much, as a stored table. ``found`` is ``find``'s result, stored.
+
+    The threshold bounds c(t) from above, and the texts that have t in some context bound it from below: pairs that these two
+    rule out need no count of t over the corpus. So only words that are rare near entities are counted in all texts.
+    """
     pairs = found.where(F.col(key).isNotNull()).select(key, F.explode("contexts").alias("x")).select(key, "x.entity", "x.seal", F.explode_outer("x.terms.term").alias("term"))
     seen = pairs.where("term is not null").groupBy("entity", "term").agg(F.countDistinct("seal").alias("n_contexts"), F.countDistinct(key).alias("c_te")).where(F.col("n_contexts") >= support)
-    seen = C.materialise(seen, "pii-pairs")
-    if seen.isEmpty():
-        return seen.select("entity", "term")
     n = docs.count()
-    c_e = pairs.groupBy("entity").agg(F.countDistinct(key).alias("c_e"))
+    c_e = pairs.groupBy("entity").agg(F.countDistinct(key).alias("c_e")).where(F.col("c_e") < n)
+    at_least = pairs.where("term is not null").groupBy("term").agg(F.countDistinct(key).alias("c_least"))
+
+    def strength(c_t: str):
+        return F.log(n * F.col("c_te") / (F.col(c_t) * F.col("c_e"))) / F.log(n / F.col("c_e"))
+
+    open_pairs = C.materialise(seen.join(c_e, "entity").join(at_least, "term").where(strength("c_least") >= threshold).drop("c_least"), "pii-pairs")
+    if open_pairs.isEmpty():
+        return open_pairs.select("entity", "term")
     words = docs.where(F.col(key).isNotNull()).select(key, F.explode(F.array_distinct(F.transform(F.split(F.lower(F.col(text)), "[\\x20\\x09-\\x0D]+"), lambda w: F.btrim(w, F.lit(EDGES))))).alias("term"))
-    c_t = words.join(seen.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.countDistinct(key).alias("c_t"))
-    scored = seen.join(c_e, "entity").join(c_t, "term")
-    strength = F.log(n * F.col("c_te") / (F.col("c_t") * F.col("c_e"))) / F.log(n / F.col("c_e"))
-    return scored.where((F.col("c_e") < n) & (strength >= threshold)).select("entity", "term")
+    c_t = words.join(open_pairs.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.countDistinct(key).alias("c_t"))
+    return C.materialise(open_pairs.join(c_t, "term").where(strength("c_t") >= threshold).select("entity", "term"), "pii-terms")
 
 
 def extra_spans(found: DataFrame, pairs: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -182,6 +191,11 @@ def with_all_spans(found: DataFrame, docs: DataFrame, key: str = "doc_id", **lim
     return found.join(more, key, "left").withColumn("all_spans", F.concat("spans", terms)).drop("terms")
 
 
+def with_key(docs: DataFrame) -> DataFrame:
+    """A key of a row's doc_id and text, never null, so that rows with one doc_id and several texts are told apart."""
+    return docs.withColumn(KEY, F.xxhash64("doc_id", "text"))
+
+
 def count_kind(spans: str, kind: str):
     return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
 
@@ -191,8 +205,8 @@ def digest(spans: str):
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = C.table(spark, sf_dir, "documents")
-    found = C.materialise(find(docs), "pii")
-    out = with_all_spans(found, docs)
+    docs = with_key(C.table(spark, sf_dir, "documents"))
+    found = C.materialise(find(docs, ("doc_id", KEY)), "pii")
+    out = with_all_spans(found, docs, KEY)
     counts = [count_kind("spans", k).alias(f"n_{k}") for k in KINDS]
     return out.select("doc_id", *counts, F.sha2(digest("spans"), 256).alias("base_sha256"), digest("all_spans").alias("spans"))
