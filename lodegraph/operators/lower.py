@@ -39,17 +39,15 @@ def natural(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame:
     return left.crossJoin(right)
 
 
-def of_plan(plan: P.Plan, source: Source) -> DataFrame:
+def of_plan(plan: P.Plan, read: Callable[[P.Unit], DataFrame]) -> DataFrame:
     match plan:
         case P.Scan(unit):
-            return source.matches(unit)
-        case P.Nothing(names):
-            return none(source.spark, sorted(names))
+            return read(unit)
         case P.Star(parts):
             # one key, so Spark partitions every input once
-            return reduce(natural, (of_plan(p, source) for p in parts))
+            return reduce(natural, (of_plan(p, read) for p in parts))
         case P.Joined(left, right, how):
-            a, b = of_plan(left, source), of_plan(right, source)
+            a, b = of_plan(left, read), of_plan(right, read)
             if how == "filter":
                 # the set has one variable and no repeats (a graph is a set), so no row is multiplied
                 return natural(a, F.broadcast(b), "left_semi")
@@ -116,8 +114,11 @@ class Lowering:
             case A.One():
                 return one(self.source.spark)
             case A.Pattern():
-                df = of_plan(self.plan(node), self.source)
-                return df.select(*map(column, node.possible))
+                plan = self.plan(node)
+                if isinstance(plan, P.Nothing):
+                    return none(self.source.spark, node.possible)
+                read, terms = self.source.reader(self.source.units(node.triples))
+                return of_plan(plan, read).select(*((terms[n].alias(n) if n in terms else column(n)) for n in node.possible))
             case A.Join(left, right):
                 return compatible(self.lower(left), self.lower(right), left.certain & right.certain, "inner")
             case A.LeftJoin(left, right, tests):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -60,6 +60,10 @@ class Source:
         """The pattern cut into what is read at once."""
         return [Unit((t,)) for t in triples]
 
+    def reader(self, units: Sequence[Unit]) -> tuple[Callable[[Unit], DataFrame], dict[str, Column]]:
+        """How to read the units of one pattern, and, for variables that stand for something shorter in what is read, their terms."""
+        return self.matches, {}
+
     def matches(self, unit: Unit) -> DataFrame:
         """One column for each variable of the unit."""
         (t,) = unit.triples

@@ -9,7 +9,7 @@ no join; constants are turned back into column values, which Spark pushes down t
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions import terms as T
 from ..plans.planner import Unit
-from ..plans.syntax import Atom, Term, Triple
+from ..plans.syntax import Atom, Term, Triple, Var
 from .base import TRIPLES, Source, positions
 
 ROW, CLASS, PREDICATE = "urn:r:", "urn:c:", "urn:p:"
@@ -84,6 +84,11 @@ class MappedSource(Source):
             return T.to_iri(f"{ROW}{self.tables[a.table].references[a.column]}/", F.col(a.column))
         return T.to_literal(F.col(a.column), a.datatype)
 
+    def _with_subject(self, table: str, df: DataFrame) -> DataFrame:
+        """Rows without a key are no subjects; several key columns always give one."""
+        key = self.tables[table].key
+        return df.where(F.col(key[0]).isNotNull()) if len(key) == 1 else df
+
     def _is_whole(self, table: str, column: str) -> bool:
         return dict(self.tables[table].table.dtypes)[column] in ("tinyint", "smallint", "int", "bigint")
 
@@ -125,14 +130,14 @@ class MappedSource(Source):
     def scan(self, predicate: str) -> DataFrame:
         frames = []
         for a in self.access.get(predicate, ()):
-            t = self.tables[a.table].table
+            t = self._with_subject(a.table, self.tables[a.table].table)
             frames.append((t.where(F.col(a.column).isNotNull()) if a.column else t).select(self._subject(a.table).alias("s"), self._object(a).alias("o")))
         return self._union(frames, "s string, o string")
 
     def _rows_of(self, table: str) -> DataFrame:
         """(s, p, o) of one table in one scan."""
         pairs = [F.struct(F.lit(p).alias("p"), self._object(a).alias("o")) for p, found in self.access.items() for a in found if a.table == table]
-        rows = self.tables[table].table.select(self._subject(table).alias("s"), F.explode(F.array(*pairs)).alias("x"))
+        rows = self._with_subject(table, self.tables[table].table).select(self._subject(table).alias("s"), F.explode(F.array(*pairs)).alias("x"))
         return rows.select("s", "x.p", "x.o").where("o IS NOT NULL")
 
     def scan_all(self) -> DataFrame:
@@ -154,40 +159,87 @@ class MappedSource(Source):
                 out.append([t])
         return [Unit(tuple(x)) for x in out]
 
-    def matches(self, unit: Unit) -> DataFrame:
+    def _tables_of(self, unit: Unit) -> list[tuple[str, list[tuple[Triple, _Access]]]]:
+        """The tables whose rows can match a star, and how each of its patterns is read from them."""
         triples = unit.triples
-        if not isinstance(triples[0].p, Term):
-            return self._any_predicate(triples[0])
-        names = list(dict.fromkeys(n for t in triples for n in t.variables()))
         by_table: dict[str, list[tuple[Triple, _Access]]] = {}
         for t in triples:
             for a in self.access.get(t.p.text, ()):
                 by_table.setdefault(a.table, []).append((t, a))
-        frames = []
+        out = []
         for table, pairs in by_table.items():
-            if len(pairs) == len(triples) and not (isinstance(triples[0].s, Term) and not triples[0].s.text.startswith(f"<{ROW}{table}/")):
-                if not any(a.kind == "type" and isinstance(t.o, Term) and t.o.text != T.iri(CLASS + table) for t, a in pairs):
-                    frames.append(self._star(table, pairs, names))
+            elsewhere = isinstance(triples[0].s, Term) and not triples[0].s.text.startswith(f"<{ROW}{table}/")
+            other_type = any(a.kind == "type" and isinstance(t.o, Term) and t.o.text != T.iri(CLASS + table) for t, a in pairs)
+            if len(pairs) == len(triples) and not elsewhere and not other_type:
+                out.append((table, pairs))
+        return out
+
+    def _key_type(self, table: str) -> str | None:
+        """The type of keys that can stand for a table's rows: of one column, whole numbers or strings."""
+        m = self.tables.get(table)
+        if m is None or len(m.key) != 1:
+            return None
+        return "bigint" if self._is_whole(table, m.key[0]) else "string" if dict(m.table.dtypes)[m.key[0]] == "string" else None
+
+    def _rows_named(self, units: Sequence[Unit]) -> dict[str, str]:
+        """Variables that are rows of one table wherever they occur in the pattern, with that table.
+
+        They are joined by the table's key instead of the row's IRI.
+        """
+        seen: dict[str, set[str | None]] = {}
+        for unit in units:
+            found = self._tables_of(unit) if isinstance(unit.triples[0].p, Term) else []
+            if len(found) != 1:
+                for n in unit.variables:
+                    seen.setdefault(n, set()).add(None)
+                continue
+            table, pairs = found[0]
+            if isinstance(pairs[0][0].s, Var):
+                seen.setdefault(pairs[0][0].s.name, set()).add(table)
+            for t, a in pairs:
+                if isinstance(t.o, Var):
+                    target = self.tables[table].references[a.column] if a.kind == "reference" else None
+                    same = target is not None and self._key_type(target) == ("bigint" if self._is_whole(table, a.column) else dict(self.tables[table].table.dtypes)[a.column])
+                    seen.setdefault(t.o.name, set()).add(target if same else None)
+        return {n: tables.copy().pop() for n, tables in seen.items() if len(tables) == 1 and None not in tables and self._key_type(next(iter(tables)))}
+
+    def reader(self, units: Sequence[Unit]) -> tuple[Callable[[Unit], DataFrame], dict[str, Column]]:
+        rows = self._rows_named(units)
+        return (lambda unit: self.matches(unit, rows)), {n: T.to_iri(f"{ROW}{table}/", F.col(f"`{n}`")) for n, table in rows.items()}
+
+    def matches(self, unit: Unit, rows: dict[str, str] | None = None) -> DataFrame:
+        """``rows``: variables to be given as keys of their table (see _rows_named)."""
+        triples = unit.triples
+        if not isinstance(triples[0].p, Term):
+            return self._any_predicate(triples[0])
+        names = list(dict.fromkeys(n for t in triples for n in t.variables()))
+        frames = [self._star(table, pairs, names, rows or {}) for table, pairs in self._tables_of(unit)]
         return self._union(frames, ", ".join(f"`{n}` string" for n in names)) if names or frames else self.spark.range(0).select()
 
-    def _star(self, table: str, pairs: list[tuple[Triple, _Access]], names: list[str]) -> DataFrame:
+    def _star(self, table: str, pairs: list[tuple[Triple, _Access]], names: list[str], rows: dict[str, str]) -> DataFrame:
         df = self.tables[table].table
         subject = pairs[0][0].s
         bound: dict[str, Column] = {}
+
+        def key(name: str, column: str) -> Column:
+            return F.col(column).cast(self._key_type(rows[name]))
+
         if isinstance(subject, Term):
             df = df.where(self._subject_is(table, subject.text))
         else:
-            bound[subject.name] = self._subject(table)
+            bound[subject.name] = key(subject.name, self.tables[table].key[0]) if subject.name in rows else self._subject(table)
+        df = self._with_subject(table, df)
         for t, a in pairs:
             if isinstance(t.o, Term):
                 df = df.where(self._object_is(a, t.o.text))
                 continue
             if a.column:
                 df = df.where(F.col(a.column).isNotNull())
+            value = key(t.o.name, a.column) if t.o.name in rows else self._object(a)
             if t.o.name in bound:
-                df = df.where(bound[t.o.name] == self._object(a))
+                df = df.where(bound[t.o.name] == value)
             else:
-                bound[t.o.name] = self._object(a)
+                bound[t.o.name] = value
         return df.select(*(bound[n].alias(n) for n in names))
 
     def _any_predicate(self, t: Triple) -> DataFrame:
@@ -196,7 +248,7 @@ class MappedSource(Source):
             tables = [x for x in tables if t.s.text.startswith(f"<{ROW}{x}/")]
         frames = []
         for table in tables:
-            rows = self.tables[table].table
+            rows = self._with_subject(table, self.tables[table].table)
             if isinstance(t.s, Term):
                 rows = rows.where(self._subject_is(table, t.s.text))
             pairs = [F.struct(F.lit(p).alias("p"), self._object(a).alias("o")) for p, found in self.access.items() for a in found if a.table == table]
