@@ -97,6 +97,34 @@ def hash_memo(seed: int = 0) -> Memo:
     return Memo(lambda w: digest(w, seed))
 
 
+class WordTable:
+    """Numbers words, and keeps two independent 64-bit hashes of each; it is emptied when full."""
+
+    def __init__(self, limit: int = CACHE_ENTRIES):
+        self.limit, self.number = limit, {}
+        self.hashes = np.zeros((2, 1024), np.uint64)
+
+    def _add(self, new: list[bytes]) -> None:
+        start = len(self.number)
+        self.number.update(zip(new, range(start, start + len(new))))
+        while self.hashes.shape[1] < len(self.number):
+            self.hashes = np.concatenate([self.hashes, np.zeros_like(self.hashes)], axis=1)
+        digest = xxhash.xxh3_64_intdigest
+        for row in (0, 1):
+            self.hashes[row, start : len(self.number)] = np.fromiter((digest(w, row) for w in new), np.uint64, len(new))
+
+    def of(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Both hashes of every word."""
+        new = list(set(words).difference(self.number))
+        if new:
+            if len(self.number) + len(new) > self.limit and self.number:
+                self.number = {}
+                new = list(set(words))
+            self._add(new)
+        at = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
+        return self.hashes[0][at], self.hashes[1][at]
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values (the finaliser of splitmix64)."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

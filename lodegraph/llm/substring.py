@@ -25,10 +25,11 @@ empty batch gives an empty result.
 from __future__ import annotations
 
 import uuid
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
-from numpy.lib.stride_tricks import sliding_window_view
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -55,24 +56,52 @@ class Powers:
                 self.up, self.down = (np.cumprod(np.array([1] + [x] * (n - 1), np.uint64), dtype=np.uint64) for x in (self.base, self.inverse))
 
 
-class Text:
-    """Words of a text, their hashes, and the anchors with the windows that each stands for."""
+def _leftmost_least(x: np.ndarray, span: int) -> np.ndarray:
+    """Place of the least of each ``span`` consecutive values, the leftmost of equals."""
+    value, place, have = x, np.arange(len(x)), 1
 
-    def __init__(self, text: bytes, memos: tuple[C.Memo, C.Memo], powers: Powers):
-        self.words = text.split()
+    def both(shift: int) -> tuple[np.ndarray, np.ndarray]:
+        n = len(value) - shift
+        right = value[shift:] < value[:n]
+        return np.where(right, value[shift:], value[:n]), np.where(right, place[shift:], place[:n])
+
+    while 2 * have <= span:
+        value, place = both(have)
+        have *= 2
+    if have < span:
+        value, place = both(span - have)
+    return place
+
+
+class Piece:
+    """The words of several texts in a row, and the anchors of their windows.
+
+    ``at``, ``first`` and ``last`` are the places of each anchor and of the first and last window that it stands for, among the
+    words of all texts; ``begin`` and ``count`` are the first word and the number of words of each text.
+    """
+
+    def __init__(self, texts: list[bytes], table: C.WordTable, powers: Powers):
+        parts = [t.split() for t in texts]
+        self.words = [w for p in parts for w in p]
+        self.count = np.array([len(p) for p in parts], np.int64)
+        self.begin = np.cumsum(self.count) - self.count
+        self.doc = np.repeat(np.arange(len(texts)), self.count)
         n = len(self.words)
-        none = np.zeros(0, np.int64)
-        self.at = self.first = self.last = none  # anchor's place, first and last window of each anchor
+        self.one, self.two = table.of(self.words)
+        self.at = self.first = self.last = np.zeros(0, np.int64)
         self.h = self.g = np.zeros(0, np.uint64)
         if n < WINDOW:
             return
-        self.one, self.two = (C.word_hashes(self.words, m) for m in memos)
         runs = C.rolling(self.one, ANCHOR)
-        place = sliding_window_view(runs, SPAN).argmin(axis=1) + np.arange(n - WINDOW + 1)
+        place = _leftmost_least(runs, SPAN)[: n - WINDOW + 1]
+        start = np.flatnonzero(self.doc[: n - WINDOW + 1] == self.doc[WINDOW - 1 :])  # windows that lie in one text
+        if not len(start):
+            return
+        place = place[start]
         change = np.flatnonzero(np.diff(place))
-        self.first = np.concatenate([[0], change + 1])
-        self.last = np.concatenate([change, [len(place) - 1]])
-        self.at = place[self.first]
+        self.first = start[np.concatenate([[0], change + 1])]
+        self.last = start[np.concatenate([change, [len(place) - 1]])]
+        self.at = place[np.concatenate([[0], change + 1])]
         self.h = runs[self.at]
         powers.upto(n + 1)
         with np.errstate(over="ignore"):
@@ -81,14 +110,27 @@ class Text:
             shape = (self.at - self.first) * 64 + (self.last - self.first)
             self.g = C.mix(whole + C.mix(shape.astype(np.uint64) + C.ODD))
 
-    def windows(self, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Places and the two hashes of the windows of anchor k."""
-        a, b = int(self.first[k]), int(self.last[k]) + 1
-        return np.arange(a, b), C.rolling(self.one[a : b + WINDOW - 1], WINDOW), C.rolling(self.two[a : b + WINDOW - 1], WINDOW)
+    def windows(self, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the windows of these anchors, and for each its position in ``k``."""
+        many = self.last[k] - self.first[k] + 1
+        which = np.repeat(np.arange(len(k)), many)
+        return np.arange(len(which)) - np.repeat(np.cumsum(many) - many, many) + self.first[k][which], which
 
+    def find(self, doc: np.ndarray, at: np.ndarray, g: np.ndarray) -> np.ndarray:
+        """Numbers of the anchors at these places of these texts that have the fingerprint g; -1 where there is none."""
+        if not len(self.at):
+            return np.full(len(doc), -1)
+        place = self.begin[doc] + at
+        k = np.minimum(np.searchsorted(self.at, place), len(self.at) - 1)
+        return np.where((self.at[k] == place) & (self.doc[self.at[k]] == doc) & (self.g[k].view(np.int64) == g), k, -1)
 
-def _tools() -> tuple[tuple[C.Memo, C.Memo], Powers]:
-    return (C.hash_memo(1), C.hash_memo(2)), Powers()
+
+def _listed(batch: pa.RecordBatch, name: str, *fields: str) -> tuple[np.ndarray, ...]:
+    """A column of arrays of structs as flat arrays: the row of each entry, then its fields. Null is empty."""
+    lists = C.column(batch, name)
+    rows = pc.list_parent_indices(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+    entries = pc.list_flatten(lists)
+    return rows, *(entries.field(f).to_numpy(zero_copy_only=False) for f in fields)
 
 
 ENTRY = "h long, g long, doc long, at int, known boolean"
@@ -101,21 +143,16 @@ def entries(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     """
 
     def run(batches):
-        memos, powers = _tools()
+        table, powers = C.WordTable(), Powers()
         for batch in C.chunks(batches, text):
-            h, g, doc, at = [], [], [], []
-            for t, i in zip(C.as_bytes(batch, text), C.column(batch, key).to_pylist()):
-                x = Text(t, memos, powers)
-                if len(x.at):
-                    h.append(x.h)
-                    g.append(x.g)
-                    doc.append(np.full(len(x.at), i, np.int64))
-                    at.append(x.at)
-            if not h:
+            x = Piece(C.as_bytes(batch, text), table, powers)
+            if not len(x.at):
                 continue
-            h, g, doc, at = map(np.concatenate, (h, g, doc, at))
+            keys = C.column(batch, key).cast(pa.int64()).to_numpy(zero_copy_only=False)
+            row = x.doc[x.at]
+            h, g, doc, at = x.h, x.g, keys[row], (x.at - x.begin[row]).astype(np.int32)
             order = np.lexsort((at, doc, g, h))
-            h, g, doc, at = h[order], g[order], doc[order], at[order].astype(np.int32)
+            h, g, doc, at = h[order], g[order], doc[order], at[order]
             head = np.ones(len(h), bool)
             head[1:] = (h[1:] != h[:-1]) | (g[1:] != g[:-1])
             top = np.maximum.accumulate(np.where(head, np.arange(len(h)), 0))
@@ -133,24 +170,19 @@ def expand(texts: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     """Windows of the anchors in ``wanted`` (array of struct<at, g>): (w, v, doc, at, seq)."""
 
     def run(batches):
-        memos, powers = _tools()
+        table, powers = C.WordTable(), Powers()
         for batch in C.chunks(batches, text):
-            w, v, doc, at, seq = [], [], [], [], []
-            for t, i, s, wanted in zip(C.as_bytes(batch, text), C.column(batch, key).to_pylist(), C.column(batch, "seq").to_pylist(), C.column(batch, "wanted").to_pylist()):
-                x = Text(t, memos, powers)
-                g = x.g.view(np.int64)
-                for p in wanted:
-                    k = int(np.searchsorted(x.at, p["at"]))
-                    if k < len(x.at) and x.at[k] == p["at"] and g[k] == p["g"]:
-                        places, one, two = x.windows(k)
-                        w.append(one)
-                        v.append(two)
-                        at.append(places)
-                        doc.append(np.full(len(places), i, np.int64))
-                        seq.append(np.full(len(places), s, np.int32))
-            if w:
-                w, v, doc, at, seq = map(np.concatenate, (w, v, doc, at, seq))
-                yield pa.RecordBatch.from_arrays([C.signed(w), C.signed(v), pa.array(doc), pa.array(at.astype(np.int32)), pa.array(seq)], names=["w", "v", "doc", "at", "seq"])
+            x = Piece(C.as_bytes(batch, text), table, powers)
+            k = x.find(*_listed(batch, "wanted", "at", "g"))
+            k = np.unique(k[k >= 0])
+            if not len(k):
+                continue
+            place, _ = x.windows(k)
+            row = x.doc[place]
+            keys = C.column(batch, key).cast(pa.int64()).to_numpy(zero_copy_only=False)
+            seq = C.column(batch, "seq").to_numpy(zero_copy_only=False)
+            w, v = (C.rolling(h, WINDOW)[place] for h in (x.one, x.two))
+            yield pa.RecordBatch.from_arrays([C.signed(w), C.signed(v), pa.array(keys[row]), pa.array((place - x.begin[row]).astype(np.int32)), pa.array(seq[row])], names=["w", "v", "doc", "at", "seq"])
 
     return texts.mapInArrow(run, StructType.fromDDL("w long, v long, doc long, at int, seq int"))
 
@@ -163,38 +195,40 @@ def removal(texts: DataFrame, keep: tuple[str, ...], text: str = "text") -> Data
     """
 
     def make():
-        memos, powers = _tools()
+        table, powers = C.WordTable(), Powers()
 
         def run(batch: pa.RecordBatch) -> dict[str, pa.Array]:
+            texts = C.as_bytes(batch, text)
+            doc, at, f, whole = _listed(batch, "marks", "at", "f", "whole")
+            marked = np.unique(doc)  # only texts with marks are hashed
+            x = Piece([texts[i] for i in marked.tolist()], table, powers)
+            doc = np.searchsorted(marked, doc)
+            whole = whole.astype(bool)
+            edge = np.zeros(len(x.words) + 1, np.int64)
+            k = x.find(doc[whole], at[whole], f[whole])
+            k = k[k >= 0]
+            np.add.at(edge, x.first[k], 1)
+            np.add.at(edge, x.last[k] + WINDOW, -1)
+            place, hashes = x.begin[doc[~whole]] + at[~whole], C.rolling(x.one, WINDOW).view(np.int64)
+            inside = at[~whole] + WINDOW <= x.count[doc[~whole]]
+            place, wanted = place[inside], f[~whole][inside]
+            place = place[hashes[place] == wanted]
+            np.add.at(edge, place, 1)
+            np.add.at(edge, place + WINDOW, -1)
+            stays = (np.cumsum(edge)[:-1] == 0).tolist()
             words, gone, left = [], [], []
-            for t, marks in zip(C.as_bytes(batch, text), C.column(batch, "marks").to_pylist()):
-                if not marks:
+            of = dict(zip(marked.tolist(), range(len(marked))))
+            for i, t in enumerate(texts):
+                if (j := of.get(i)) is None:
                     parts = t.split()
                     words.append(len(parts))
                     gone.append(0)
-                    left.append(b" ".join(parts))
-                    continue
-                x = Text(t, memos, powers)
-                n = len(x.words)
-                edge = np.zeros(n + 1, np.int64)
-                g = x.g.view(np.int64)
-                single = [(m["at"], m["f"]) for m in marks if not m["whole"]]
-                hashes = C.rolling(x.one, WINDOW).view(np.int64) if single and n >= WINDOW else None
-                for a, f in single:
-                    if hashes is not None and a < len(hashes) and hashes[a] == f:
-                        edge[a] += 1
-                        edge[a + WINDOW] -= 1
-                whole = [m for m in marks if m["whole"]]
-                if whole and len(x.at):
-                    k = np.searchsorted(x.at, [m["at"] for m in whole])
-                    for j, m in zip(k.tolist(), whole):
-                        if j < len(x.at) and x.at[j] == m["at"] and g[j] == m["f"]:
-                            edge[x.first[j]] += 1
-                            edge[x.last[j] + WINDOW] -= 1
-                covered = np.cumsum(edge)[:n] > 0
-                words.append(n)
-                gone.append(int(covered.sum()))
-                left.append(b" ".join([w for w, c in zip(x.words, covered.tolist()) if not c]))
+                else:
+                    a, b = int(x.begin[j]), int(x.begin[j] + x.count[j])
+                    parts = list(compress(x.words[a:b], stays[a:b]))
+                    words.append(b - a)
+                    gone.append(b - a - len(parts))
+                left.append(b" ".join(parts))
             return {"n_words": pa.array(words, pa.int64()), "n_removed": pa.array(gone, pa.int64()), "kept": pa.array(left, pa.binary()).cast(pa.string())}
 
         return run
