@@ -15,9 +15,11 @@ Documents with equal sets are one set from the start. The least similarity is t
 
 Light sets of sizes up to boundary/t reach across the boundary: heavy sets up to that size enumerate subsets too.
 
-Lists are scanned in two rounds. First every member is paired with the list's least one, pairs are verified exactly, and linked
-sets united. Then members of a list that are still in different groups are paired. So a group of any number of copies costs
-pairs in proportion to its size, and no link between groups is lost.
+Elements that only one of the listed sets has can't be shared: they bound a set's overlap with any other, and sets or pairs that
+this rules out are dropped (most edited copies that are too far from everything are). Then lists are scanned in two rounds. First
+every member is paired with the list's centre, pairs are verified exactly, and linked sets united. Then members of a list that
+are still in different groups are paired. So a group of any number of copies costs pairs in proportion to its size, and no link
+between groups is lost.
 
 Null and empty texts have no set and link with nothing; rows without a key are returned, in no group (component null). Sets
 are identified by 64-bit hashes of all their shingles, shingles by 64-bit hashes. Repeated rows are copies.
@@ -29,6 +31,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -42,20 +45,42 @@ LOWEST = 32  # smaller sets have too few blocks to be heavy
 HIGHEST = 256
 
 
-def shingles(text: bytes, k: int, memo: C.Memo) -> np.ndarray:
-    """Distinct hashes of the k-word shingles of the text, A-Z in lower case; of fewer words, one for the whole sequence."""
-    words = text.lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    h = C.word_hashes(words, memo)
-    if len(h) < k:
-        return C.rolling(h, len(h)) ^ np.uint64(len(h))
-    return np.unique(C.rolling(h, k))
-
-
-def set_id(tokens: np.ndarray) -> int | None:
-    """A signed 64-bit number for the whole set; None for the empty one."""
-    return int(np.uint64(xxhash.xxh3_64_intdigest(tokens.tobytes())).astype(np.int64)) if len(tokens) else None
+def shingle_sets(texts: list[bytes], k: int, table: C.WordTable) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct hashes of each text's k-word shingles, ascending, in a row, and how many each text has.
+
+    A-Z count as lower case. A text of fewer words has one shingle, its whole sequence; one without words has none.
+    """
+    parts = [t.lower().split() for t in texts]
+    count = np.array([len(p) for p in parts], np.int64)
+    one, _ = table.of([w for p in parts for w in p])
+    begin = np.cumsum(count) - count
+    many = np.where(count >= k, count - k + 1, np.minimum(count, 1))
+    runs = C.rolling(one, k)
+    doc = np.repeat(np.arange(len(texts)), many)
+    start = np.cumsum(many) - many
+    place = np.arange(len(doc)) - start[doc] + begin[doc]
+    out = np.zeros(len(doc), np.uint64)
+    long = (count >= k)[doc]
+    out[long] = runs[place[long]]
+    for i in np.flatnonzero((count > 0) & (count < k)).tolist():
+        n = int(count[i])
+        out[start[i]] = C.rolling(one[begin[i] : begin[i] + n], n)[0] ^ np.uint64(n)
+    for a, b in zip(start.tolist(), (start + many).tolist()):
+        out[a:b].sort()
+    first = np.ones(len(out), bool)
+    first[1:] = (out[1:] != out[:-1]) | (doc[1:] != doc[:-1])
+    return out[first], np.bincount(doc[first], minlength=len(texts))
+
+
+def set_ids(tokens: np.ndarray, count: np.ndarray) -> list[int | None]:
+    """A signed 64-bit number for each set; None for empty ones."""
+    digest, view = xxhash.xxh3_64_intdigest, memoryview(tokens.view(np.uint8))
+    out, a = [], 0
+    for n in count.tolist():
+        x = digest(view[8 * a : 8 * (a + n)]) if n else None
+        out.append(x if x is None or x < 1 << 63 else x - (1 << 64))
+        a += n
+    return out
 
 
 class Plan:
@@ -105,10 +130,8 @@ class Plan:
         with np.errstate(over="ignore"):
             return C.mix(a * np.uint64(0xD6E8FEB86659FD93) + b * np.uint64(0xA0761D6478BD642F) + c * np.uint64(0xE7037ED1A0B428DB))
 
-    def block_keys(self, sets: list[np.ndarray], ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """List keys of heavy sets, the ids they belong to, and the ids of sets that lack the guarantee."""
-        n = np.array([len(s) for s in sets], np.int64)
-        tokens = np.concatenate(sets)
+    def block_keys(self, tokens: np.ndarray, n: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """List keys of heavy sets (tokens in a row, n of each), the ids they belong to, and the ids that lack the guarantee."""
         own = np.searchsorted(self.edges, n, side="right") - 1
         keys, of, short = [], [], []
         for step in (0, 1):
@@ -140,11 +163,11 @@ def profile(docs: DataFrame, k: int, key: str = "doc_id", text: str = "text") ->
     """``key``, n_shingles, set_id (null without words)."""
 
     def make():
-        memo = C.hash_memo()
+        table = C.WordTable()
 
         def run(batch: pa.RecordBatch) -> dict[str, pa.Array]:
-            sets = [shingles(t, k, memo) for t in C.as_bytes(batch, text)]
-            return {"n_shingles": pa.array([len(s) for s in sets], pa.int64()), "set_id": pa.array(map(set_id, sets), pa.int64())}
+            tokens, count = shingle_sets(C.as_bytes(batch, text), k, table)
+            return {"n_shingles": pa.array(count), "set_id": pa.array(set_ids(tokens, count), pa.int64())}
 
         return run
 
@@ -155,30 +178,29 @@ def postings(docs: DataFrame, k: int, plan: Plan, text: str = "text") -> DataFra
     """(list_key, set_id); list_key is null for a set that lacks the guarantee. A set is posted once for each piece of input."""
 
     def run(batches):
-        memo = C.hash_memo()
+        table = C.WordTable()
         for batch in C.chunks(batches, text):
-            heavy: dict[int, np.ndarray] = {}
-            light: dict[int, np.ndarray] = {}
-            for t in C.as_bytes(batch, text):
-                tokens = shingles(t, k, memo)
-                if (i := set_id(tokens)) is not None:
-                    if len(tokens) <= plan.reach:
-                        light[i] = tokens
-                    if len(tokens) > plan.boundary:
-                        heavy[i] = tokens
-            keys, of = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-            for i, tokens in light.items():
-                found = plan.subset_keys(tokens)
+            tokens, count = shingle_sets(C.as_bytes(batch, text), k, table)
+            ids = set_ids(tokens, count)
+            new = np.zeros(len(ids), bool)
+            new[list({i: d for d, i in reversed(list(enumerate(ids))) if i is not None}.values())] = True
+            begin = np.cumsum(count) - count
+            keys, of = [], []
+            for d in np.flatnonzero(new & (count <= plan.reach)).tolist():
+                found = plan.subset_keys(tokens[begin[d] : begin[d] + count[d]])
                 keys.append(found)
-                of.append(np.full(len(found), i, np.int64))
+                of.append(np.full(len(found), ids[d], np.int64))
             short = np.zeros(0, np.int64)
-            if heavy:
-                found, owner, short = plan.block_keys(list(heavy.values()), np.array(list(heavy), np.int64))
+            heavy = new & (count > plan.boundary)
+            if heavy.any():
+                mine = np.array([ids[d] for d in np.flatnonzero(heavy).tolist()], np.int64)
+                found, owner, short = plan.block_keys(tokens[np.repeat(heavy, count)], count[heavy], mine)
                 keys.append(found)
                 of.append(owner)
-            key, owner = np.concatenate(keys), np.concatenate(of)
-            for start in range(0, len(key), 200_000):
-                yield pa.RecordBatch.from_arrays([C.signed(key[start : start + 200_000]), pa.array(owner[start : start + 200_000])], names=["list_key", "set_id"])
+            if keys:
+                key, owner = np.concatenate(keys), np.concatenate(of)
+                for start in range(0, len(key), 200_000):
+                    yield pa.RecordBatch.from_arrays([C.signed(key[start : start + 200_000]), pa.array(owner[start : start + 200_000])], names=["list_key", "set_id"])
             if len(short):
                 yield pa.RecordBatch.from_arrays([pa.nulls(len(short), pa.int64()), pa.array(short)], names=["list_key", "set_id"])
 
@@ -189,70 +211,103 @@ def elements(docs: DataFrame, k: int, plan: Plan, text: str = "text") -> DataFra
     """(list_key, set_id) with single elements: the first n - ceil(t n) + 1 of each set."""
 
     def run(batches):
-        memo = C.hash_memo()
+        table = C.WordTable()
         for batch in C.chunks(batches, text):
-            keys, of = [], []
-            for t in C.as_bytes(batch, text):
-                tokens = shingles(t, k, memo)
-                if len(tokens):
-                    tokens = tokens[: len(tokens) - plan.common(len(tokens)) + 1]
-                    keys.append(tokens)
-                    of += [set_id(shingles(t, k, memo))] * len(tokens)
-            if keys:
-                yield pa.RecordBatch.from_arrays([C.signed(np.concatenate(keys)), pa.array(of, pa.int64())], names=["list_key", "set_id"])
+            tokens, count = shingle_sets(C.as_bytes(batch, text), k, table)
+            if not len(tokens):
+                continue
+            doc = np.repeat(np.arange(len(count)), count)
+            rank = np.arange(len(doc)) - (np.cumsum(count) - count)[doc]
+            low = rank <= (count - plan.common(count))[doc]
+            ids = np.array([i or 0 for i in set_ids(tokens, count)], np.int64)
+            yield pa.RecordBatch.from_arrays([C.signed(tokens[low]), pa.array(ids[doc[low]])], names=["list_key", "set_id"])
 
     return docs.select(text).mapInArrow(run, StructType.fromDDL("list_key long, set_id long"))
 
 
-def verified(pairs: DataFrame, docs: DataFrame, profiled: DataFrame, k: int, plan: Plan, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The pairs (a, b) of set ids whose sets have similarity num/den or more, by their whole sets."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
-    holders = profiled.join(wanted, "set_id", "left_semi").groupBy("set_id").agg(F.min(key).alias(key))
+def member_sets(members: DataFrame, docs: DataFrame, profiled: DataFrame, k: int, key: str, text: str) -> DataFrame:
+    """(set_id, tokens array<long>) of the sets in ``members``, each read from the document of least key that has it."""
+    holders = profiled.join(members, "set_id", "left_semi").groupBy("set_id").agg(F.min(key).alias(key))
 
     def tokens_of(batches):
-        memo = C.hash_memo()
+        table = C.WordTable()
         for batch in C.chunks(batches, text):
-            rows = []
-            for t, i in zip(C.as_bytes(batch, text), C.column(batch, "set_id").to_pylist()):
-                tokens = shingles(t, k, memo)
-                if set_id(tokens) == i:  # a key may have several texts
-                    rows.append((i, tokens.tobytes()))
-            ids, blobs = zip(*rows) if rows else ((), ())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(blobs, pa.binary())], names=["set_id", "tokens"])
-
-    read = docs.select(key, text).join(holders, key).select(text, "set_id").mapInArrow(tokens_of, StructType.fromDDL("set_id long, tokens binary"))
-    sets = C.materialise(read.dropDuplicates(["set_id"]), "jaccard-sets")
+            tokens, count = shingle_sets(C.as_bytes(batch, text), k, table)
+            ids = pa.array(set_ids(tokens, count), pa.int64())
+            edges = np.concatenate([[0], np.cumsum(count)]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(edges), C.signed(tokens))
+            right = pc.fill_null(pc.equal(ids, C.column(batch, "set_id")), False)  # a key may have several texts
+            yield pa.RecordBatch.from_arrays([ids, lists], names=["set_id", "tokens"]).filter(right)
+
+    read = docs.select(key, text).join(holders, key).select(text, "set_id").mapInArrow(tokens_of, StructType.fromDDL("set_id long, tokens array<long>"))
+    return read.dropDuplicates(["set_id"])
+
+
+def sized(sets: DataFrame) -> DataFrame:
+    """(set_id, n, own): the size of each set, and how many of its elements no other of the sets has."""
+    once = sets.select("set_id", F.explode("tokens").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("c"), F.min("set_id").alias("set_id")).where("c = 1")
+    own = once.groupBy("set_id").agg(F.count(F.lit(1)).alias("own"))
+    return sets.select("set_id", F.size("tokens").cast("long").alias("n")).join(own, "set_id", "left").select("set_id", "n", F.coalesce("own", F.lit(0)).alias("own"))
+
+
+def may_link(plan: Plan, n: str, own: str, m: str, other_own: str | None = None):
+    """Whether sets of n and m elements can be as similar as asked, given the elements that no other set has."""
+    most = F.col(n) - F.col(own)
+    if other_own is not None:
+        most = F.least(most, F.col(m) - F.col(other_own))
+    return most * (plan.num + plan.den) >= plan.num * (F.col(n) + F.col(m))
+
+
+def pruned(lists: DataFrame, sizes: DataFrame, plan: Plan) -> DataFrame:
+    """(list_key, set_id, n, own, centre): entries that can link with some member of their list.
+
+    A list's centre is the member with the fewest elements of its own, the least of equals: of edited copies, the one that is
+    closest to the others.
+    """
+    of_list = Window.partitionBy("list_key")
+    rich = sizes.where((F.col("n") - F.col("own")) * plan.den >= plan.num * F.col("n"))
+    named = lists.select("list_key", "set_id").join(rich, "set_id").withColumn("least", F.min("n").over(of_list))
+    kept = named.where(may_link(plan, "n", "own", "least"))
+    return kept.withColumn("centre", F.min(F.struct("own", "set_id", "n")).over(of_list)).drop("least")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, plan: Plan) -> DataFrame:
+    """The pairs (a, b) of set ids whose sets have similarity num/den or more, by their whole sets."""
     both = pairs.join(sets.select(F.col("set_id").alias("a"), F.col("tokens").alias("x")), "a").join(sets.select(F.col("set_id").alias("b"), F.col("tokens").alias("y")), "b")
-    size_ok = (F.length("x") * plan.den >= F.length("y") * plan.num) & (F.length("y") * plan.den >= F.length("x") * plan.num)
 
     def compare(batches):
-        for batch in C.chunks(batches, "x"):
-            keep = []
-            for x, y in zip(C.column(batch, "x").to_pylist(), C.column(batch, "y").to_pylist()):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                if len(x) > len(y):
-                    x, y = y, x
-                shared = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
-                keep.append(plan.den * shared >= plan.num * (len(x) + len(y) - shared))
-            yield pa.RecordBatch.from_arrays([C.column(batch, "a"), C.column(batch, "b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return both.where(size_ok).select("a", "b", "x", "y").mapInArrow(compare, StructType.fromDDL("a long, b long"))
+        for batch in batches:
+            keep = np.zeros(batch.num_rows, bool)
+            sides = []
+            for name in "xy":
+                lists = C.column(batch, name)
+                sides.append((lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False).view(np.uint64)))
+            (p, x), (q, y) = sides
+            for i in range(batch.num_rows):
+                u, v = x[p[i] : p[i + 1]], y[q[i] : q[i + 1]]
+                if len(u) > len(v):
+                    u, v = v, u
+                shared = int((v[np.minimum(np.searchsorted(v, u), len(v) - 1)] == u).sum())
+                keep[i] = plan.den * shared >= plan.num * (len(u) + len(v) - shared)
+            yield pa.RecordBatch.from_arrays([C.column(batch, "a"), C.column(batch, "b")], names=["a", "b"]).filter(pa.array(keep))
+
+    return both.select("a", "b", "x", "y").mapInArrow(compare, StructType.fromDDL("a long, b long"))
 
 
 def shared_lists(posted: DataFrame) -> DataFrame:
-    """The entries of lists with two sets or more, and each list's least set (lo); entries without a list are kept."""
+    """The entries of lists with two sets or more; entries without a list are kept."""
     of_list = Window.partitionBy("list_key")
     ends = posted.withColumn("lo", F.min("set_id").over(of_list)).withColumn("hi", F.max("set_id").over(of_list))
-    return ends.where("list_key IS NULL OR lo < hi").select("list_key", "set_id", "lo")
+    return ends.where("list_key IS NULL OR lo < hi").select("list_key", "set_id")
 
 
-def cross_pairs(lists: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs of members of one list that are in different groups."""
-    named = lists.join(labels.select(F.col("node").alias("set_id"), "component"), "set_id", "left").select("list_key", "set_id", F.coalesce("component", "set_id").alias("label"))
+def cross_pairs(lists: DataFrame, labels: DataFrame, plan: Plan) -> DataFrame:
+    """Pairs of members of one list that are in different groups and may link."""
+    named = lists.join(labels.select(F.col("node").alias("set_id"), "component"), "set_id", "left").select("list_key", "set_id", "n", "own", F.coalesce("component", "set_id").alias("label"))
     open_lists = named.groupBy("list_key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("list_key")
-    left = named.join(open_lists, "list_key", "left_semi")
-    a, b = left.select("list_key", F.col("set_id").alias("a"), F.col("label").alias("la")), left.select("list_key", F.col("set_id").alias("b"), F.col("label").alias("lb"))
-    return a.join(b, "list_key").where("a < b AND la <> lb").select("a", "b").distinct()
+    rest = named.join(open_lists, "list_key", "left_semi").distinct()
+    a, b = (rest.select("list_key", *(F.col(c).alias(f"{c}_{side}") for c in ("set_id", "n", "own", "label"))) for side in "ab")
+    return a.join(b, (a.list_key == b.list_key) & (F.col("set_id_a") < F.col("set_id_b")) & (F.col("label_a") != F.col("label_b")) & may_link(plan, "n_a", "own_a", "n_b", "own_b")).select(F.col("set_id_a").alias("a"), F.col("set_id_b").alias("b")).distinct()
 
 
 def groups(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -260,8 +315,8 @@ def groups(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, key: str = "
     profiled = C.materialise(profile(docs, k, key, text), "jaccard-profile")
     known = profiled.where(F.col(key).isNotNull() & F.col("set_id").isNotNull())
     with_key = docs.where(F.col(key).isNotNull())
-    sizes = known.where(F.col("n_shingles") <= 2 * HIGHEST).groupBy("n_shingles").agg(F.count_distinct("set_id").alias("n")).collect()  # at most 2 HIGHEST rows
-    plan = Plan(num, den).with_boundary({r.n_shingles: r.n for r in sizes})
+    counted = known.where(F.col("n_shingles") <= 2 * HIGHEST).groupBy("n_shingles").agg(F.count_distinct("set_id").alias("n")).collect()  # at most 2 HIGHEST rows
+    plan = Plan(num, den).with_boundary({r.n_shingles: r.n for r in counted})
 
     lists = C.materialise(shared_lists(postings(with_key, k, plan, text)), "jaccard-lists")
     short = lists.where("list_key IS NULL").select("set_id").distinct()
@@ -272,12 +327,16 @@ def groups(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, key: str = "
         touched = single.join(of_short, "list_key", "left_semi").distinct()
         lists = lists.unionByName(C.materialise(shared_lists(touched), "jaccard-short"))
 
-    pairs = C.materialise(lists.where("set_id <> lo").select(F.col("lo").alias("a"), F.col("set_id").alias("b")).distinct(), "jaccard-pairs")
-    links = C.materialise(verified(pairs, docs, profiled, k, plan, key, text), "jaccard-links")
+    members = lists.select("set_id").distinct()
+    sets = C.materialise(member_sets(members, with_key, known, k, key, text), "jaccard-sets")
+    lists = C.materialise(pruned(lists, sized(sets), plan), "jaccard-pruned")
+    to_centre = lists.select("n", "own", F.col("set_id").alias("b"), F.col("centre.set_id").alias("a"), F.col("centre.n").alias("m"), F.col("centre.own").alias("other"))
+    pairs = C.materialise(to_centre.where((F.col("a") != F.col("b")) & may_link(plan, "n", "own", "m", "other")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "jaccard-pairs")
+    links = C.materialise(verified(pairs, sets, plan), "jaccard-links")
     labels = components(links)
-    more = C.materialise(cross_pairs(lists, labels).join(pairs, ["a", "b"], "left_anti"), "jaccard-cross")
+    more = C.materialise(cross_pairs(lists, labels, plan).join(pairs, ["a", "b"], "left_anti"), "jaccard-cross")
     if not more.isEmpty():
-        found = C.materialise(verified(more, docs, profiled, k, plan, key, text), "jaccard-links")
+        found = C.materialise(verified(more, sets, plan), "jaccard-links")
         if not found.isEmpty():
             labels = components(links.unionByName(found))
     return _named(profiled, labels, key)
