@@ -14,13 +14,15 @@ are compared in lower case by shingles of SHINGLE words (of m words, for shorter
 4. Verification. Candidates within RADIUS are compared exactly: the sum of least weights over the sum of greatest weights of all
    shingles, at least ``similarity``.
 
-Items' shingles are broadcast only if they are counted to be at most BROADCAST_ROWS; otherwise they are joined by shuffle.
+Items' shingles are a constant of the plan if they are counted to be at most TABLE_ROWS, and are broadcast if at most
+BROADCAST_ROWS; otherwise they are joined by shuffle.
 Null and empty texts and items match nothing; rows without a key aren't searched. Rows that share a key are searched each. Equal
 items are all found; a document is reported once for each item, by its best window (the first of equals).
 """
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -31,7 +33,7 @@ from . import common as C
 SHINGLE = 5
 BITS, BLOCKS, RADIUS = 64, 8, 19
 WIDTH = BITS // BLOCKS
-BROADCAST_ROWS = 1_000_000
+TABLE_ROWS, BROADCAST_ROWS = 50_000, 1_000_000
 SPACES = "[\\x20\\x09-\\x0D]+"
 #: Spreads four bits over the lanes of a long: the product has bit i at place 16 i.
 SPREAD, LANES = 1 | 1 << 15 | 1 << 30 | 1 << 45, 1 | 1 << 16 | 1 << 32 | 1 << 48
@@ -42,6 +44,11 @@ def word_hashes(text: Column) -> Column:
     return F.transform(F.filter(F.split(F.lower(text), SPACES), lambda w: w != ""), lambda w: F.xxhash64(w))
 
 
+def once(c: Column) -> Column:
+    """The same column, which the optimiser can't move into the places that use it (a lambda would work it out for each element)."""
+    return F.when(F.monotonically_increasing_id() >= 0, c)
+
+
 def shingles(words: Column, k: int) -> Column:
     n = F.size(words) - (k - 1)
     return F.when(n > 0, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.xxhash64(F.slice(words, i, F.lit(k))))).otherwise(F.array().cast("array<bigint>"))
@@ -70,22 +77,46 @@ def blocks(f: Column) -> Column:
 
 def item_table(benchmark: DataFrame, key: str, text: str, k: int) -> DataFrame:
     """item, m (words), k (words of a shingle), words, hashes."""
-    rows = benchmark.where(F.col(key).isNotNull()).select(F.col(key).alias("item"), word_hashes(F.col(text)).alias("words")).withColumn("m", F.size("words")).where("m > 0")
+    rows = benchmark.where(F.col(key).isNotNull()).select(F.col(key).alias("item"), once(word_hashes(F.col(text))).alias("words")).withColumn("m", F.size("words")).where("m > 0")
     k_of = F.least(F.lit(k), F.col("m"))
     hashes = reduce(lambda rest, i: F.when(k_of == i, shingles(F.col("words"), i)).otherwise(rest), range(1, k), shingles(F.col("words"), k))
     return rows.withColumn("k", k_of).withColumn("hashes", hashes)
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", k: int = SHINGLE, similarity: float = 0.8) -> DataFrame:
-    """``key``, item, start (word), n_words, similarity: every document and item of which a window is similar enough."""
-    items = C.materialise(item_table(benchmark, item_key, item_text, k), "decon-items")
-    item_hashes = C.materialise(items.select("item", "m", "k", F.explode("hashes").alias("h")), "decon-hashes")
-    if not items.where(F.col("m") >= 1 << 15).isEmpty():
-        raise ValueError("a benchmark item has 2**15 words or more")
-    total, widths = item_hashes.count(), sorted(r.k for r in items.select("k").distinct().collect())  # at most k widths
-    hashed = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("doc"), word_hashes(F.col(text)).alias("words"))
+def hash_table(rows: list, slots: int) -> Column:
+    """A constant array of ``slots`` lists of struct<h, m>; the list of a hash h is at h modulo ``slots`` (a power of two)."""
+    table: list[list] = [[] for _ in range(slots)]
+    for r in rows:
+        table[r.h & (slots - 1)].append({"h": r.h, "m": r.m})
+    return F.from_json(F.lit(json.dumps(table, separators=(",", ":"))), "array<array<struct<h:bigint,m:int>>>")
+
+
+def windows_by_table(texts: DataFrame, sizes: list, width: int) -> DataFrame:
+    """Windows around shared shingles, found row by row: the few known hashes are a constant of the plan. Nothing is shuffled."""
+    slots = 1 << max(10, (4 * len(sizes) - 1).bit_length())
+    table = hash_table(sizes, slots)
+
+    def known(h: Column) -> Column:
+        return F.get(table, h.bitwiseAND(F.lit(slots - 1).cast("long")).cast("int"))
+
+    n = F.size("words")
+    hashed = texts.select("doc", "words", once(shingles(F.col("words"), width)).alias("hs"))
+    places = F.filter(F.transform(F.col("hs"), lambda h, i: F.struct(i.alias("at"), h.alias("h"))), lambda x: F.exists(known(x["h"]), lambda y: y["h"] == x["h"]))
+    found = hashed.select("doc", "words", once(places).alias("places")).where(F.size("places") > 0)
+
+    def around(at: Column, m: Column) -> Column:
+        length = F.least(m, n)
+        return F.transform(F.sequence(F.greatest(F.lit(0), at - (length - width)), F.least(at, n - length)), lambda s: F.struct(m.alias("m"), s.alias("start")))
+
+    of_place = F.transform(F.col("places"), lambda x: F.flatten(F.transform(F.filter(known(x["h"]), lambda y: y["h"] == x["h"]), lambda y: around(x["at"], y["m"]))))
+    windows = found.select("doc", "words", F.explode(F.array_distinct(F.flatten(of_place))).alias("w"))
+    length = F.least(F.col("w.m"), n)
+    return windows.select("doc", F.lit(width).alias("k"), "w.m", length.alias("len"), "w.start", F.slice("words", F.col("w.start") + 1, length).alias("words"))
 
-    # 1. where documents and items share shingles
+
+def windows_by_join(docs: DataFrame, item_hashes: DataFrame, widths: list[int], total: int, key: str, text: str) -> DataFrame:
+    """The same for any number of hashes, by joins; texts with a match are read again."""
+    hashed = docs.select(F.col(key).alias("doc"), once(word_hashes(F.col(text))).alias("words"))
     sizes = item_hashes.select("k", "h", "m").distinct()
     if total <= BROADCAST_ROWS:
         sizes = F.broadcast(sizes)
@@ -93,37 +124,53 @@ def matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: st
     for width in widths:
         places = hashed.select("doc", F.size("words").alias("n"), F.posexplode(shingles(F.col("words"), width)).alias("pos", "h"))
         found.append(places.join(sizes.where(F.col("k") == width), "h").select("doc", "n", "k", "m", "pos"))
-    if not found:
-        return docs.sparkSession.createDataFrame([], f"{key} {docs.schema[key].dataType.simpleString()}, item long, start int, n_words int, similarity double")
     anchors = C.materialise(reduce(DataFrame.unionByName, found), "decon-anchors")
-
-    # windows around them: (doc, n) tells apart texts of different lengths under one key
+    # (doc, n) tells apart texts of different lengths under one key
     length = F.least("m", "n")
     starts = F.transform(F.col("at"), lambda p: F.sequence(F.greatest(F.lit(0), p - (length - F.col("k"))), F.least(p, F.col("n") - length)))
     around = anchors.groupBy("doc", "n", "k", "m").agg(F.collect_set("pos").alias("at")).select("doc", "n", "k", "m", length.alias("len"), F.array_distinct(F.flatten(starts)).alias("starts"))
-    texts = docs.select(F.col(key).alias("doc"), F.col(text).alias("text")).join(around, "doc").withColumn("words", word_hashes(F.col("text")))
+    texts = docs.select(F.col(key).alias("doc"), F.col(text).alias("text")).join(around, "doc").withColumn("words", once(word_hashes(F.col("text"))))
     windows = texts.where(F.size("words") == F.col("n")).select("doc", "k", "m", "len", "words", F.explode("starts").alias("start"))
-    window_words = F.slice("words", F.col("start") + 1, F.col("len"))
-    windows = C.materialise(windows.select("doc", "k", "m", "len", "start", window_words.alias("words")), "decon-windows")
+    return windows.select("doc", "k", "m", "len", "start", F.slice("words", F.col("start") + 1, F.col("len")).alias("words"))
+
+
+def matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", k: int = SHINGLE, similarity: float = 0.8, table_rows: int = TABLE_ROWS) -> DataFrame:
+    """``key``, item, start (word), n_words, similarity: every document and item of which a window is similar enough."""
+    items = C.materialise(item_table(benchmark, item_key, item_text, k), "decon-items")
+    if not items.where(F.col("m") >= 1 << 15).isEmpty():
+        raise ValueError("a benchmark item has 2**15 words or more")
+    item_hashes = C.materialise(items.select("item", "m", "k", F.explode("hashes").alias("h")), "decon-hashes")
+    total, widths = item_hashes.count(), sorted(r.k for r in items.select("k").distinct().collect())  # at most k widths
+    if not widths:
+        return docs.sparkSession.createDataFrame([], f"{key} {docs.schema[key].dataType.simpleString()}, item long, start int, n_words int, similarity double")
+    docs = docs.where(F.col(key).isNotNull())
+
+    # 1. windows around shared shingles
+    if total <= table_rows:
+        texts = docs.select(F.col(key).alias("doc"), once(word_hashes(F.col(text))).alias("words"))
+        sizes = item_hashes.select("k", "h", "m").distinct().collect()  # at most table_rows
+        windows = reduce(DataFrame.unionByName, [windows_by_table(texts, [r for r in sizes if r.k == w], w) for w in widths])
+    else:
+        windows = windows_by_join(docs, item_hashes, widths, total, key, text)
+    windows = C.materialise(windows, "decon-windows").withColumn("seal", F.xxhash64("words"))
 
     def with_hashes(df: DataFrame, columns: list[str]) -> DataFrame:
         parts = [df.where(F.col("k") == w).select(*columns, F.explode(shingles(F.col("words"), w)).alias("h")) for w in widths]
         return reduce(DataFrame.unionByName, parts)
 
     # 2. and 3. fingerprints, and the items within RADIUS; windows with equal words are one
-    windows = windows.withColumn("seal", F.xxhash64("words"))
-    kinds = windows.select("seal", "k", "m", "len", "words").dropDuplicates(["seal", "k", "m"])
-    kinds = C.materialise(kinds, "decon-kinds")
+    kinds = C.materialise(windows.select("seal", "k", "m", "words").dropDuplicates(["seal", "k", "m"]), "decon-kinds")
     prints = fingerprints(with_hashes(kinds, ["seal", "k", "m"]), ["seal", "k", "m"])
     item_prints = fingerprints(item_hashes, ["item", "k", "m"]).select("item", "k", "m", F.col("f").alias("g"), F.col("n").alias("n_item"))
     flips = [x for x in range(1 << WIDTH) if x.bit_count() <= RADIUS // BLOCKS]
     listed = item_prints.select("*", F.explode(blocks(F.col("g"))).alias("b")).select("item", "k", "m", "g", "n_item", F.col("b.block").alias("block"), F.explode(F.transform(F.array(*map(F.lit, flips)), lambda x: F.col("b.value").bitwiseXOR(x))).alias("value"))
     asked = prints.select("seal", "k", "m", "f", "n", F.explode(blocks(F.col("f"))).alias("b")).select("seal", "k", "m", "f", "n", F.col("b.block").alias("block"), F.col("b.value").alias("value"))
     near = asked.join(listed, ["k", "m", "block", "value"]).where(F.bit_count(F.col("f").bitwiseXOR(F.col("g"))) <= RADIUS)
-    candidates = near.select("seal", "k", "m", "item", F.col("n").alias("n_window"), "n_item").distinct()
+    candidates = C.materialise(near.select("seal", "k", "m", "item", F.col("n").alias("n_window"), "n_item").distinct(), "decon-candidates")
 
     # 4. exact weighted similarity
-    of_window = with_hashes(kinds, ["seal", "k", "m"]).groupBy("seal", "k", "m", "h").agg(F.count(F.lit(1)).alias("c"))
+    asked_for = kinds.join(candidates.select("seal", "k", "m").distinct(), ["seal", "k", "m"], "left_semi")
+    of_window = with_hashes(asked_for, ["seal", "k", "m"]).groupBy("seal", "k", "m", "h").agg(F.count(F.lit(1)).alias("c"))
     of_item = item_hashes.groupBy("item", "h").agg(F.count(F.lit(1)).alias("d"))
     shared = candidates.join(of_window, ["seal", "k", "m"]).join(of_item, ["item", "h"]).groupBy("seal", "k", "m", "item", "n_window", "n_item").agg(F.sum(F.least("c", "d")).alias("both"))
     value = F.col("both") / (F.col("n_window") + F.col("n_item") - F.col("both"))

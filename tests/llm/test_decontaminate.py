@@ -56,9 +56,9 @@ def sample(seed):
 
 
 def test_equals_brute_force(spark):
-    for seed in (0, 1):
+    for seed, table_rows in ((0, 50_000), (1, 50_000), (1, 0)):
         rows, items = sample(seed)
-        got = matches(frame(spark, rows, item=1, words="x", n=3), spark.createDataFrame(items, ITEMS)).collect()
+        got = matches(frame(spark, rows, item=1, words="x", n=3), spark.createDataFrame(items, ITEMS), table_rows=table_rows).collect()
         assert {(r.doc_id, r.item): (round(r.similarity, 9), r.start) for r in got} == {k: (round(v, 9), s) for k, (v, s) in brute(rows, items).items()}
         assert len(got) == len({(r.doc_id, r.item) for r in got})
 
