@@ -25,6 +25,7 @@ from . import common as C
 CLASSES = (b"#*$%&<>{}\\^~=", b"|", b"!", b"0123456789", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b".,;:?", b"@/_+-")
 OWN = len(CLASSES) + 9
 WIDTH = 3 * OWN
+MOST_REPEATS = 8
 
 
 def line_features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -134,7 +135,18 @@ class Field:
 
 
 def fit(x: np.ndarray, counts: np.ndarray, labels: np.ndarray, rounds: int = 300, penalty: float = 1e-3) -> Field:
-    """Maximise the penalised likelihood by gradient steps with per-weight scales (Adam). Classes weigh alike by document."""
+    """Maximise the penalised likelihood by gradient steps with per-weight scales (Adam).
+
+    Documents of the rarer class are repeated, up to MOST_REPEATS times, so that both classes weigh about alike.
+    """
+    many = np.bincount(labels, minlength=2)
+    rare = int(many.argmin())
+    repeats = np.where(labels == rare, np.clip(many.max() // max(1, many.min()), 1, MOST_REPEATS), 1)
+    if repeats.max() > 1:
+        cuts = np.concatenate([[0], np.cumsum(counts)])
+        order = np.repeat(np.arange(len(counts)), repeats)
+        x = np.concatenate([x[cuts[i] : cuts[i + 1]] for i in order])
+        counts, labels = counts[order], labels[order]
     of_line = np.repeat(labels, counts)
     theta = np.zeros(WIDTH + 5)
     m, v = np.zeros_like(theta), np.zeros_like(theta)
