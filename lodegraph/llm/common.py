@@ -97,34 +97,6 @@ def hash_memo(seed: int = 0) -> Memo:
     return Memo(lambda w: digest(w, seed))
 
 
-class WordTable:
-    """Numbers words, and keeps two independent 64-bit hashes of each; it is emptied when full."""
-
-    def __init__(self, limit: int = CACHE_ENTRIES):
-        self.limit, self.number = limit, {}
-        self.hashes = np.zeros((2, 1024), np.uint64)
-
-    def _add(self, new: list[bytes]) -> None:
-        start = len(self.number)
-        self.number.update(zip(new, range(start, start + len(new))))
-        while self.hashes.shape[1] < len(self.number):
-            self.hashes = np.concatenate([self.hashes, np.zeros_like(self.hashes)], axis=1)
-        digest = xxhash.xxh3_64_intdigest
-        for row in (0, 1):
-            self.hashes[row, start : len(self.number)] = np.fromiter((digest(w, row) for w in new), np.uint64, len(new))
-
-    def of(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Both hashes of every word."""
-        new = list(set(words).difference(self.number))
-        if new:
-            if len(self.number) + len(new) > self.limit and self.number:
-                self.number = {}
-                new = list(set(words))
-            self._add(new)
-        at = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
-        return self.hashes[0][at], self.hashes[1][at]
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values (the finaliser of splitmix64)."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -151,6 +123,67 @@ def rolling(h: np.ndarray, k: int) -> np.ndarray:
         return mix(acc[: len(h) - k + 1])
 
 
+class Powers:
+    """Powers of an odd number and of its inverse modulo 2**64, as many as were asked for."""
+
+    def __init__(self, base: int = 0xC2B2AE3D27D4EB4F):
+        self.base, self.inverse = base, pow(base, -1, 1 << 64)
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def upto(self, n: int) -> None:
+        if len(self.up) < n:
+            n = max(n, 2 * len(self.up), 4096)
+            with np.errstate(over="ignore"):
+                self.up, self.down = (np.cumprod(np.array([1] + [x] * (n - 1), np.uint64), dtype=np.uint64) for x in (self.base, self.inverse))
+
+
+class WordHasher:
+    """Two 64-bit hashes of every word of texts, from running sums over their bytes.
+
+    A byte has a random value in each of two tables; a word's hash is the sum of its bytes' values times rising powers, mixed
+    with its length. Texts go through in blocks that fit the processor's cache; a longer text is a block of its own.
+    """
+
+    BLOCK = 1 << 17
+
+    def __init__(self):
+        self.powers = Powers()
+        with np.errstate(over="ignore"):
+            self.tables = mix(np.arange(1, 513, dtype=np.uint64) * ODD).reshape(2, 256)
+        self.space = np.zeros(256, bool)
+        self.space[[9, 10, 11, 12, 13, 32]] = True
+
+    def _block(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        raw = np.frombuffer(b"\n".join(texts), np.uint8)
+        n = len(raw)
+        outside = np.ones(n + 2, bool)
+        outside[1:-1] = self.space[raw]
+        edges = np.flatnonzero(outside[1:] != outside[:-1])
+        start, end = edges[0::2], edges[1::2]
+        begin = np.cumsum([0, *(len(t) + 1 for t in texts)])
+        self.powers.upto(n + 1)
+        out = []
+        with np.errstate(over="ignore"):
+            length = mix((end - start).astype(np.uint64) + ODD)
+            for table in self.tables:
+                total = np.zeros(n + 1, np.uint64)
+                np.cumsum(table[raw] * self.powers.up[:n], out=total[1:])
+                out.append(mix((total[end] - total[start]) * self.powers.down[start] + length))
+        return np.diff(np.searchsorted(start, begin)), *out
+
+    def of(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The number of words of each text, and both hashes of all words in a row."""
+        parts, block, size = [], [], 0
+        for t in texts:
+            if block and size + len(t) > self.BLOCK:
+                parts.append(self._block(block))
+                block, size = [], 0
+            block.append(t)
+            size += len(t) + 1
+        parts.append(self._block(block))
+        return tuple(np.concatenate(x) for x in zip(*parts))
+
+
 def signed(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64))
 

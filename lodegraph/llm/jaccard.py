@@ -16,7 +16,8 @@ Documents with equal sets are one set from the start. The least similarity is t
 Light sets of sizes up to boundary/t reach across the boundary: heavy sets up to that size enumerate subsets too.
 
 Elements that only one of the listed sets has can't be shared: they bound a set's overlap with any other, and sets or pairs that
-this rules out are dropped (most edited copies that are too far from everything are). Then lists are scanned in two rounds. First
+this rules out are dropped (most edited copies that are too far from everything are); so are pairs whose parities differ in too
+many bits. Then lists are scanned in two rounds. First
 every member is paired with the list's centre, pairs are verified exactly, and linked sets united. Then members of a list that
 are still in different groups are paired. So a group of any number of copies costs pairs in proportion to its size, and no link
 between groups is lost.
@@ -27,6 +28,7 @@ are identified by 64-bit hashes of all their shingles, shingles by 64-bit hashes
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -43,16 +45,15 @@ from .components import components
 SUBSET = 3
 LOWEST = 32  # smaller sets have too few blocks to be heavy
 HIGHEST = 256
+PARITY = 1024
 
 
-def shingle_sets(texts: list[bytes], k: int, table: C.WordTable) -> tuple[np.ndarray, np.ndarray]:
+def shingle_sets(texts: list[bytes], k: int, hasher: C.WordHasher) -> tuple[np.ndarray, np.ndarray]:
     """The distinct hashes of each text's k-word shingles, ascending, in a row, and how many each text has.
 
     A-Z count as lower case. A text of fewer words has one shingle, its whole sequence; one without words has none.
     """
-    parts = [t.lower().split() for t in texts]
-    count = np.array([len(p) for p in parts], np.int64)
-    one, _ = table.of([w for p in parts for w in p])
+    count, one, _ = hasher.of([t.lower() for t in texts])
     begin = np.cumsum(count) - count
     many = np.where(count >= k, count - k + 1, np.minimum(count, 1))
     runs = C.rolling(one, k)
@@ -163,10 +164,10 @@ def profile(docs: DataFrame, k: int, key: str = "doc_id", text: str = "text") ->
     """``key``, n_shingles, set_id (null without words)."""
 
     def make():
-        table = C.WordTable()
+        hasher = C.WordHasher()
 
         def run(batch: pa.RecordBatch) -> dict[str, pa.Array]:
-            tokens, count = shingle_sets(C.as_bytes(batch, text), k, table)
+            tokens, count = shingle_sets(C.as_bytes(batch, text), k, hasher)
             return {"n_shingles": pa.array(count), "set_id": pa.array(set_ids(tokens, count), pa.int64())}
 
         return run
@@ -178,9 +179,9 @@ def postings(docs: DataFrame, k: int, plan: Plan, text: str = "text") -> DataFra
     """(list_key, set_id); list_key is null for a set that lacks the guarantee. A set is posted once for each piece of input."""
 
     def run(batches):
-        table = C.WordTable()
+        hasher = C.WordHasher()
         for batch in C.chunks(batches, text):
-            tokens, count = shingle_sets(C.as_bytes(batch, text), k, table)
+            tokens, count = shingle_sets(C.as_bytes(batch, text), k, hasher)
             ids = set_ids(tokens, count)
             new = np.zeros(len(ids), bool)
             new[list({i: d for d, i in reversed(list(enumerate(ids))) if i is not None}.values())] = True
@@ -211,9 +212,9 @@ def elements(docs: DataFrame, k: int, plan: Plan, text: str = "text") -> DataFra
     """(list_key, set_id) with single elements: the first n - ceil(t n) + 1 of each set."""
 
     def run(batches):
-        table = C.WordTable()
+        hasher = C.WordHasher()
         for batch in C.chunks(batches, text):
-            tokens, count = shingle_sets(C.as_bytes(batch, text), k, table)
+            tokens, count = shingle_sets(C.as_bytes(batch, text), k, hasher)
             if not len(tokens):
                 continue
             doc = np.repeat(np.arange(len(count)), count)
@@ -226,21 +227,29 @@ def elements(docs: DataFrame, k: int, plan: Plan, text: str = "text") -> DataFra
 
 
 def member_sets(members: DataFrame, docs: DataFrame, profiled: DataFrame, k: int, key: str, text: str) -> DataFrame:
-    """(set_id, tokens array<long>) of the sets in ``members``, each read from the document of least key that has it."""
+    """(set_id, tokens array<long>, parity array<long>) of the sets in ``members``, each read from the document of least key.
+
+    parity has PARITY bits: each tells whether the number of elements that fall on it is odd. So two sets differ in at least as many
+    elements as their parities differ in bits.
+    """
     holders = profiled.join(members, "set_id", "left_semi").groupBy("set_id").agg(F.min(key).alias(key))
 
     def tokens_of(batches):
-        table = C.WordTable()
+        hasher = C.WordHasher()
         for batch in C.chunks(batches, text):
-            tokens, count = shingle_sets(C.as_bytes(batch, text), k, table)
+            tokens, count = shingle_sets(C.as_bytes(batch, text), k, hasher)
             ids = pa.array(set_ids(tokens, count), pa.int64())
             edges = np.concatenate([[0], np.cumsum(count)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(edges), C.signed(tokens))
+            doc = np.repeat(np.arange(len(count)), count)
+            odd = np.bincount(doc * PARITY + (C.mix(tokens) % np.uint64(PARITY)).astype(np.int64), minlength=len(count) * PARITY) & 1
+            bits = np.packbits(odd.astype(np.uint8)).view(np.int64)
+            parity = pa.ListArray.from_arrays(pa.array(np.arange(len(count) + 1, dtype=np.int32) * (PARITY // 64)), pa.array(bits))
             right = pc.fill_null(pc.equal(ids, C.column(batch, "set_id")), False)  # a key may have several texts
-            yield pa.RecordBatch.from_arrays([ids, lists], names=["set_id", "tokens"]).filter(right)
+            yield pa.RecordBatch.from_arrays([ids, lists, parity], names=["set_id", "tokens", "parity"]).filter(right)
 
-    read = docs.select(key, text).join(holders, key).select(text, "set_id").mapInArrow(tokens_of, StructType.fromDDL("set_id long, tokens array<long>"))
-    return read.dropDuplicates(["set_id"])
+    read = docs.select(key, text).join(holders, key).select(text, "set_id").mapInArrow(tokens_of, StructType.fromDDL("set_id long, tokens array<long>, parity array<long>"))
+    return read  # a set comes twice only where a row is repeated, which costs work but changes nothing
 
 
 def sized(sets: DataFrame) -> DataFrame:
@@ -258,6 +267,12 @@ def may_link(plan: Plan, n: str, own: str, m: str, other_own: str | None = None)
     return most * (plan.num + plan.den) >= plan.num * (F.col(n) + F.col(m))
 
 
+def close(plan: Plan, n: str, parity: str, m: str, other: str):
+    """Whether the parities of two sets leave it open that they are as similar as asked."""
+    differ = reduce(lambda x, y: x + y, (F.bit_count(F.get(F.col(parity), F.lit(i)).bitwiseXOR(F.get(F.col(other), F.lit(i)))) for i in range(PARITY // 64)))
+    return differ * (plan.num + plan.den) <= (plan.den - plan.num) * (F.col(n) + F.col(m))
+
+
 def pruned(lists: DataFrame, sizes: DataFrame, plan: Plan) -> DataFrame:
     """(list_key, set_id, n, own, centre): entries that can link with some member of their list.
 
@@ -273,7 +288,7 @@ def pruned(lists: DataFrame, sizes: DataFrame, plan: Plan) -> DataFrame:
 
 def verified(pairs: DataFrame, sets: DataFrame, plan: Plan) -> DataFrame:
     """The pairs (a, b) of set ids whose sets have similarity num/den or more, by their whole sets."""
-    both = pairs.join(sets.select(F.col("set_id").alias("a"), F.col("tokens").alias("x")), "a").join(sets.select(F.col("set_id").alias("b"), F.col("tokens").alias("y")), "b")
+    both = pairs.join(sets.select(F.col("set_id").alias("a"), F.col("tokens").alias("x"), F.col("parity").alias("p")), "a").join(sets.select(F.col("set_id").alias("b"), F.col("tokens").alias("y"), F.col("parity").alias("q")), "b")
 
     def compare(batches):
         for batch in batches:
@@ -291,7 +306,8 @@ def verified(pairs: DataFrame, sets: DataFrame, plan: Plan) -> DataFrame:
                 keep[i] = plan.den * shared >= plan.num * (len(u) + len(v) - shared)
             yield pa.RecordBatch.from_arrays([C.column(batch, "a"), C.column(batch, "b")], names=["a", "b"]).filter(pa.array(keep))
 
-    return both.select("a", "b", "x", "y").mapInArrow(compare, StructType.fromDDL("a long, b long"))
+    sizes = both.withColumn("n", F.size("x")).withColumn("m", F.size("y"))
+    return sizes.where(close(plan, "n", "p", "m", "q")).select("a", "b", "x", "y").mapInArrow(compare, StructType.fromDDL("a long, b long"))
 
 
 def shared_lists(posted: DataFrame) -> DataFrame:
@@ -301,13 +317,14 @@ def shared_lists(posted: DataFrame) -> DataFrame:
     return ends.where("list_key IS NULL OR lo < hi").select("list_key", "set_id")
 
 
-def cross_pairs(lists: DataFrame, labels: DataFrame, plan: Plan) -> DataFrame:
+def cross_pairs(lists: DataFrame, labels: DataFrame, sets: DataFrame, plan: Plan) -> DataFrame:
     """Pairs of members of one list that are in different groups and may link."""
     named = lists.join(labels.select(F.col("node").alias("set_id"), "component"), "set_id", "left").select("list_key", "set_id", "n", "own", F.coalesce("component", "set_id").alias("label"))
     open_lists = named.groupBy("list_key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("list_key")
-    rest = named.join(open_lists, "list_key", "left_semi").distinct()
-    a, b = (rest.select("list_key", *(F.col(c).alias(f"{c}_{side}") for c in ("set_id", "n", "own", "label"))) for side in "ab")
-    return a.join(b, (a.list_key == b.list_key) & (F.col("set_id_a") < F.col("set_id_b")) & (F.col("label_a") != F.col("label_b")) & may_link(plan, "n_a", "own_a", "n_b", "own_b")).select(F.col("set_id_a").alias("a"), F.col("set_id_b").alias("b")).distinct()
+    rest = C.materialise(named.join(open_lists, "list_key", "left_semi").distinct().join(sets.select("set_id", "parity"), "set_id"), "jaccard-open")
+    a, b = (rest.select("list_key", *(F.col(c).alias(f"{c}_{side}") for c in ("set_id", "n", "own", "label", "parity"))) for side in "ab")
+    unlike = (F.col("set_id_a") < F.col("set_id_b")) & (F.col("label_a") != F.col("label_b"))
+    return a.join(b, (a.list_key == b.list_key) & unlike & may_link(plan, "n_a", "own_a", "n_b", "own_b") & close(plan, "n_a", "parity_a", "n_b", "parity_b")).select(F.col("set_id_a").alias("a"), F.col("set_id_b").alias("b")).distinct()
 
 
 def groups(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -334,7 +351,7 @@ def groups(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, key: str = "
     pairs = C.materialise(to_centre.where((F.col("a") != F.col("b")) & may_link(plan, "n", "own", "m", "other")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "jaccard-pairs")
     links = C.materialise(verified(pairs, sets, plan), "jaccard-links")
     labels = components(links)
-    more = C.materialise(cross_pairs(lists, labels, plan).join(pairs, ["a", "b"], "left_anti"), "jaccard-cross")
+    more = C.materialise(cross_pairs(lists, labels, sets, plan).join(pairs, ["a", "b"], "left_anti"), "jaccard-cross")
     if not more.isEmpty():
         found = C.materialise(verified(more, sets, plan), "jaccard-links")
         if not found.isEmpty():
