@@ -42,20 +42,6 @@ SPAN = WINDOW - ANCHOR + 1  # runs of ANCHOR words in a window
 FAN_IN = 2
 
 
-class Powers:
-    """Powers of an odd number and of its inverse modulo 2**64, as many as were asked for."""
-
-    def __init__(self, base: int = 0xC2B2AE3D27D4EB4F):
-        self.base, self.inverse = base, pow(base, -1, 1 << 64)
-        self.up = self.down = np.ones(1, np.uint64)
-
-    def upto(self, n: int) -> None:
-        if len(self.up) < n:
-            n = max(n, 2 * len(self.up), 4096)
-            with np.errstate(over="ignore"):
-                self.up, self.down = (np.cumprod(np.array([1] + [x] * (n - 1), np.uint64), dtype=np.uint64) for x in (self.base, self.inverse))
-
-
 def _leftmost_least(x: np.ndarray, span: int) -> np.ndarray:
     """Place of the least of each ``span`` consecutive values, the leftmost of equals."""
     value, place, have = x, np.arange(len(x)), 1
@@ -80,14 +66,11 @@ class Piece:
     words of all texts; ``begin`` and ``count`` are the first word and the number of words of each text.
     """
 
-    def __init__(self, texts: list[bytes], table: C.WordTable, powers: Powers):
-        parts = [t.split() for t in texts]
-        self.words = [w for p in parts for w in p]
-        self.count = np.array([len(p) for p in parts], np.int64)
+    def __init__(self, texts: list[bytes], hasher: C.WordHasher):
+        self.count, self.one, self.two = hasher.of(texts)
         self.begin = np.cumsum(self.count) - self.count
         self.doc = np.repeat(np.arange(len(texts)), self.count)
-        n = len(self.words)
-        self.one, self.two = table.of(self.words)
+        n, powers = len(self.one), hasher.powers
         self.at = self.first = self.last = np.zeros(0, np.int64)
         self.h = self.g = np.zeros(0, np.uint64)
         if n < WINDOW:
@@ -143,9 +126,9 @@ def entries(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     """
 
     def run(batches):
-        table, powers = C.WordTable(), Powers()
+        hasher = C.WordHasher()
         for batch in C.chunks(batches, text):
-            x = Piece(C.as_bytes(batch, text), table, powers)
+            x = Piece(C.as_bytes(batch, text), hasher)
             if not len(x.at):
                 continue
             keys = C.column(batch, key).cast(pa.int64()).to_numpy(zero_copy_only=False)
@@ -170,9 +153,9 @@ def expand(texts: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     """Windows of the anchors in ``wanted`` (array of struct<at, g>): (w, v, doc, at, seq)."""
 
     def run(batches):
-        table, powers = C.WordTable(), Powers()
+        hasher = C.WordHasher()
         for batch in C.chunks(batches, text):
-            x = Piece(C.as_bytes(batch, text), table, powers)
+            x = Piece(C.as_bytes(batch, text), hasher)
             k = x.find(*_listed(batch, "wanted", "at", "g"))
             k = np.unique(k[k >= 0])
             if not len(k):
@@ -195,16 +178,16 @@ def removal(texts: DataFrame, keep: tuple[str, ...], text: str = "text") -> Data
     """
 
     def make():
-        table, powers = C.WordTable(), Powers()
+        hasher = C.WordHasher()
 
         def run(batch: pa.RecordBatch) -> dict[str, pa.Array]:
             texts = C.as_bytes(batch, text)
             doc, at, f, whole = _listed(batch, "marks", "at", "f", "whole")
             marked = np.unique(doc)  # only texts with marks are hashed
-            x = Piece([texts[i] for i in marked.tolist()], table, powers)
+            x = Piece([texts[i] for i in marked.tolist()], hasher)
             doc = np.searchsorted(marked, doc)
             whole = whole.astype(bool)
-            edge = np.zeros(len(x.words) + 1, np.int64)
+            edge = np.zeros(len(x.one) + 1, np.int64)
             k = x.find(doc[whole], at[whole], f[whole])
             k = k[k >= 0]
             np.add.at(edge, x.first[k], 1)
@@ -219,15 +202,12 @@ def removal(texts: DataFrame, keep: tuple[str, ...], text: str = "text") -> Data
             words, gone, left = [], [], []
             of = dict(zip(marked.tolist(), range(len(marked))))
             for i, t in enumerate(texts):
-                if (j := of.get(i)) is None:
-                    parts = t.split()
-                    words.append(len(parts))
-                    gone.append(0)
-                else:
-                    a, b = int(x.begin[j]), int(x.begin[j] + x.count[j])
-                    parts = list(compress(x.words[a:b], stays[a:b]))
-                    words.append(b - a)
-                    gone.append(b - a - len(parts))
+                parts = t.split()
+                words.append(len(parts))
+                if (j := of.get(i)) is not None:
+                    a = int(x.begin[j])
+                    parts = list(compress(parts, stays[a : a + len(parts)]))
+                gone.append(words[-1] - len(parts))
                 left.append(b" ".join(parts))
             return {"n_words": pa.array(words, pa.int64()), "n_removed": pa.array(gone, pa.int64()), "kept": pa.array(left, pa.binary()).cast(pa.string())}
 
