@@ -48,6 +48,22 @@ def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     return counted.where(F.length("word") <= LONGEST).groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def commonest(counted: DataFrame, most: int) -> list[bytes]:
+    """The ``most`` commonest words, ties in order of the word. ``counted`` is read twice, so it should be a stored table.
+
+    Every task would send its own ``most`` candidates to the driver; a histogram of the counts' logarithms leaves little more than
+    ``most`` words in all.
+    """
+    size = F.floor(F.log2("n") * 16)
+    left, least = most, 0
+    for r in sorted(counted.groupBy(size.alias("size")).agg(F.count(F.lit(1)).alias("c")).collect(), reverse=True):  # at most 16 * 63 rows
+        least = r.size
+        left -= r.c
+        if left <= 0:
+            break
+    return [bytes(r.word) for r in counted.where(size >= least).orderBy(F.desc("n"), "word").limit(most).collect()]
+
+
 class Cells:
     """Numbering of the counts: unigrams of the vocabulary and the unknown word, then bigrams (head, follower).
 
@@ -117,8 +133,8 @@ class Models:
 
 def train(docs: DataFrame, is_target: str, text: str = "text", max_vocab: int = 40_000, max_heads: int = 700, mixture: float = 0.6) -> Models:
     """``is_target`` names a boolean column (null: false)."""
-    best = word_counts(docs, text).orderBy(F.desc("n"), "word").limit(max_vocab)
-    words = [bytes(r.word) for r in best.collect()]  # at most max_vocab words of LONGEST bytes
+    C.bounded_batches(docs.sparkSession)
+    words = commonest(C.materialise(word_counts(docs, text), "lm-words"), max_vocab)  # of at most LONGEST bytes each
     heads = min(max_heads, len(words))
     shared = docs.sparkSession.sparkContext.broadcast(words)
 
@@ -184,5 +200,6 @@ def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Target: the documents that labels.quality marks 1."""
     docs, labels = C.table(spark, sf_dir, "documents"), C.table(spark, sf_dir, "labels")
     good = labels.where("quality = 1").select("doc_id").distinct().withColumn("is_target", F.lit(True))
-    marked = docs.select("doc_id", "text").join(good, "doc_id", "left")
+    # labels grow with the corpus: the same join at every size
+    marked = docs.select("doc_id", "text").join(good.hint("merge"), "doc_id", "left")
     return score(docs, train(marked, "is_target"))
