@@ -15,8 +15,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CHUNK_BYTES = 4 << 20
-CHUNK_ROWS = 4000
+CHUNK_BYTES = 2 << 20
+CHUNK_ROWS = 1000
 CACHE_ENTRIES = 300_000
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -47,6 +47,13 @@ def drop_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Hand at most CHUNK_ROWS rows at once to Python: both sides hold a batch whole, and rows can be long."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= CHUNK_ROWS:
+        spark.conf.set(name, str(CHUNK_ROWS))
+
+
 def crc_fold(key: str, folds: int) -> Column:
     """crc32 of the key as text, modulo ``folds``."""
     return F.crc32(F.col(key).cast("string").cast("binary")) % folds
@@ -201,6 +208,7 @@ def map_texts(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict[
     """
     from pyspark.sql.types import StructType
 
+    bounded_batches(df.sparkSession)
     new = StructType.fromDDL(fields)
     kept = [c for c in dict.fromkeys(keep) if c not in new.names]
     need = list(dict.fromkeys([*kept, text, *also]))

@@ -248,7 +248,8 @@ def member_sets(members: DataFrame, docs: DataFrame, profiled: DataFrame, k: int
             right = pc.fill_null(pc.equal(ids, C.column(batch, "set_id")), False)  # a key may have several texts
             yield pa.RecordBatch.from_arrays([ids, lists, parity], names=["set_id", "tokens", "parity"]).filter(right)
 
-    read = docs.select(key, text).join(holders, key).select(text, "set_id").mapInArrow(tokens_of, StructType.fromDDL("set_id long, tokens array<long>, parity array<long>"))
+    # copies grow with the corpus: the same join at every size
+    read = docs.select(key, text).join(holders.hint("merge"), key).select(text, "set_id").mapInArrow(tokens_of, StructType.fromDDL("set_id long, tokens array<long>, parity array<long>"))
     return read  # a set comes twice only where a row is repeated, which costs work but changes nothing
 
 
@@ -329,6 +330,7 @@ def cross_pairs(lists: DataFrame, labels: DataFrame, sets: DataFrame, plan: Plan
 
 def groups(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key``, n_shingles, component_id: the least key that is reachable by links of similarity num/den or more."""
+    C.bounded_batches(docs.sparkSession)
     profiled = C.materialise(profile(docs, k, key, text), "jaccard-profile")
     known = profiled.where(F.col(key).isNotNull() & F.col("set_id").isNotNull())
     with_key = docs.where(F.col(key).isNotNull())

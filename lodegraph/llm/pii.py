@@ -178,6 +178,7 @@ def sanitise(df: DataFrame, spans: str = "all_spans", text: str = "text") -> Dat
             at = batch.schema.get_field_index(text)
             yield batch.set_column(at, text, pa.array(out, pa.string())).drop_columns([spans])
 
+    C.bounded_batches(df.sparkSession)
     return df.mapInArrow(run, StructType([f for f in df.schema.fields if f.name != spans]))
 
 

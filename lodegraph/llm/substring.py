@@ -220,6 +220,7 @@ class PassageIndex:
     """An index that grows by batches. ``buckets`` should grow with the corpus: a bucket is sorted by one task."""
 
     def __init__(self, spark: SparkSession, buckets: int | None = None):
+        C.bounded_batches(spark)
         self.spark = spark
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.runs: list[str] = []
