@@ -4,7 +4,7 @@ A window is ``WINDOW`` words in a row. Each window has an anchor: of its runs of
 leftmost of equals. Equal windows have equal anchors, and windows that follow each other mostly share theirs, so the index holds
 one entry for each anchor: the anchor's hash ``h``, a fingerprint ``g`` of all the words that its windows span (its context), and
 where it stands. The entries of a batch are written once as a run: a table bucketed and sorted by ``h`` that never changes. A
-batch's run is merge-joined with all older runs, bucket by bucket, without a further shuffle:
+batch's run is merge-joined with all older runs, bucket by bucket:
 
 * An entry that isn't the first with its (h, g) is a whole context seen before: all its windows are repeats. h and g are hashed
   independently, so a match is verified by 128 bits.
@@ -253,7 +253,7 @@ class PassageIndex:
 
         place = F.struct("seq", "doc", "at")
         of_h, of_g = Window.partitionBy("h"), Window.partitionBy("h", "g")
-        # One sort by (h, g, seq, doc, at) serves both; every run is bucketed by h, so no entry moves.
+        # Every run is bucketed and sorted by h; whether Spark keeps that through the union is up to it.
         merged = self._merged(old, new).withColumn("top", F.min(place).over(of_g)).withColumn("lo", F.min("g").over(of_h)).withColumn("hi", F.max("g").over(of_h)).withColumn("newest", F.max("seq").over(of_h))
         first = F.col("top") == place
         judged = merged.select("seq", "doc", "at", "g", (F.col("known") | ~first).alias("whole"), (~F.col("known") & first & (F.col("lo") < F.col("hi")) & (F.col("newest") == seq)).alias("open"))
