@@ -1,14 +1,21 @@
 """Operator 6: cross-entropy difference of two matched n-gram models.
 
-A target model (texts marked as such) and a background model (all texts) are counted over the whole corpus in the same way, over
-one vocabulary: the ``max_vocab`` commonest words of the corpus, all others being one unknown word. Both are bigram models with
-the ``max_heads`` commonest words as heads: P(w | h) mixes the bigram estimate (for a word that isn't a head, that of "some other
-word", shared out by unigram probability) with the unigram estimate, by ``mixture``. A token's loss is -log2 P; a document's
-score is the mean over its tokens of target loss minus background loss, so lower is more like the target.
-
-Counts come from every text. The models' size is bounded by the vocabulary and the heads alone (words of over 64 bytes count as
-unknown). Null and empty texts have no tokens and null losses; an empty table gives an empty table; without a target text both
-models are the smoothed background's and every score is that of an untrained target.
+A target model (texts marked as such) and a background model (all texts) are counted over the whole corpus in the same way. Both
+are bigram models over the whole vocabulary, with every word as a head and the start of a text as one more: P(w | h) mixes the
+bigram estimate, (c(h, w) + 5 P(w)) / (c(h) + 5), with the unigram estimate P(w), by ``mixture``; unigram counts have 0.5 added,
+for the vocabulary and one unseen word. A token's loss is -log2 P; a document's score is the mean over its tokens of target loss
+minus background loss, so lower is more like the target.
+
+Counts are tables, joined to the texts by key; nothing that grows with the corpus is gathered on the driver or broadcast. Texts
+are put into pieces of about PIECE_BYTES. A piece asks once for each word, head and bigram that it holds, so a common one has as
+many rows as there are pieces, not as it has occurrences; the answers return to the piece, which scores its texts. Words and
+bigrams are identified by 64-bit hashes.
+
+``train`` and ``score`` are the same over the commonest words only (``max_vocab``, and ``max_heads`` as heads; words of over
+64 bytes count as unknown), with models that a task holds whole; the registered query doesn't use them.
+
+Null and empty texts have no tokens and null losses; an empty table gives an empty table; without a target text both models are
+the smoothed background's and every score is that of an untrained target.
 """
 
 from __future__ import annotations
@@ -17,13 +24,15 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from . import common as C
 
 LONGEST = 64
+PIECE_BYTES = 4 << 20
+START, CONTEXT = np.uint64(0x5851F42D4C957F2D), np.uint64(0xA0761D6478BD642F)
 
 
 def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -196,10 +205,115 @@ def score(df: DataFrame, models: Models, keep=("doc_id",), text: str = "text") -
     return C.map_texts(df, make, "n_tokens long, background_loss double, target_loss double, score double", keep, text)
 
 
+def pieces(docs: DataFrame, is_target: str, keep=("doc_id",), text: str = "text") -> DataFrame:
+    """piece long, and lists (row for row): texts, marks, and the columns ``keep`` as k0, k1, ... A stored table."""
+    C.bounded_batches(docs.sparkSession)
+
+    def cut(batches):
+        from pyspark import TaskContext
+
+        at = TaskContext.get().partitionId() << 32
+
+        def piece(parts):
+            whole = pa.Table.from_batches(parts).combine_chunks()
+            lists = [pa.ListArray.from_arrays(pa.array([0, whole.num_rows], pa.int32()), whole.column(c).combine_chunks()) for c in whole.column_names]
+            return pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), *lists], names=schema.names)
+
+        parts, size = [], 0
+        for batch in C.chunks(batches, "texts"):
+            more = C.column(batch, "texts").nbytes
+            if parts and size + more > PIECE_BYTES:
+                yield piece(parts)
+                at, parts, size = at + 1, [], 0
+            parts.append(batch)
+            size += more
+        if parts:
+            yield piece(parts)
+
+    rows = docs.select(F.col(text).alias("texts"), F.coalesce(F.col(is_target), F.lit(False)).alias("marks"), *(F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)))
+    schema = StructType([StructField("piece", LongType()), *(StructField(f.name, ArrayType(f.dataType)) for f in rows.schema.fields)])
+    return C.materialise(rows.mapInArrow(cut, schema), "lm-pieces")
+
+
+class Piece:
+    """The keys that a piece asks for (words, contexts, bigrams) and where its tokens find them."""
+
+    def __init__(self, texts: list[bytes], hasher: C.WordHasher):
+        self.many, one, _ = hasher.of(texts)
+        starts = (np.cumsum(self.many) - self.many)[self.many > 0]
+        before = np.empty_like(one)
+        before[1:] = one[:-1]
+        before[starts] = START
+        with np.errstate(over="ignore"):
+            context = C.mix(before + CONTEXT)
+            asked = [one, context, C.mix(context * C.ODD + one)]
+        found = [np.unique(x, return_inverse=True) for x in asked]
+        self.sizes = [len(keys) for keys, _ in found]
+        offsets = np.cumsum([0, *self.sizes[:2]])
+        self.keys = np.concatenate([keys for keys, _ in found])
+        self.word, self.context, self.bigram = (at + offset for (_, at), offset in zip(found, offsets))
+
+    def counts(self, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        marked = np.repeat(marks, self.many)
+        places = (self.word, self.context, self.bigram)
+        return tuple(sum(np.bincount(at[mask], minlength=len(self.keys)) for at in places) for mask in (slice(None), marked))
+
+
+def asked(stored: DataFrame) -> DataFrame:
+    """One row for each key of each piece: piece, slot, key, is_word, background and target (counts in the piece)."""
+
+    def ask(batches):
+        hasher = C.WordHasher()
+        for batch in batches:
+            for i, texts in enumerate(C.column(batch, "texts")):
+                p = Piece([(t or "").encode() for t in texts.as_py()], hasher)
+                background, target = p.counts(np.array(C.column(batch, "marks")[i].as_py(), bool))
+                slot = np.arange(len(p.keys), dtype=np.int32)
+                piece = np.full(len(slot), C.column(batch, "piece")[i].as_py(), np.int64)
+                columns = [pa.array(piece), pa.array(slot), C.signed(p.keys), pa.array(slot < p.sizes[0]), pa.array(background.astype(np.int64)), pa.array(target.astype(np.int64))]
+                whole = pa.RecordBatch.from_arrays(columns, names=["piece", "slot", "key", "is_word", "background", "target"])
+                for start in range(0, len(slot), 100_000):
+                    yield whole.slice(start, 100_000)
+
+    return stored.select("piece", "texts", "marks").mapInArrow(ask, "piece long, slot int, key long, is_word boolean, background long, target long")
+
+
+def score_whole(docs: DataFrame, is_target: str, keep=("doc_id",), text: str = "text", mixture: float = 0.6) -> DataFrame:
+    """``keep`` columns, n_tokens long, background_loss, target_loss and score, under models of the whole vocabulary."""
+    stored = pieces(docs, is_target, keep, text)
+    rows = asked(stored)
+    vocabulary = rows.where("is_word").groupBy("key").agg(F.sum("background").alias("b"), F.sum("target").alias("t"))
+    v, *tokens = vocabulary.agg(F.count(F.lit(1)), F.coalesce(F.sum("b"), F.lit(0)), F.coalesce(F.sum("t"), F.lit(0))).first()
+    of_key = Window.partitionBy("key")
+    answers = rows.select("piece", "slot", F.sum("background").over(of_key).alias("background"), F.sum("target").over(of_key).alias("target"))
+    fields = StructType.fromDDL("n_tokens long, background_loss double, target_loss double, score double")
+    schema = StructType([*(docs.schema[c] for c in keep if c not in fields.names), *fields.fields])
+    kept = [(f"k{i}", c) for i, c in enumerate(keep) if c not in fields.names]
+
+    def losses(left: pa.Table, right: pa.Table) -> pa.Table:
+        texts = left.column("texts")[0].as_py()
+        p = Piece([(t or "").encode() for t in texts], C.WordHasher())
+        slot, some = right.column("slot").to_numpy(), p.many > 0
+        starts = (np.cumsum(p.many) - p.many)[some]
+        means = np.full((2, len(texts)), np.nan)
+        for row, name in enumerate(("background", "target")):
+            if not len(starts):
+                break
+            counts = np.zeros(len(p.keys))
+            counts[slot] = right.column(name).to_numpy()
+            uni = (counts[p.word] + 0.5) / (tokens[row] + 0.5 * (v + 1))
+            loss = -np.log2(mixture * (counts[p.bigram] + 5.0 * uni) / (counts[p.context] + 5.0) + (1 - mixture) * uni)
+            means[row, some] = np.add.reduceat(loss, starts) / p.many[some]
+        out = [pa.array(p.many.astype(np.int64)), *(pa.array(x, mask=~some) for x in (means[0], means[1], means[1] - means[0]))]
+        return pa.table([*(left.column(k).combine_chunks().flatten() for k, _ in kept), *out], names=schema.names)
+
+    return stored.drop("marks").groupBy("piece").cogroup(answers.groupBy("piece")).applyInArrow(losses, schema)
+
+
 def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Target: the documents that labels.quality marks 1."""
     docs, labels = C.table(spark, sf_dir, "documents"), C.table(spark, sf_dir, "labels")
     good = labels.where("quality = 1").select("doc_id").distinct().withColumn("is_target", F.lit(True))
     # labels grow with the corpus: the same join at every size
     marked = docs.select("doc_id", "text").join(good.hint("merge"), "doc_id", "left")
-    return score(docs, train(marked, "is_target"))
+    return score_whole(marked, "is_target")

@@ -146,6 +146,39 @@ def test_losses_equal_brute_force(spark):
         assert (b, t) == pytest.approx(tuple(None if v is None else v for v in want), abs=1e-5) if ids else (b, t, s) == (None, None, None)
 
 
+def test_whole_vocabulary(spark, monkeypatch):
+    """The distributed models are those of an unbounded vocabulary with every word as a head, whatever the pieces."""
+    rows = [*corpus(6, 40), (900, "rare " + "x" * 70 + " rare " + "x" * 70, None, None, 0), (901, "rare " + "y" * 70, None, None, 0)]
+    df = frame(spark, rows, n_tokens=7).withColumn("is_target", F.when(F.col("doc_id") % 2 == 0, True))
+    docs = [(i, (t or "").encode().split()) for i, t, *_ in rows]
+    vocabulary = {w for _, ws in docs for w in ws}
+
+    def model(chosen):
+        uni, heads, pairs = Counter(), Counter(), Counter()
+        for _, ws in chosen:
+            uni.update(ws)
+            heads.update([None, *ws][: len(ws)])
+            pairs.update(zip([None, *ws], ws))
+        total = sum(uni.values()) + 0.5 * (len(vocabulary) + 1)
+
+        def loss(h, w):
+            u = (uni[w] + 0.5) / total
+            return -math.log2(0.6 * (pairs[h, w] + 5 * u) / (heads[h] + 5) + 0.4 * u)
+
+        return loss
+
+    models = model(docs), model([d for d in docs if d[0] % 2 == 0])
+    for size in (lmscore.PIECE_BYTES, 1):
+        monkeypatch.setattr(lmscore, "PIECE_BYTES", size)
+        out = lmscore.score_whole(df, "is_target")
+        assert out.count() == len(rows)
+        got = by_id(out, "n_tokens", "background_loss", "target_loss")
+        for i, ws in docs:
+            want = [sum(m(h, w) for h, w in zip([None, *ws], ws)) / len(ws) if ws else None for m in models]
+            for n, *losses in got[i]:
+                assert n == len(ws) and (losses == pytest.approx(want, abs=1e-9) if ws else losses == want)
+
+
 def test_lm_query_and_empty_tables(spark, tmp_path):
     rows = [*corpus(5, 30), (None, "w1 w2", None, None, 0)]
     frame(spark, rows, is_target="x", n_tokens=0).write.parquet(f"{tmp_path}/documents.parquet")
