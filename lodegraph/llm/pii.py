@@ -4,8 +4,10 @@ Base spans are found by form (e-mail, IP, card and phone numbers); their values
 within ``reach`` words of an entity are its context. Over the whole corpus, how strongly a term t reveals an entity e is
 PMI(t; e) / IC(e) = log(N c(t,e) / (c(t) c(e))) / log(N / c(e)), with N texts, c(e) and c(t) the numbers of texts with e and
 with t, and c(t,e) of texts with t in e's context; 1 means that t tells e for certain. A term is disclosing if this is at least
-``threshold`` and the pair is seen in at least ``support`` different contexts (copies of a passage count once: one sighting of
-a pair estimates nothing). Disclosing terms are generalised: in e's contexts they become spans of kind ``term``.
+``threshold`` and the pair isn't chance. Pairs seen in at least ``support`` different contexts (copies of a passage count once)
+aren't; of the others those are, unless t is found elsewhere too and k contexts are unlikely where t and e are independent: at
+most (c(t) c(e) / N)^k / k!, a bound of the Poisson tail, which must not exceed ``chance``. (A word that stands nowhere but in
+one passage has no frequency to judge by.) Disclosing terms are generalised: in e's contexts they become spans of kind ``term``.
 
 Matches are leftmost and don't overlap within a kind; one that fails its check is dropped, and the search goes on behind it.
 Null texts are empty. Texts in which nothing is found have no spans; repeated rows are judged alike, and count once. Rows whose
@@ -129,14 +131,14 @@ def find(df: DataFrame, keep=("doc_id",), text: str = "text", reach: int = 6) ->
     return C.map_texts(df, make, FOUND, keep, text)
 
 
-def disclosing(found: DataFrame, docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.8, support: int = 3) -> DataFrame:
+def disclosing(found: DataFrame, docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.8, support: int = 3, chance: float = 0.01) -> DataFrame:
     """(entity, term) pairs that disclose too much, as a stored table. ``found`` is ``find``'s result, stored.
 
     The threshold bounds c(t) from above, and the texts that have t in some context bound it from below: pairs that these two
     rule out need no count of t over the corpus. So only words that are rare near entities are counted in all texts.
     """
     pairs = found.where(F.col(key).isNotNull()).select(key, F.explode("contexts").alias("x")).select(key, "x.entity", "x.seal", F.explode_outer("x.terms.term").alias("term"))
-    seen = pairs.where("term is not null").groupBy("entity", "term").agg(F.countDistinct("seal").alias("n_contexts"), F.countDistinct(key).alias("c_te")).where(F.col("n_contexts") >= support)
+    seen = pairs.where("term is not null").groupBy("entity", "term").agg(F.countDistinct("seal").alias("n_contexts"), F.countDistinct(key).alias("c_te"))
     n = docs.count()
     c_e = pairs.groupBy("entity").agg(F.countDistinct(key).alias("c_e")).where(F.col("c_e") < n)
     at_least = pairs.where("term is not null").groupBy("term").agg(F.countDistinct(key).alias("c_least"))
@@ -149,7 +151,10 @@ def disclosing(found: DataFrame, docs: DataFrame, key: str = "doc_id", text: str
         return open_pairs.select("entity", "term")
     words = docs.where(F.col(key).isNotNull()).select(key, F.explode(F.array_distinct(F.transform(F.split(F.lower(F.col(text)), "[\\x20\\x09-\\x0D]+"), lambda w: F.btrim(w, F.lit(EDGES))))).alias("term"))
     c_t = words.join(open_pairs.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.countDistinct(key).alias("c_t"))
-    return C.materialise(open_pairs.join(c_t, "term").where(strength("c_t") >= threshold).select("entity", "term"), "pii-terms")
+    k = F.least("n_contexts", F.lit(20)).cast("int")
+    luck = F.pow(F.col("c_t") * F.col("c_e") / n, k) / F.factorial(k)
+    meant = (F.col("n_contexts") >= support) | ((F.col("c_t") > F.col("c_te")) & (luck <= chance))
+    return C.materialise(open_pairs.join(c_t, "term").where((strength("c_t") >= threshold) & meant).select("entity", "term"), "pii-terms")
 
 
 def extra_spans(found: DataFrame, pairs: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -67,6 +67,15 @@ def test_disclosing_terms(spark, tmp_path):
     assert (out[302].n_phone, out[302].n_card, out[302].n_ip, out[302].n_email) == (1, 1, 1, 0)
 
 
+def test_pairs_of_one_context(spark):
+    """A rare word that is found elsewhere is judged by one sighting; a word that stands nowhere else and common words aren't terms."""
+    rows = [(i, f"filler text number n{i} of common words", None, None, 0) for i in range(600)]
+    rows += [(1000, "common words by Trillian at t.m@mail.example.com only", None, None, 0), (1001, "Trillian was here", None, None, 0)]
+    df = frame(spark, rows)
+    pairs = {tuple(r) for r in pii.disclosing(pii.find(df).cache(), df).select("entity", "term").collect()}
+    assert pairs == {("email:t.m@mail.example.com", "trillian")}
+
+
 def test_sanitised_texts(spark):
     rows = texts()
     df = frame(spark, rows)
