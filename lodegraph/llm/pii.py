@@ -7,7 +7,8 @@ with t, and c(t,e) of texts with t in e's context; 1 means that t tells e for ce
 ``threshold`` and the pair isn't chance. Pairs seen in at least ``support`` different contexts (copies of a passage count once)
 aren't; of the others those are, unless t is found elsewhere too and k contexts are unlikely where t and e are independent: at
 most (c(t) c(e) / N)^k / k!, a bound of the Poisson tail, which must not exceed ``chance``. (A word that stands nowhere but in
-one passage has no frequency to judge by.) Disclosing terms are generalised: in e's contexts they become spans of kind ``term``.
+one passage has no frequency to judge by.) Disclosing terms are generalised: every occurrence in any text becomes a span of kind
+``term``, unless it overlaps a base span.
 
 Matches are leftmost and don't overlap within a kind; one that fails its check is dropped, and the search goes on behind it.
 Null texts are empty. Texts in which nothing is found have no spans; repeated rows are judged alike, and count once. Rows whose
@@ -131,6 +132,11 @@ def find(df: DataFrame, keep=("doc_id",), text: str = "text", reach: int = 6) ->
     return C.map_texts(df, make, FOUND, keep, text)
 
 
+def words_of(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """``key``, term: the different words of every text, as ``contexts`` writes terms."""
+    return docs.where(F.col(key).isNotNull()).select(key, F.explode(F.array_distinct(F.transform(F.split(F.lower(F.col(text)), "[\\x20\\x09-\\x0D]+"), lambda w: F.btrim(w, F.lit(EDGES))))).alias("term"))
+
+
 def disclosing(found: DataFrame, docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.8, support: int = 3, chance: float = 0.01) -> DataFrame:
     """(entity, term) pairs that disclose too much, as a stored table. ``found`` is ``find``'s result, stored.
 
@@ -149,18 +155,42 @@ def disclosing(found: DataFrame, docs: DataFrame, key: str = "doc_id", text: str
     open_pairs = C.materialise(seen.join(c_e, "entity").join(at_least, "term").where(strength("c_least") >= threshold).drop("c_least"), "pii-pairs")
     if open_pairs.isEmpty():
         return open_pairs.select("entity", "term")
-    words = docs.where(F.col(key).isNotNull()).select(key, F.explode(F.array_distinct(F.transform(F.split(F.lower(F.col(text)), "[\\x20\\x09-\\x0D]+"), lambda w: F.btrim(w, F.lit(EDGES))))).alias("term"))
-    c_t = words.join(open_pairs.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.countDistinct(key).alias("c_t"))
+    c_t = words_of(docs, key, text).join(open_pairs.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.countDistinct(key).alias("c_t"))
     k = F.least("n_contexts", F.lit(20)).cast("int")
     luck = F.pow(F.col("c_t") * F.col("c_e") / n, k) / F.factorial(k)
     meant = (F.col("n_contexts") >= support) | ((F.col("c_t") > F.col("c_te")) & (luck <= chance))
     return C.materialise(open_pairs.join(c_t, "term").where((strength("c_t") >= threshold) & meant).select("entity", "term"), "pii-terms")
 
 
-def extra_spans(found: DataFrame, pairs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Per key the spans of disclosing terms: ``key``, terms array<struct<a,b>>, sorted, without repeats."""
-    places = found.where(F.col(key).isNotNull()).select(key, F.explode("contexts").alias("x")).select(key, "x.entity", F.explode("x.terms").alias("t")).select(key, "entity", "t.term", "t.a", "t.b")
-    return places.join(pairs, ["entity", "term"], "left_semi").groupBy(key).agg(F.array_sort(F.collect_set(F.struct("a", "b"))).alias("terms"))
+def places(text: str, wanted: set[str], least: int = 3) -> list[tuple[int, int]]:
+    """Where the terms ``wanted`` stand in the text, outside its base spans."""
+    spans = base_spans(text)
+    out = []
+    for m in WORD.finditer(text):
+        word = m[0].strip(EDGES)
+        if len(word) >= least and word.lower() in wanted:
+            start = m.start() + m[0].find(word)
+            if not any(a < start + len(word) and start < b for _, a, b in spans):
+                out.append((start, start + len(word)))
+    return out
+
+
+def extra_spans(docs: DataFrame, pairs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Per key the spans of disclosing terms wherever they stand: ``key``, terms array<struct<a,b>>, sorted, without repeats."""
+    hits = words_of(docs, key, text).join(pairs.select("term").distinct(), "term", "left_semi").groupBy(key).agg(F.collect_set("term").alias("wanted"))
+    held = docs.select(key, F.col(text).alias("text")).join(hits, key)
+
+    def make():
+        kind = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
+
+        def run(batch: pa.RecordBatch) -> dict[str, pa.Array]:
+            rows = zip(C.column(batch, "text").to_pylist(), C.column(batch, "wanted").to_pylist())
+            return {"found_terms": pa.array([[{"a": a, "b": b} for a, b in places(t, set(w))] for t, w in rows], kind)}
+
+        return run
+
+    found = C.map_texts(held, make, "found_terms array<struct<a:int,b:int>>", (key,), "text", ("wanted",))
+    return found.select(key, F.explode("found_terms").alias("t")).groupBy(key).agg(F.array_sort(F.collect_set("t")).alias("terms"))
 
 
 def sanitise(df: DataFrame, spans: str = "all_spans", text: str = "text") -> DataFrame:
@@ -192,7 +222,7 @@ def with_all_spans(found: DataFrame, docs: DataFrame, key: str = "doc_id", **lim
     pairs = disclosing(found, docs, key, **limits)
     if pairs.isEmpty():
         return found.withColumn("all_spans", F.col("spans"))
-    more = extra_spans(found, pairs, key)
+    more = extra_spans(docs, pairs, key)
     terms = F.transform(F.coalesce("terms", F.array().cast("array<struct<a:int,b:int>>")), lambda t: F.struct(F.lit("term").alias("kind"), t["a"].alias("a"), t["b"].alias("b")))
     return found.join(more, key, "left").withColumn("all_spans", F.concat("spans", terms)).drop("terms")
 

@@ -76,6 +76,17 @@ def test_pairs_of_one_context(spark):
     assert pairs == {("email:t.m@mail.example.com", "trillian")}
 
 
+def test_terms_far_from_the_entity(spark):
+    rows = [(i, f"filler text number n{i} of common words", None, None, 0) for i in range(600)]
+    rows += [(1000, "Trillian, " + "common words " * 20 + "by trillian at t.m@mail.example.com only", None, None, 0), (1001, "(Trillian) was here, not trillian@mail.example.org", None, None, 0), (1001, "(Trillian) was here, not trillian@mail.example.org", None, None, 0)]
+    df = pii.with_key(frame(spark, rows))
+    out = pii.with_all_spans(pii.find(df, ("doc_id", pii.KEY)).cache(), df, pii.KEY)
+    assert out.count() == len(rows)
+    text = {i: t for i, t, *_ in rows}
+    got = {r.doc_id: [text[r.doc_id][s.a : s.b] for s in r.all_spans if s.kind == "term"] for r in out.collect()}
+    assert got[1000] == ["Trillian", "trillian"] and got[1001] == ["Trillian"] and not any(got[i] for i in range(600))
+
+
 def test_sanitised_texts(spark):
     rows = texts()
     df = frame(spark, rows)
