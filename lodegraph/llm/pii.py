@@ -19,6 +19,8 @@ code points.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
+from itertools import accumulate
 
 import pyarrow as pa
 import xxhash
@@ -89,21 +91,31 @@ def value(kind: str, text: str) -> str:
 
 def contexts(text: str, spans: list[tuple[str, int, int]], reach: int) -> list[tuple[str, int, list[tuple[str, int, int]]]]:
     """For each span its entity, a hash of its context, and the context's terms with their places."""
+    if not spans:
+        return []
+    words = [m.span() for m in WORD.finditer(text)]
+    begins = [a for a, _ in words]
+    ordered = sorted((a, b) for _, a, b in spans)
+    starts, ends = [a for a, _ in ordered], list(accumulate((b for _, b in ordered), max))
+
+    def bare(start: int, stop: int) -> tuple[int, int]:
+        while start < stop and text[start] in EDGES:
+            start += 1
+        while start < stop and text[stop - 1] in EDGES:
+            stop -= 1
+        return start, stop
+
     out = []
     for kind, a, b in spans:
-        left = list(WORD.finditer(text, max(0, a - 64 * reach), a))[-reach:]
-        right = []
-        for m in WORD.finditer(text, b):
-            right.append(m)
-            if len(right) >= reach:
-                break
+        at, last = bisect_left(begins, a), bisect_left(begins, b)  # a word that the span cuts is a word on either side
+        left = [(s, min(e, a)) for s, e in words[max(0, at - reach) : at]]
+        cut = [(b, words[last - 1][1])] if words[last - 1][1] > b else []
+        right = [*cut, *words[last : last + reach - len(cut)]]
         terms = []
-        for m in (*left, *right):
-            word = m[0].strip(EDGES)
-            start = m.start() + m[0].find(word) if word else m.start()
-            stop = start + len(word)
-            if len(word) > 2 and len(word) <= 64 and not any(s < stop and start < e for _, s, e in spans):
-                terms.append((word.lower(), start, stop))
+        for start, stop in (bare(*w) for w in (*left, *right)):
+            before = bisect_left(starts, stop)  # spans that start before the word's end
+            if stop - start > 2 and not (before and ends[before - 1] > start):
+                terms.append((text[start:stop].lower(), start, stop))
         seal = xxhash.xxh3_64_intdigest("\0".join(t for t, _, _ in terms)) >> 1
         out.append((value(kind, text[a:b]), seal, terms))
     return out

@@ -35,6 +35,19 @@ def test_base_spans_equal_the_patterns():
     assert pii.base_spans("9" * 100_000 + "." * 50_000 + "a" * 100_000 + "@") == []
 
 
+def test_contexts_of_long_words():
+    """Contexts are whole words, six on either side, however long the words are."""
+    rng = random.Random(2)
+    for size in (4, 70, 500):
+        for _ in range(50):
+            left, right = (["".join(rng.choice("abc") for _ in range(rng.randrange(3, size))) for _ in range(rng.randrange(9))] for _ in range(2))
+            t = "\n ".join([*left, "<x@mail.example.com>,", *right])
+            ((entity, _, terms),) = pii.contexts(t, pii.base_spans(t), 6)
+            # the signs around the entity are a word on either side
+            assert entity == "email:x@mail.example.com" and [w for w, _, _ in terms] == left[-5:] + right[:5]
+            assert all(t[a:b] == w for w, a, b in terms)
+
+
 def texts():
     """One address is named in many different contexts with one word that occurs nowhere else."""
     rng = random.Random(1)
