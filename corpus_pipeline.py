@@ -1,7 +1,7 @@
 """A training-data pipeline over ``documents``; its stages call operators of lodegraph.llm.
 
-Every stage takes all rows that its predecessor kept. Rows without a doc_id are kept by the stages that compare documents, since
-nothing can refer to them.
+Every stage takes all rows that its predecessor kept. Stages that compare documents know a row by a hash of its doc_id and text
+(``pii.with_key``), so rows without a doc_id, and different texts under one, are judged each; rows equal in both are copies.
 """
 
 from __future__ import annotations
@@ -25,17 +25,27 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def no_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """N-gram Jaccard join on five-word shingles from 0.8: the least doc_id of each group stays."""
-    named = jaccard.groups(docs, 5, 4, 5)
-    copies = common.materialise(named.where("component_id <> doc_id").select("doc_id").distinct(), "stage-copies")
-    return docs.join(copies, "doc_id", "left_anti").select(docs.columns)
+    """N-gram Jaccard join on five-word shingles from 0.8: one row of each group stays, of the least doc_id (null last)."""
+    key = pii.KEY
+    keyed = pii.with_key(docs)
+    named = jaccard.groups(keyed, 5, 4, 5, key=key).where("component_id is not null").select(key, "component_id")
+    # rows that are repeated have one key, and are counted here
+    rows = keyed.groupBy(key).agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("n"))
+    named = common.materialise(named.distinct().join(rows, key).select("component_id", key, "n", F.struct(F.col("id").isNull().alias("last"), "id", key).alias("rank")), "stage-groups")
+    first = named.groupBy("component_id").agg(F.min("rank").alias("first"))
+    judged = named.join(first, "component_id").select(key, "n", (F.col("rank")[key] == F.col("first")[key]).alias("stays"))
+    apart = common.materialise(judged.where("not stays or n > 1").select(key, "stays"), "stage-copies")
+    alone = keyed.join(apart, key, "left_anti")
+    one = keyed.join(apart.where("stays").select(key), key, "left_semi").dropDuplicates([key])
+    return alone.unionByName(one).select(docs.columns)
 
 
 def no_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Benchmark decontamination: documents that hold a benchmark item go."""
-    found = decontaminate.matches(docs, common.table(spark, sf_dir, "benchmark"))
-    leaks = common.materialise(found.select("doc_id").distinct(), "stage-leaks")
-    return docs.join(leaks, "doc_id", "left_anti").select(docs.columns)
+    keyed = pii.with_key(docs)
+    found = decontaminate.matches(keyed, common.table(spark, sf_dir, "benchmark"), pii.KEY)
+    leaks = common.materialise(found.select(pii.KEY).distinct(), "stage-leaks")
+    return keyed.join(leaks, pii.KEY, "left_anti").select(docs.columns)
 
 
 def no_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -56,6 +56,21 @@ def test_every_stage_takes_effect(spark, tmp_path):
         assert r.round_trip and [int.from_bytes(r.token_ids[k : k + 4], "little") for k in range(0, len(r.token_ids), 4)] == reference.encode_ordinary(texts[i][0])
 
 
+def test_rows_are_judged_each(spark, tmp_path):
+    """Repeated rows, rows without a doc_id and different texts under one doc_id."""
+    rng = random.Random(3)
+    a, b, c, d, item = (sentence(rng, 40) for _ in range(5))
+    rows = [(1, a), (1, a), (1, b), (2, b), (None, b), (None, c), (None, c), (3, d), (3, item), (None, item + " end"), (4, None), (None, "")]
+    docs = frame(spark, [(i, t, "en", "s", 0) for i, t in rows])
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    kept = corpus_pipeline.no_near_copies(spark, docs, str(tmp_path))
+    assert kept.columns == docs.columns
+    one = sorted(((r.doc_id, r.text) for r in kept.collect()), key=str)
+    assert one == sorted([(1, a), (1, b), (None, c), (3, d), (3, item), (4, None), (None, "")], key=str)
+    clean = corpus_pipeline.no_leaks(spark, docs, str(tmp_path))
+    assert sorted(((r.doc_id, r.text) for r in clean.collect()), key=str) == sorted([x for x in rows if item not in (x[1] or "")], key=str)
+
+
 def test_empty_tables(spark, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
