@@ -7,7 +7,7 @@ are compared in lower case by shingles of SHINGLE words (of m words, for shorter
    are fingerprinted: documents' shingles are matched against the items' shingles, and every window of the item's size around a
    match is taken. This loses nothing.
 2. SimHash. A fingerprint has 64 bits; bit b is set if most of the window's shingle hashes have it set. Occurrences are added up
-   in packed counters, four of 16 bits to a long, so an item has fewer than 2**15 words (longer ones are refused).
+   in packed counters, four of 16 bits to a long; for items of 2**15 words or more in a counter for each bit.
 3. Multi-index. A fingerprint is cut into BLOCKS blocks. Two fingerprints within RADIUS bits differ in at most RADIUS // BLOCKS
    bits in one block, so items are listed under every value of each block within that distance: a lookup of a window's blocks
    finds all items within RADIUS. RADIUS is three standard deviations above what a similarity of 0.8 leads one to expect.
@@ -54,15 +54,20 @@ def shingles(words: Column, k: int) -> Column:
     return F.when(n > 0, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.xxhash64(F.slice(words, i, F.lit(k))))).otherwise(F.array().cast("array<bigint>"))
 
 
-def fingerprints(rows: DataFrame, by: list[str], hash_column: str = "h") -> DataFrame:
-    """``by``, f: the SimHash of each group's hashes; n: their number. Groups hold fewer than 2**15 hashes each."""
+def fingerprints(rows: DataFrame, by: list[str], hash_column: str = "h", large: bool = False) -> DataFrame:
+    """``by``, f: the SimHash of each group's hashes; n: their number. ``large``: groups may hold 2**15 hashes or more."""
     h = F.col(hash_column)
-    sums = [F.sum((F.shiftrightunsigned(h, 4 * i).bitwiseAND(F.lit(15)) * F.lit(SPREAD)).bitwiseAND(F.lit(LANES))).alias(f"c{i}") for i in range(PACK)]
-    counted = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *sums)
+    if large:  # a counter for each bit
+        counts = [F.sum(F.shiftrightunsigned(h, b).bitwiseAND(F.lit(1))).alias(f"b{b}") for b in range(BITS)]
+        counted = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *counts)
+        ones = [F.col(f"b{b}") for b in range(BITS)]
+    else:
+        sums = [F.sum((F.shiftrightunsigned(h, 4 * i).bitwiseAND(F.lit(15)) * F.lit(SPREAD)).bitwiseAND(F.lit(LANES))).alias(f"c{i}") for i in range(PACK)]
+        counted = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *sums)
+        ones = [F.shiftrightunsigned(F.col(f"c{b // 4}"), 16 * (b % 4)).bitwiseAND(F.lit(0xFFFF)) for b in range(BITS)]
 
     def bit(b: int) -> Column:
-        ones = F.shiftrightunsigned(F.col(f"c{b // 4}"), 16 * (b % 4)).bitwiseAND(F.lit(0xFFFF))
-        return F.when(2 * ones > F.col("n"), F.shiftleft(F.lit(1).cast("long"), b)).otherwise(F.lit(0).cast("long"))
+        return F.when(2 * ones[b] > F.col("n"), F.shiftleft(F.lit(1).cast("long"), b)).otherwise(F.lit(0).cast("long"))
 
     return counted.select(*by, "n", reduce(lambda x, y: x.bitwiseOR(y), map(bit, range(BITS))).alias("f"))
 
@@ -137,8 +142,7 @@ def windows_by_join(docs: DataFrame, item_hashes: DataFrame, widths: list[int],
 def matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", k: int = SHINGLE, similarity: float = 0.8, table_rows: int = TABLE_ROWS) -> DataFrame:
     """``key``, item, start (word), n_words, similarity: every document and item of which a window is similar enough."""
     items = C.materialise(item_table(benchmark, item_key, item_text, k), "decon-items")
-    if not items.where(F.col("m") >= 1 << 15).isEmpty():
-        raise ValueError("a benchmark item has 2**15 words or more")
+    any_large = not items.where(F.col("m") >= 1 << 15).isEmpty()
     item_hashes = C.materialise(items.select("item", "m", "k", F.explode("hashes").alias("h")), "decon-hashes")
     total, widths = item_hashes.count(), sorted(r.k for r in items.select("k").distinct().collect())  # at most k widths
     if not widths:
@@ -160,8 +164,12 @@ def matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: st
 
     # 2. and 3. fingerprints, and the items within RADIUS; windows with equal words are one
     kinds = C.materialise(windows.select("seal", "k", "m", "words").dropDuplicates(["seal", "k", "m"]), "decon-kinds")
-    prints = fingerprints(with_hashes(kinds, ["seal", "k", "m"]), ["seal", "k", "m"])
-    item_prints = fingerprints(item_hashes, ["item", "k", "m"]).select("item", "k", "m", F.col("f").alias("g"), F.col("n").alias("n_item"))
+    def all_prints(rows: DataFrame, by: list[str]) -> DataFrame:
+        small = fingerprints(rows.where(F.col("m") < 1 << 15) if any_large else rows, by)
+        return small.unionByName(fingerprints(rows.where(F.col("m") >= 1 << 15), by, large=True)) if any_large else small
+
+    prints = all_prints(with_hashes(kinds, ["seal", "k", "m"]), ["seal", "k", "m"])
+    item_prints = all_prints(item_hashes, ["item", "k", "m"]).select("item", "k", "m", F.col("f").alias("g"), F.col("n").alias("n_item"))
     flips = [x for x in range(1 << WIDTH) if x.bit_count() <= RADIUS // BLOCKS]
     listed = item_prints.select("*", F.explode(blocks(F.col("g"))).alias("b")).select("item", "k", "m", "g", "n_item", F.col("b.block").alias("block"), F.explode(F.transform(F.array(*map(F.lit, flips)), lambda x: F.col("b.value").bitwiseXOR(x))).alias("value"))
     asked = prints.select("seal", "k", "m", "f", "n", F.explode(blocks(F.col("f"))).alias("b")).select("seal", "k", "m", "f", "n", F.col("b.block").alias("block"), F.col("b.value").alias("value"))

@@ -63,6 +63,21 @@ def test_equals_brute_force(spark):
         assert len(got) == len({(r.doc_id, r.item) for r in got})
 
 
+def test_items_of_any_length(spark):
+    """An item whose counters don't fit 16 bits is found like the others, and doesn't stop them."""
+    rng = random.Random(9)
+    long = [f"w{rng.randrange(300)}" for _ in range((1 << 15) + 50)]
+    edited = [*long[:-20], *(f"new{i}" for i in range(20))]
+    repeated = "tick " * (1 << 15)
+    short = " ".join(long[:20])
+    other = " ".join(f"v{rng.randrange(300)}" for _ in range(1 << 15))
+    rows = [(i, t, None, None, 0) for i, t in enumerate((" ".join(long), " ".join(edited), repeated, other, "so " + short))]
+    items = spark.createDataFrame([(0, " ".join(long)), (1, repeated), (2, short)], ITEMS)
+    got = {(r.doc_id, r.item): r.similarity for r in matches(frame(spark, rows), items).collect()}
+    assert set(got) == {(0, 0), (1, 0), (2, 1), (0, 2), (1, 2), (4, 2)}
+    assert got[0, 0] == got[2, 1] == got[4, 2] == 1 and 0.99 < got[1, 0] < 1
+
+
 def test_plan_is_native(spark, tmp_path):
     rows, items = sample(2)
     frame(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
