@@ -347,3 +347,80 @@ def direct_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "small.nt")
     write_ntriples(_small(spark, sf_dir), path, "gzip")
     return Engine.from_ntriples(spark, path).sparql(PREFIXES + _VP_SPARQL, decode={"s_name": "string", "r_name": "string"})
+
+
+# --- the same operators over whole large tables; without SQL where the triples of whole tables are too many for it
+
+_LARGE = ("customer", "orders", "lineitem", "documents", "nation", "region", "supplier", "part")
+LARGE: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+
+
+def _large(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return MappedSource(mapping(spark, sf_dir, *_LARGE)).scan_all()
+
+
+def large(f):
+    LARGE[f.__name__] = f
+    return f
+
+
+@large
+def large_stats_coarse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return coarse(_large(spark, sf_dir), 20).select("pos", "term", "cnt")
+
+
+@large
+def large_stats_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return full(_large(spark, sf_dir), 10)
+
+
+@large
+def large_vp_predicate_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Store.load(spark, _large(spark, sf_dir), scratch(spark, "store")).predicates().select("iri", "n_triples")
+
+
+@large
+def large_vp_scan_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Store.load(spark, _large(spark, sf_dir), scratch(spark, "store")).scan_all()
+
+
+@large
+def large_dedup_load(spark: SparkSession, sf_dir: str) -> DataFrame:
+    once = _large(spark, sf_dir)
+    return Store.load(spark, once.unionByName(once), scratch(spark, "store")).scan_all().agg(F.count(F.lit(1)).alias("n"))
+
+
+_LARGE_SPARQL = "SELECT ?total ?name ?n_name ?r_name WHERE { ?o p:o_totalprice ?total . ?o p:o_custkey ?c . ?c p:c_name ?name . ?c p:c_nationkey ?n . ?n p:n_name ?n_name . ?n p:n_regionkey ?r . ?r p:r_name ?r_name }"
+_LARGE_SQL = "SELECT o_totalprice AS total, c_name AS name, n_name, r_name FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey"
+_LARGE_DECODE = {"total": "double", "name": "string", "n_name": "string", "r_name": "string"}
+
+
+def _large_vp(level: str, stats: str | None):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        store = Store.load(spark, _large(spark, sf_dir), scratch(spark, "store"), stats)
+        return Engine(store).sparql(PREFIXES + _LARGE_SPARQL, level, decode=_LARGE_DECODE)
+
+    return run
+
+
+for _level, _stats in (("connected", None), ("stats", "coarse"), ("cost", "full")):
+    QUERIES[f"large_vp_{_level}"], ORACLE_SQL[f"large_vp_{_level}"] = _large_vp(_level, _stats), _LARGE_SQL
+
+
+@special(_LARGE_SQL)
+def large_direct_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark, "large.nt")
+    write_ntriples(_large(spark, sf_dir), path, "gzip")
+    return Engine.from_ntriples(spark, path).sparql(PREFIXES + _LARGE_SPARQL, decode=_LARGE_DECODE)
+
+
+@large
+def large_var_predicate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Engine.from_mapping(mapping(spark, sf_dir, *_LARGE)).sparql("SELECT DISTINCT ?p WHERE { ?s ?p ?o }")
+
+
+@special("SELECT DISTINCT '<urn:k:' || o_custkey || '>' AS x FROM orders WHERE o_custkey = o_orderkey")
+def large_repeated_var(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    near = orders.select(F.format_string("<urn:k:%d>", F.col("o_custkey")).alias("s"), F.lit("<urn:p:near>").alias("p"), F.format_string("<urn:k:%d>", F.col("o_orderkey")).alias("o"))
+    return Engine.from_dataframe(near).sparql("SELECT ?x WHERE { ?x <urn:p:near> ?x }")
