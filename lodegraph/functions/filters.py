@@ -42,6 +42,11 @@ def less_or_equal(a: Column, b: Column) -> Column:
 
 
 def compare(op: str, a: Column, b: Column) -> Column:
+    """Null where an operand is unbound."""
+    return F.when(a.isNotNull() & b.isNotNull(), _compare(op, a, b))
+
+
+def _compare(op: str, a: Column, b: Column) -> Column:
     match op:
         case "=":
             return equal(a, b)
@@ -58,10 +63,15 @@ def compare(op: str, a: Column, b: Column) -> Column:
     raise ValueError(op)
 
 
+def inline(pattern: str, flags: str) -> str:
+    """The pattern with its flags inside."""
+    known = "".join(f for f in "ismx" if f in flags)
+    return (f"(?{known})" if known else "") + pattern
+
+
 def matches(a: Column, pattern: str, flags: str = "") -> Column:
     """REGEX: whether the pattern is found in a literal's text; null for other terms."""
-    inline = "".join(f for f in "ismx" if f in flags)
-    return F.when(T.is_literal(a), T.lexical(a).rlike((f"(?{inline})" if inline else "") + pattern))
+    return F.when(T.is_literal(a), T.lexical(a).rlike(inline(pattern, flags)))
 
 
 def sort_keys(c: Column, ascending: bool = True) -> list[Column]:

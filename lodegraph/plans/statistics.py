@@ -1,8 +1,8 @@
 """Statistics of a graph: Spark jobs that make them, and the small tables that the planner reads.
 
 Coarse: the k commonest terms of each position (s, p, o) of all triples. Full: the k commonest subjects and objects of each
-predicate, with the number of other values and the rows they hold. Ties go to the lesser term. The last listed count bounds
-every term that isn't listed.
+predicate, with the number of other values, the rows they hold, and the bytes of the longest term. Ties go to the lesser term.
+The last listed count bounds every term that isn't listed.
 """
 
 from __future__ import annotations
@@ -16,7 +16,8 @@ from .cardinality import Column, Estimate
 from .syntax import Term, Triple, Var
 
 COARSE = "pos string, term string, cnt long, is_tail boolean"
-FULL = "p string, pos int, term string, cnt long, rank int, n_values long, n_rows long"
+FULL = "p string, pos int, term string, cnt long, rank int, n_values long, n_rows long, width int"
+ANY = 1 << 62  # triples of a graph that weren't counted
 
 
 def coarse(triples: DataFrame, k: int) -> DataFrame:
@@ -27,13 +28,13 @@ def coarse(triples: DataFrame, k: int) -> DataFrame:
 
 
 def full(triples: DataFrame, k: int) -> DataFrame:
-    """For each predicate and pos (0 subject, 1 object) the k commonest terms with their rank, and the numbers of values and rows."""
+    """For each predicate and pos (0 subject, 1 object) the k commonest terms with their rank, the numbers of values and rows, and the width."""
     terms = F.array(F.struct(F.lit(0).alias("pos"), F.col("s").alias("term")), F.struct(F.lit(1).alias("pos"), F.col("o").alias("term")))
     counted = triples.select("p", F.explode(terms).alias("x")).select("p", "x.*").groupBy("p", "pos", "term").agg(F.count(F.lit(1)).alias("cnt"))
-    totals = counted.groupBy("p", "pos").agg(F.count(F.lit(1)).alias("n_values"), F.sum("cnt").alias("n_rows"))
+    totals = counted.groupBy("p", "pos").agg(F.count(F.lit(1)).alias("n_values"), F.sum("cnt").alias("n_rows"), F.max(F.octet_length("term")).alias("width"))
     rank = F.row_number().over(Window.partitionBy("p", "pos").orderBy(F.desc("cnt"), "term"))
     top = counted.withColumn("rank", rank).where(F.col("rank") <= k)  # the filter on the rank is pushed into the window
-    return top.join(totals, ["p", "pos"]).select("p", "pos", "term", "cnt", "rank", "n_values", "n_rows")
+    return top.join(totals, ["p", "pos"]).select("p", "pos", "term", "cnt", "rank", "n_values", "n_rows", "width")
 
 
 @dataclass
@@ -47,9 +48,9 @@ class Statistics:
     full: bool = False
 
     @classmethod
-    def read(cls, coarse_table: DataFrame | None, full_table: DataFrame | None) -> Statistics:
-        """The tables hold at most k rows for a position, or for a predicate's column."""
-        out = cls()
+    def read(cls, coarse_table: DataFrame | None, full_table: DataFrame | None, total: int = ANY) -> Statistics:
+        """The tables hold at most k rows for a position, or for a predicate's column. ``total``: of all triples, if known."""
+        out = cls(total=total)
         if coarse_table is not None:
             for r in coarse_table.collect():
                 out.terms.setdefault(r.pos, {})[r.term] = r.cnt
@@ -64,9 +65,8 @@ class Statistics:
             for (p, pos), rows in parts.items():
                 listed = {r.term: r.cnt for r in rows}
                 others = rows[0].n_values - len(rows)
-                both.setdefault(p, {})[pos] = Column(listed, others, min(listed.values()) if others else 0, rows[0].n_rows - sum(listed.values()))
+                both.setdefault(p, {})[pos] = Column(listed, others, min(listed.values()) if others else 0, rows[0].n_rows - sum(listed.values()), rows[0].width)
             out.predicates = {p: (c[0], c[1]) for p, c in both.items()}
-            out.total = sum(r.n_rows for rows in parts.values() for r in rows[:1] if r.pos == 0)
         return out
 
     def limited(self, k: int | None) -> Statistics:
@@ -86,7 +86,7 @@ class Statistics:
             size = self.total
             if not names:
                 return Estimate(1, {})
-            return Estimate(size, {n: Column({}, size, size, size) for n in names})
+            return Estimate(size, {n: Column({}, size, size, size) for n in names})  # of any width
         if t.p.text not in self.predicates:
             return Estimate(0, {n: Column() for n in t.variables()})
         s, o = self.predicates[t.p.text]
@@ -95,9 +95,9 @@ class Statistics:
         if len(fixed) == 2:
             return Estimate(min(1, *fixed), {})
         if fixed:
-            free = t.variables()[0]
-            return Estimate(fixed[0], {free: Column({}, fixed[0], min(1, fixed[0]), fixed[0])})  # a graph is a set
+            free, column = t.variables()[0], s if isinstance(t.s, Var) else o
+            return Estimate(fixed[0], {free: Column({}, fixed[0], min(1, fixed[0]), fixed[0], column.width)})  # a graph is a set
         if t.s == t.o:
             n = min(rows, s.n_other + len(s.listed), o.n_other + len(o.listed))
-            return Estimate(n, {t.s.name: Column({}, n, min(1, n), n)})
+            return Estimate(n, {t.s.name: Column({}, n, min(1, n), n, s.width)})
         return Estimate(rows, {t.s.name: s, t.o.name: o})

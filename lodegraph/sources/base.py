@@ -7,6 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.values import Form
 from ..plans.planner import Unit
 from ..plans.statistics import Statistics, coarse, full
 from ..plans.syntax import Atom, Term, Triple
@@ -49,19 +50,20 @@ class Source:
         """(s, p, o)."""
         raise NotImplementedError
 
-    def statistics(self, with_full: bool) -> Statistics:
+    def statistics(self, with_full: bool, predicates: frozenset[str] | None = None) -> Statistics:
+        """Coarse or full statistics of at least these predicates (None: of all), made by a job the first time."""
         known = self.__dict__.setdefault("_known", {})
         if with_full not in known:
             triples = self.scan_all()
-            known[with_full] = Statistics.read(None if with_full else coarse(triples, self.stat_size), full(triples, self.stat_size) if with_full else None)
+            known[with_full] = Statistics.read(None if with_full else coarse(triples, self.stat_size), full(triples, self.stat_size) if with_full else None, triples.count() if with_full else 0)
         return known[with_full]
 
     def units(self, triples: Sequence[Triple]) -> list[Unit]:
         """The pattern cut into what is read at once."""
         return [Unit((t,)) for t in triples]
 
-    def reader(self, units: Sequence[Unit]) -> tuple[Callable[[Unit], DataFrame], dict[str, Column]]:
-        """How to read the units of one pattern, and, for variables that stand for something shorter in what is read, their terms."""
+    def reader(self, units: Sequence[Unit]) -> tuple[Callable[[Unit], DataFrame], dict[str, Form]]:
+        """How to read the units of one pattern, and the variables whose columns don't hold terms, with what they hold."""
         return self.matches, {}
 
     def matches(self, unit: Unit) -> DataFrame:

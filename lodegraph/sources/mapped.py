@@ -3,8 +3,9 @@
 A row is a subject ``<urn:r:table/key>`` of type ``<urn:c:table>``; a column ``c`` is the predicate ``<urn:p:c>``. A column that
 refers to another table has that row as its object, and its value under ``<urn:p:c.value>``. Nulls make no triple.
 
-Patterns about one subject are read in one scan of its table (keys are unique and every column has one value), so a star costs
-no join; constants are turned back into column values, which Spark pushes down to the files.
+Patterns about one subject are read in one scan of its table where keys are unique (every column then has one value), so a star
+costs no join; constants are turned back into column values, which Spark pushes down to the files. Variables stay keys and
+values of their columns (``functions.values``) where all their occurrences in a pattern agree.
 """
 
 from __future__ import annotations
@@ -17,7 +18,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import terms as T
+from ..functions.values import WHOLE, Form, whole
 from ..plans.planner import Unit
+from ..plans.statistics import Statistics, coarse, full
 from ..plans.syntax import Atom, Term, Triple, Var
 from .base import TRIPLES, Source, positions
 
@@ -27,16 +30,35 @@ _KINDS = {"string": "", "tinyint": "integer", "smallint": "integer", "int": "int
 
 @dataclass
 class Mapping:
-    """A table, the columns that identify a row, and the columns that refer to other tables (column: table)."""
+    """A table, the columns that identify a row, and the columns that refer to other tables (column: table).
+
+    ``unique``: no two rows have one key. If it isn't given, it is found out once, by a job over the keys, when a query first
+    depends on it. Rows that share a key are one subject with the triples of all.
+    """
 
     table: DataFrame
     key: Sequence[str]
     references: dict[str, str] = field(default_factory=dict)
+    unique: bool | None = None
 
     def key_column(self) -> Column:
         if len(self.key) == 1:
             return F.col(self.key[0]).cast("string")
-        return F.md5(F.concat_ws("|", *(F.col(c).cast("string") for c in self.key)))
+
+        def part(c: str) -> Column:
+            """Parts can't run into each other: each begins with its length, and a null part is told from every text."""
+            text = F.col(c).cast("string")
+            return F.coalesce(F.concat(F.length(text).cast("string"), F.lit(":"), text), F.lit("-"))
+
+        return F.md5(F.concat(*map(part, self.key)))
+
+    def is_unique(self) -> bool:
+        if self.unique is None:
+            keys = self.table.groupBy(*(F.col(c).alias(f"k{i}") for i, c in enumerate(self.key))).agg(F.count(F.lit(1)).alias("n"))
+            if len(self.key) == 1:
+                keys = keys.where("k0 IS NOT NULL")
+            self.unique = keys.where("n > 1").isEmpty()
+        return self.unique
 
 
 @dataclass(frozen=True)
@@ -89,16 +111,14 @@ class MappedSource(Source):
         key = self.tables[table].key
         return df.where(F.col(key[0]).isNotNull()) if len(key) == 1 else df
 
-    def _is_whole(self, table: str, column: str) -> bool:
-        return dict(self.tables[table].table.dtypes)[column] in ("tinyint", "smallint", "int", "bigint")
+    def _type(self, table: str, column: str) -> str:
+        return dict(self.tables[table].table.dtypes)[column]
 
     def _value(self, table: str, column: str, text: str) -> Column:
         """The column equals the value with this text; false if no value has it."""
-        if self._is_whole(table, column):
-            digits = text.removeprefix("-")
-            if not (digits.isascii() and digits.isdigit() and str(int(text)) == text and -(1 << 63) <= int(text) < 1 << 63):
-                return F.lit(False)
-            return F.col(column) == F.lit(int(text)).cast("bigint")
+        if self._type(table, column) in WHOLE:
+            number = whole(text)
+            return F.lit(False) if number is None else F.col(column) == F.lit(number).cast("bigint")
         return F.col(column).cast("string") == text
 
     def _subject_is(self, table: str, term: str) -> Column:
@@ -131,14 +151,29 @@ class MappedSource(Source):
         frames = []
         for a in self.access.get(predicate, ()):
             t = self._with_subject(a.table, self.tables[a.table].table)
-            frames.append((t.where(F.col(a.column).isNotNull()) if a.column else t).select(self._subject(a.table).alias("s"), self._object(a).alias("o")))
+            rows = (t.where(F.col(a.column).isNotNull()) if a.column else t).select(self._subject(a.table).alias("s"), self._object(a).alias("o"))
+            frames.append(self._once(a.table, rows))
         return self._union(frames, "s string, o string")
 
+    def _once(self, table: str, triples: DataFrame) -> DataFrame:
+        """A graph is a set: rows that share a key may repeat a triple."""
+        return triples if self.tables[table].is_unique() else triples.distinct()
+
     def _rows_of(self, table: str) -> DataFrame:
         """(s, p, o) of one table in one scan."""
         pairs = [F.struct(F.lit(p).alias("p"), self._object(a).alias("o")) for p, found in self.access.items() for a in found if a.table == table]
         rows = self._with_subject(table, self.tables[table].table).select(self._subject(table).alias("s"), F.explode(F.array(*pairs)).alias("x"))
-        return rows.select("s", "x.p", "x.o").where("o IS NOT NULL")
+        return self._once(table, rows.select("s", "x.p", "x.o").where("o IS NOT NULL"))
+
+    def statistics(self, with_full: bool, predicates: frozenset[str] | None = None) -> Statistics:
+        """Of the triples of these predicates alone, so only their columns are read."""
+        if predicates is None:
+            return super().statistics(with_full)
+        known = self.__dict__.setdefault("_known", {})
+        if (with_full, predicates) not in known:
+            triples = self._union([self.scan(p).select("s", F.lit(p).alias("p"), "o") for p in sorted(predicates)], TRIPLES)
+            known[with_full, predicates] = Statistics.read(None if with_full else coarse(triples, self.stat_size), full(triples, self.stat_size) if with_full else None)
+        return known[with_full, predicates]
 
     def scan_all(self) -> DataFrame:
         return self._union([self._rows_of(t) for t in self.tables], TRIPLES)
@@ -157,7 +192,11 @@ class MappedSource(Source):
                 out.append(stars[t.s])
             else:
                 out.append([t])
-        return [Unit(tuple(x)) for x in out]
+        found = []
+        for x in out:
+            whole_star = len(x) == 1 or all(self.tables[t].is_unique() for t, _ in self._tables_of(Unit(tuple(x))))
+            found += [Unit(tuple(x))] if whole_star else [Unit((t,)) for t in x]
+        return found
 
     def _tables_of(self, unit: Unit) -> list[tuple[str, list[tuple[Triple, _Access]]]]:
         """The tables whose rows can match a star, and how each of its patterns is read from them."""
@@ -174,60 +213,70 @@ class MappedSource(Source):
                 out.append((table, pairs))
         return out
 
-    def _key_type(self, table: str) -> str | None:
-        """The type of keys that can stand for a table's rows: of one column, whole numbers or strings."""
+    def _key_form(self, table: str) -> Form | None:
+        """What can stand for a table's rows: a key of one column, as a whole number or string."""
         m = self.tables.get(table)
         if m is None or len(m.key) != 1:
             return None
-        return "bigint" if self._is_whole(table, m.key[0]) else "string" if dict(m.table.dtypes)[m.key[0]] == "string" else None
+        kind = "bigint" if self._type(table, m.key[0]) in WHOLE else self._type(table, m.key[0])
+        return Form(kind, f"{ROW}{table}/") if kind in ("bigint", "string") else None
 
-    def _rows_named(self, units: Sequence[Unit]) -> dict[str, str]:
-        """Variables that are rows of one table wherever they occur in the pattern, with that table.
-
-        They are joined by the table's key instead of the row's IRI.
-        """
-        seen: dict[str, set[str | None]] = {}
+    def _object_form(self, a: _Access) -> Form | None:
+        if a.kind == "type":
+            return None
+        kind = self._type(a.table, a.column)
+        if a.kind == "reference":
+            form = self._key_form(self.tables[a.table].references[a.column])
+            return form if form and form.sql == ("bigint" if kind in WHOLE else kind) else None
+        form = Form(kind, datatype=a.datatype)
+        return form if form.family else None  # the text of a float isn't the number that it is as a double
+
+    def _forms(self, units: Sequence[Unit]) -> dict[str, Form]:
+        """The variables that hold one form wherever they occur in the pattern."""
+        seen: dict[str, set[Form | None]] = {}
+        places: dict[str, int] = {}
         for unit in units:
-            found = self._tables_of(unit) if isinstance(unit.triples[0].p, Term) else []
-            if len(found) != 1:
+            for t in unit.triples:
+                for n in t.variables():
+                    places[n] = places.get(n, 0) + (not isinstance(t.s, Var) or t.s.name != n)
+            found = self._tables_of(unit) if unit.predicates is not None else []
+            if not found:
                 for n in unit.variables:
                     seen.setdefault(n, set()).add(None)
-                continue
-            table, pairs = found[0]
-            if isinstance(pairs[0][0].s, Var):
-                seen.setdefault(pairs[0][0].s.name, set()).add(table)
-            for t, a in pairs:
-                if isinstance(t.o, Var):
-                    target = self.tables[table].references[a.column] if a.kind == "reference" else None
-                    same = target is not None and self._key_type(target) == ("bigint" if self._is_whole(table, a.column) else dict(self.tables[table].table.dtypes)[a.column])
-                    seen.setdefault(t.o.name, set()).add(target if same else None)
-        return {n: tables.copy().pop() for n, tables in seen.items() if len(tables) == 1 and None not in tables and self._key_type(next(iter(tables)))}
-
-    def reader(self, units: Sequence[Unit]) -> tuple[Callable[[Unit], DataFrame], dict[str, Column]]:
-        rows = self._rows_named(units)
-        return (lambda unit: self.matches(unit, rows)), {n: T.to_iri(f"{ROW}{table}/", F.col(f"`{n}`")) for n, table in rows.items()}
-
-    def matches(self, unit: Unit, rows: dict[str, str] | None = None) -> DataFrame:
-        """``rows``: variables to be given as keys of their table (see _rows_named)."""
+            for table, pairs in found:
+                if isinstance(pairs[0][0].s, Var):
+                    seen.setdefault(pairs[0][0].s.name, set()).add(self._key_form(table))
+                for t, a in pairs:
+                    if isinstance(t.o, Var):
+                        seen.setdefault(t.o.name, set()).add(self._object_form(a))
+        one = {n: next(iter(forms)) for n, forms in seen.items() if len(forms) == 1}
+        return {n: f for n, f in one.items() if f is not None and (f.one_to_one or places[n] < 2)}
+
+    def reader(self, units: Sequence[Unit]) -> tuple[Callable[[Unit], DataFrame], dict[str, Form]]:
+        forms = self._forms(units)
+        return (lambda unit: self.matches(unit, forms)), forms
+
+    def matches(self, unit: Unit, forms: dict[str, Form] | None = None) -> DataFrame:
+        """``forms``: variables to be given as keys or values (see _forms)."""
         triples = unit.triples
-        if not isinstance(triples[0].p, Term):
+        if unit.predicates is None:
             return self._any_predicate(triples[0])
         names = list(dict.fromkeys(n for t in triples for n in t.variables()))
-        frames = [self._star(table, pairs, names, rows or {}) for table, pairs in self._tables_of(unit)]
+        frames = [self._star(table, pairs, names, forms or {}) for table, pairs in self._tables_of(unit)]
         return self._union(frames, ", ".join(f"`{n}` string" for n in names)) if names or frames else self.spark.range(0).select()
 
-    def _star(self, table: str, pairs: list[tuple[Triple, _Access]], names: list[str], rows: dict[str, str]) -> DataFrame:
+    def _star(self, table: str, pairs: list[tuple[Triple, _Access]], names: list[str], forms: dict[str, Form]) -> DataFrame:
         df = self.tables[table].table
         subject = pairs[0][0].s
         bound: dict[str, Column] = {}
 
-        def key(name: str, column: str) -> Column:
-            return F.col(column).cast(self._key_type(rows[name]))
+        def raw(name: str, column: str) -> Column:
+            return F.col(column) if forms[name].start is None else F.col(column).cast(forms[name].sql)
 
         if isinstance(subject, Term):
             df = df.where(self._subject_is(table, subject.text))
         else:
-            bound[subject.name] = key(subject.name, self.tables[table].key[0]) if subject.name in rows else self._subject(table)
+            bound[subject.name] = raw(subject.name, self.tables[table].key[0]) if subject.name in forms else self._subject(table)
         df = self._with_subject(table, df)
         for t, a in pairs:
             if isinstance(t.o, Term):
@@ -235,12 +284,12 @@ class MappedSource(Source):
                 continue
             if a.column:
                 df = df.where(F.col(a.column).isNotNull())
-            value = key(t.o.name, a.column) if t.o.name in rows else self._object(a)
+            value = raw(t.o.name, a.column) if t.o.name in forms else self._object(a)
             if t.o.name in bound:
                 df = df.where(bound[t.o.name] == value)
             else:
                 bound[t.o.name] = value
-        return df.select(*(bound[n].alias(n) for n in names))
+        return self._once(table, df.select(*(bound[n].alias(n) for n in names)))
 
     def _any_predicate(self, t: Triple) -> DataFrame:
         tables = list(self.tables)
@@ -252,7 +301,7 @@ class MappedSource(Source):
             if isinstance(t.s, Term):
                 rows = rows.where(self._subject_is(table, t.s.text))
             pairs = [F.struct(F.lit(p).alias("p"), self._object(a).alias("o")) for p, found in self.access.items() for a in found if a.table == table]
-            triples = rows.select(self._subject(table).alias("s"), F.explode(F.array(*pairs)).alias("x")).select("s", "x.p", "x.o").where("o IS NOT NULL")
+            triples = self._once(table, rows.select(self._subject(table).alias("s"), F.explode(F.array(*pairs)).alias("x")).select("s", "x.p", "x.o").where("o IS NOT NULL"))
             tests, names = positions(t.atoms, [F.col(c) for c in "spo"])
             for test in tests:
                 triples = triples.where(test)

@@ -1,13 +1,14 @@
 """A store of triples on disk: Parquet, one directory for each predicate, named by a number.
 
-    root/_lodegraph_store     marker, with the store's format
+    root/_lodegraph_store     marker of a whole store; _lodegraph_loading: of one that is being loaded, or whose load failed
     root/triples/pid=<n>/     (s, o), sorted by s within files
     root/predicates/          pid, iri, n_triples
     root/stats_coarse/, root/stats_full/
 
-Numbers instead of IRIs keep directory names short, apart from each other, and of one type. Loading shuffles triples once, by
-predicate and a hash of the subject, into as many parts as the predicate's share of the rows asks for, so a predicate that
-holds most of the graph is written by many tasks and a rare one by a single task.
+Numbers instead of IRIs keep directory names short, apart from each other, and of one type. Triples are placed by predicate and
+a hash of the subject, in as many parts as the predicate's share of the rows asks for, so a predicate that holds most of the
+graph is written by many tasks and a rare one by a single task. The counts that this needs are a job of their own, so a load that
+drops repeats reads its input and shuffles it twice before the shuffle that places the triples.
 """
 
 from __future__ import annotations
@@ -15,10 +16,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..plans.statistics import COARSE, Statistics, coarse, full
+from ..plans.statistics import COARSE, FULL, Statistics, coarse, full
 from .base import TRIPLES, Source
 
-MARKER = "_lodegraph_store"
+MARKER, LOADING = "_lodegraph_store", "_lodegraph_loading"
 KINDS = (None, "coarse", "full")
 ROWS_PER_PART = 1_000_000
 
@@ -50,8 +51,11 @@ class Store(Source):
             raise ValueError("stats is None, 'coarse' or 'full'")
         self = cls.__new__(cls)
         self.spark, self.root, self._ids = spark, root.rstrip("/"), {}
+        if self._exists(LOADING):
+            self.drop()  # what a failed load left
         if self._fs().exists(self._path("")):
             raise FileExistsError(root)
+        self._fs().create(self._path(LOADING)).close()
         triples = triples.select("s", "p", "o").where("s IS NOT NULL AND p IS NOT NULL AND o IS NOT NULL")
         if dedup:
             triples = triples.dropDuplicates()
@@ -65,6 +69,7 @@ class Store(Source):
         placed = named.withColumn("part", F.pmod(F.xxhash64("s"), F.col("parts")).cast("int")).select("pid", "part", "s", "o")
         placed.repartition("pid", "part").sortWithinPartitions("pid", "s").select("s", "o", "pid").write.partitionBy("pid").parquet(f"{self.root}/triples")
         self._fs().create(self._path(MARKER)).close()
+        self._fs().delete(self._path(LOADING), False)
         if stats:
             self.analyze("coarse", stat_size)
         if stats == "full":
@@ -80,7 +85,7 @@ class Store(Source):
 
     def drop(self) -> None:
         """Remove the store; only a directory with a store's marker is removed."""
-        if not self._exists(MARKER):
+        if not self._exists(MARKER) and not self._exists(LOADING):
             raise FileNotFoundError(f"no store at {self.root}")
         self._fs().delete(self._path(""), True)
 
@@ -117,14 +122,17 @@ class Store(Source):
             return self.spark.createDataFrame([], TRIPLES)
         return triples.join(self.predicates().select("pid", F.col("iri").alias("p")), "pid").select("s", "p", "o")
 
-    def statistics(self, with_full: bool) -> Statistics:
-        """The stored statistics; they are made once where they are missing."""
+    def statistics(self, with_full: bool, predicates: frozenset[str] | None = None) -> Statistics:
+        """The stored statistics, the full ones of these predicates only; they are made once where they are missing."""
         known = self.__dict__.setdefault("_known", {})
-        if with_full not in known:
+        if (with_full, predicates) not in known:
             kind = "full" if with_full else "coarse"
             if not self._exists(f"stats_{kind}"):
                 self.analyze(kind, self.stat_size)
                 known = self.__dict__.setdefault("_known", {})
-            table = self.spark.read.parquet(f"{self.root}/stats_{kind}") if with_full else self.spark.read.schema(COARSE).parquet(f"{self.root}/stats_coarse")
-            known[with_full] = Statistics.read(None if with_full else table, table if with_full else None)
-        return known[with_full]
+            table = self.spark.read.schema(FULL if with_full else COARSE).parquet(f"{self.root}/stats_{kind}")
+            if with_full and predicates is not None:
+                table = table.where(F.col("p").isin(*predicates))
+            total = self.predicates().agg(F.coalesce(F.sum("n_triples"), F.lit(0))).first()[0]
+            known[with_full, predicates] = Statistics.read(None if with_full else table, table if with_full else None, total)
+        return known[with_full, predicates]
