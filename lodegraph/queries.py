@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+import contextlib
+import io
+import json
+import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .__main__ import main
 from .engine import Engine
-from .plans.statistics import coarse, full
+from .plans.cardinality import Estimate, envelope, join
+from .plans.statistics import Statistics, coarse, full
+from .plans.syntax import Triple, parse
 from .sources import DataFrameSource, MappedSource, Mapping, Store, read_ntriples, write_ntriples
 from .sources.scratch import scratch
 
@@ -38,7 +45,7 @@ def mapping(spark: SparkSession, sf_dir: str, *names: str) -> dict[str, Mapping]
     for name in names or KEYS:
         table = spark.read.parquet(f"{sf_dir}/{name}.parquet")
         key, references = KEYS[name]
-        out[name] = Mapping(table, key or table.columns, references)
+        out[name] = Mapping(table, key or table.columns, references, unique=True)  # the tables' keys are declared
     return out
 
 
@@ -109,7 +116,6 @@ query(
     {"name": "string"},
 )
 query("const_type", "SELECT ?s WHERE { ?s a c:supplier . ?s p:s_nationkey <urn:r:nation/3> }", "SELECT '<urn:r:supplier/' || s_suppkey || '>' AS s FROM supplier WHERE s_nationkey = 3", "customer supplier nation")
-query("var_predicate", "SELECT DISTINCT ?p WHERE { ?s ?p ?o }", "SELECT unnest(['<urn:p:r_regionkey>', '<urn:p:r_name>', '<http://www.w3.org/1999/02/22-rdf-syntax-ns#type>']) AS p", "region")
 query(
     "var_predicate_subject",
     "SELECT ?p ?o WHERE { <urn:r:nation/4> ?p ?o }",
@@ -121,10 +127,10 @@ query("cartesian", "SELECT ?a ?b WHERE { ?x p:r_name ?a . ?y p:r_name ?b }", "SE
 query("blank_node", "SELECT ?segment WHERE { _:o p:o_custkey ?c . ?c p:c_mktsegment ?segment }", "SELECT c_mktsegment AS segment FROM orders JOIN customer ON o_custkey = c_custkey", "orders customer", {"segment": "string"})
 
 
-@special("SELECT DISTINCT '<urn:k:' || (o_custkey % 50) || '>' AS x FROM orders WHERE o_custkey % 50 = o_orderkey % 50")
+@special("SELECT DISTINCT '<urn:k:' || o_custkey || '>' AS x FROM orders WHERE o_custkey = o_orderkey")
 def repeated_var(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    near = orders.select(F.format_string("<urn:k:%d>", F.col("o_custkey") % 50).alias("s"), F.lit("<urn:p:near>").alias("p"), F.format_string("<urn:k:%d>", F.col("o_orderkey") % 50).alias("o"))
+    near = orders.select(F.format_string("<urn:k:%d>", F.col("o_custkey")).alias("s"), F.lit("<urn:p:near>").alias("p"), F.format_string("<urn:k:%d>", F.col("o_orderkey")).alias("o"))
     return Engine.from_dataframe(near).sparql("SELECT ?x WHERE { ?x <urn:p:near> ?x }")
 
 
@@ -210,7 +216,7 @@ query(
     "orders customer",
     {"key": "bigint", "date": "timestamp_ntz"},
 )
-query("filter_regex", 'SELECT ?key ?name WHERE { ?x p:p_partkey ?key . ?x p:p_name ?name FILTER REGEX(?name, "^[a-m].*1$", "i") }', "SELECT p_partkey AS key, p_name AS name FROM part WHERE regexp_matches(p_name, '(?i)^[a-m].*1$')", "part", {"key": "bigint", "name": "string"})
+query("filter_regex", 'SELECT ?key ?name WHERE { ?x p:p_partkey ?key . ?x p:p_name ?name FILTER REGEX(?name, "^S.* (ring|g[aeiou]).*$", "i") }', "SELECT p_partkey AS key, p_name AS name FROM part WHERE regexp_matches(p_name, '(?i)^S.* (ring|g[aeiou]).*$')", "part", {"key": "bigint", "name": "string"})
 query(
     "filter_in_optional",
     "SELECT ?name ?total WHERE { ?c p:c_name ?name . ?c p:c_acctbal ?balance OPTIONAL { ?o p:o_custkey ?c . ?o p:o_totalprice ?total FILTER(?total < ?balance) } }",
@@ -232,6 +238,33 @@ query(
 )
 query("order_hidden", "SELECT ?name WHERE { ?c p:c_name ?name . ?c p:c_acctbal ?b } ORDER BY DESC(?b) ?name", "SELECT c_name AS name FROM customer ORDER BY c_acctbal DESC, c_name", "customer", {"name": "string"})
 
+
+
+def positions(found: DataFrame) -> DataFrame:
+    """Rows of a sorted result with their places, for results of a few hundred rows."""
+    return found.withColumn("at", F.monotonically_increasing_id()).withColumn("place", F.row_number().over(Window.orderBy("at"))).drop("at")
+
+
+@special("SELECT n_name AS name, row_number() OVER (ORDER BY n_name) AS place FROM nation")
+def order_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    engine = Engine.from_mapping(mapping(spark, sf_dir, "nation", "region"))
+    return positions(engine.sparql(PREFIXES + "SELECT ?name WHERE { ?n p:n_name ?name } ORDER BY ?name", decode={"name": "string"}))
+
+
+@special("SELECT *, row_number() OVER (ORDER BY segment, nation DESC) AS place FROM (SELECT DISTINCT c_mktsegment AS segment, CAST(c_nationkey AS BIGINT) AS nation FROM customer)")
+def order_mixed_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    engine = Engine.from_mapping(mapping(spark, sf_dir, "customer", "nation"))
+    sparql = "SELECT DISTINCT ?segment ?nation WHERE { ?c p:c_mktsegment ?segment . ?c p:c_nationkey.value ?nation } ORDER BY ASC(?segment) DESC(?nation)"
+    return positions(engine.sparql(PREFIXES + sparql, decode={"segment": "string", "nation": "bigint"}))
+
+
+@special("SELECT n_name AS name, row_number() OVER (ORDER BY 'n' || n_nationkey DESC) AS place FROM nation")
+def order_terms_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """IRIs sort by their text: nation/9 comes after nation/10."""
+    engine = Engine.from_mapping(mapping(spark, sf_dir, "nation", "region"))
+    return positions(engine.sparql(PREFIXES + "SELECT ?name WHERE { ?n p:n_name ?name } ORDER BY DESC(?n)", decode={"name": "string"}))
+
+
 # --- optimiser levels, on one query
 
 _LEVELS_SPARQL = 'SELECT ?name ?s_name WHERE { ?s p:s_name ?s_name . ?c p:c_name ?name . ?n p:n_regionkey ?r . ?c p:c_nationkey ?n . ?s p:s_nationkey ?n . ?r p:r_name "ASIA" . ?c p:c_mktsegment "BUILDING" }'
@@ -248,179 +281,336 @@ query(
     optimizer="cost",
 )
 
-# --- the store, statistics and N-Triples
+# --- the store, statistics, commands and N-Triples, over whole tables
 
-_SMALL = ("nation", "region", "supplier")
-_INTEGER = '"^^<http://www.w3.org/2001/XMLSchema#integer>'
+_TABLES = ("nation", "region", "supplier", "customer", "orders", "lineitem")
+_COLUMNS = {  # i: whole number, d: double, s: string, t: time
+    "region": {"r_regionkey": "i", "r_name": "s"},
+    "nation": {"n_nationkey": "i", "n_name": "s", "n_regionkey": "i"},
+    "supplier": {"s_suppkey": "i", "s_name": "s", "s_nationkey": "i", "s_acctbal": "d"},
+    "customer": {"c_custkey": "i", "c_name": "s", "c_nationkey": "i", "c_acctbal": "d", "c_mktsegment": "s"},
+    "orders": {"o_orderkey": "i", "o_custkey": "i", "o_orderstatus": "s", "o_totalprice": "d", "o_orderdate": "t", "o_orderpriority": "s"},
+    "lineitem": {"l_orderkey": "i", "l_partkey": "i", "l_suppkey": "i", "l_linenumber": "i", "l_quantity": "d", "l_extendedprice": "d", "l_discount": "d", "l_tax": "d", "l_returnflag": "s", "l_linestatus": "s", "l_shipdate": "t"},
+}
+_XSD = "http://www.w3.org/2001/XMLSchema#"
+_TYPES = {"i": f"^^<{_XSD}integer>", "d": f"^^<{_XSD}double>", "s": "", "t": "^^<urn:dt:timestamp>"}
 _TYPE = "<http://www.w3.org/1999/02/22-rdf-syntax-ns#type>"
 
 
-def _cell(table: str, key: str, predicate: str, value: str, where: str = "") -> str:
-    return f"SELECT '<urn:r:{table}/' || {key} || '>' AS s, '{predicate}' AS p, {value} AS o FROM {table}{where}"
+def _subject_sql(table: str) -> str:
+    key = KEYS[table][0]
+    if key:
+        return f"'<urn:r:{table}/' || {key[0]} || '>'"
+    parts = " || ".join(f"coalesce(length(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')" for c in _COLUMNS[table])
+    return f"'<urn:r:{table}/' || md5({parts}) || '>'"
 
 
-_TRIPLES_SQL = "(" + " UNION ALL ".join(
-    [
-        _cell("region", "r_regionkey", _TYPE, "'<urn:c:region>'"),
-        _cell("region", "r_regionkey", "<urn:p:r_regionkey>", f"'\"' || r_regionkey || '{_INTEGER}'"),
-        _cell("region", "r_regionkey", "<urn:p:r_name>", "'\"' || r_name || '\"'"),
-        _cell("nation", "n_nationkey", _TYPE, "'<urn:c:nation>'"),
-        _cell("nation", "n_nationkey", "<urn:p:n_nationkey>", f"'\"' || n_nationkey || '{_INTEGER}'"),
-        _cell("nation", "n_nationkey", "<urn:p:n_name>", "'\"' || n_name || '\"'"),
-        _cell("nation", "n_nationkey", "<urn:p:n_regionkey>", "'<urn:r:region/' || n_regionkey || '>'"),
-        _cell("nation", "n_nationkey", "<urn:p:n_regionkey.value>", f"'\"' || n_regionkey || '{_INTEGER}'"),
-        _cell("supplier", "s_suppkey", _TYPE, "'<urn:c:supplier>'"),
-        _cell("supplier", "s_suppkey", "<urn:p:s_suppkey>", f"'\"' || s_suppkey || '{_INTEGER}'"),
-        _cell("supplier", "s_suppkey", "<urn:p:s_name>", "'\"' || s_name || '\"'"),
-        _cell("supplier", "s_suppkey", "<urn:p:s_nationkey>", "'<urn:r:nation/' || s_nationkey || '>'"),
-        _cell("supplier", "s_suppkey", "<urn:p:s_nationkey.value>", f"'\"' || s_nationkey || '{_INTEGER}'"),
-    ]
-) + ")"
+def _triples_sql(*tables: str) -> str:
+    parts = []
+    for table in tables:
+        s, references = _subject_sql(table), KEYS[table][1]
+        cells = [(_TYPE, f"'<urn:c:{table}>'", "true")]
+        for c, kind in _COLUMNS[table].items():
+            value = f"'\"' || CAST({c} AS VARCHAR) || '\"{_TYPES[kind]}'"
+            if c in references:
+                cells += [(f"<urn:p:{c}>", f"'<urn:r:{references[c]}/' || {c} || '>'", f"{c} IS NOT NULL"), (f"<urn:p:{c}.value>", value, f"{c} IS NOT NULL")]
+            else:
+                cells.append((f"<urn:p:{c}>", value, f"{c} IS NOT NULL"))
+        parts += [f"SELECT {s} AS s, '{p}' AS p, {o} AS o FROM {table} WHERE {test}" for p, o, test in cells]
+    return "(" + " UNION ALL ".join(parts) + ")"
 
 
-def _small(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The triples of three tables, balances (doubles) aside."""
-    tables = mapping(spark, sf_dir, *_SMALL)
-    tables["supplier"].table = tables["supplier"].table.drop("s_acctbal")
-    return MappedSource(tables).scan_all()
+_TRIPLES_SQL = _triples_sql(*_TABLES)
 
 
-@special(f"SELECT pos, term, cnt FROM (SELECT *, row_number() OVER (PARTITION BY pos ORDER BY cnt DESC, term) AS r FROM (SELECT pos, term, count(*) AS cnt FROM (SELECT 's' AS pos, s AS term FROM {_TRIPLES_SQL} UNION ALL SELECT 'p', p FROM {_TRIPLES_SQL} UNION ALL SELECT 'o', o FROM {_TRIPLES_SQL}) GROUP BY ALL)) WHERE r <= 20")
-def stats_coarse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return coarse(_small(spark, sf_dir), 20).select("pos", "term", "cnt")
+def _triples(spark: SparkSession, sf_dir: str, *names: str) -> DataFrame:
+    """All triples of the tables; lineitem refers to part too, which is beside the point here."""
+    return MappedSource(mapping(spark, sf_dir, *(names or _TABLES))).scan_all()
 
 
-@special(
+query("var_predicate", "SELECT DISTINCT ?p WHERE { ?s ?p ?o }", f"SELECT DISTINCT p FROM {_TRIPLES_SQL}", " ".join(_TABLES))
+
+_COARSE_SQL = f"SELECT pos, term, cnt FROM (SELECT *, row_number() OVER (PARTITION BY pos ORDER BY cnt DESC, term) AS r FROM (SELECT pos, term, count(*) AS cnt FROM (SELECT 's' AS pos, s AS term FROM {_TRIPLES_SQL} UNION ALL SELECT 'p', p FROM {_TRIPLES_SQL} UNION ALL SELECT 'o', o FROM {_TRIPLES_SQL}) GROUP BY ALL)) WHERE r <= 20"
+_FULL_SQL = (
     f"WITH c AS (SELECT p, pos, term, count(*) AS cnt FROM (SELECT p, 0 AS pos, s AS term FROM {_TRIPLES_SQL} UNION ALL SELECT p, 1, o FROM {_TRIPLES_SQL}) GROUP BY ALL) "
-    "SELECT p, pos, term, cnt, CAST(r AS INTEGER) AS rank, n_values, CAST(n_rows AS BIGINT) AS n_rows FROM (SELECT *, row_number() OVER (PARTITION BY p, pos ORDER BY cnt DESC, term) AS r, count(*) OVER (PARTITION BY p, pos) AS n_values, sum(cnt) OVER (PARTITION BY p, pos) AS n_rows FROM c) WHERE r <= 10"
+    "SELECT p, pos, term, cnt, CAST(r AS INTEGER) AS rank, n_values, CAST(n_rows AS BIGINT) AS n_rows, CAST(width AS INTEGER) AS width FROM (SELECT *, row_number() OVER (PARTITION BY p, pos ORDER BY cnt DESC, term) AS r, count(*) OVER (PARTITION BY p, pos) AS n_values, sum(cnt) OVER (PARTITION BY p, pos) AS n_rows, max(strlen(term)) OVER (PARTITION BY p, pos) AS width FROM c) WHERE r <= 10"
 )
+
+
+@special(_COARSE_SQL)
+def stats_coarse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return coarse(_triples(spark, sf_dir), 20).select("pos", "term", "cnt")
+
+
+@special(_FULL_SQL)
 def stats_full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return full(_small(spark, sf_dir), 10)
+    return full(_triples(spark, sf_dir), 10)
+
+
+def _store(spark: SparkSession, sf_dir: str, stats: str | None = None, names: tuple[str, ...] = (), **options) -> Store:
+    return Store.load(spark, _triples(spark, sf_dir, *names), scratch(spark, "store"), stats, **options)
+
+
+@special(_COARSE_SQL)
+def stat_command(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Coarse statistics of a store that was loaded without any."""
+    store = _store(spark, sf_dir)
+    main(["generate-stat", store.root, "--stat-size", "20"])
+    return spark.read.parquet(f"{store.root}/stats_coarse").select("pos", "term", "cnt")
+
+
+@special(_FULL_SQL)
+def loadfullstat_command(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = _store(spark, sf_dir)
+    main(["loadfullstat", store.root, "--stat-size", "10"])
+    return spark.read.parquet(f"{store.root}/stats_full")
 
 
 @special(f"SELECT p AS iri, count(*) AS n_triples FROM {_TRIPLES_SQL} GROUP BY p")
 def vp_predicate_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Store.load(spark, _small(spark, sf_dir), scratch(spark, "store")).predicates().select("iri", "n_triples")
+    return _store(spark, sf_dir).predicates().select("iri", "n_triples")
 
 
 @special(f"SELECT s, p, o FROM {_TRIPLES_SQL}")
 def vp_scan_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Store.load(spark, _small(spark, sf_dir), scratch(spark, "store")).scan_all()
+    """Predicates of many parts: a part holds 20,000 triples."""
+    return _store(spark, sf_dir, rows_per_part=20_000).scan_all()
 
 
 @special(f"SELECT count(*) AS n FROM (SELECT DISTINCT * FROM {_TRIPLES_SQL})")
 def dedup_load(spark: SparkSession, sf_dir: str) -> DataFrame:
-    once = _small(spark, sf_dir)
+    once = _triples(spark, sf_dir)
     return Store.load(spark, once.unionByName(once), scratch(spark, "store")).scan_all().agg(F.count(F.lit(1)).alias("n"))
 
 
-_VP_SPARQL = "SELECT ?s_name ?r_name WHERE { ?s p:s_name ?s_name . ?s p:s_nationkey ?n . ?n p:n_regionkey ?r . ?r p:r_name ?r_name }"
-_VP_SQL = "SELECT s_name, r_name FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey"
+@special("SELECT true AS removed")
+def remove_command(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = _store(spark, sf_dir)
+    main(["remove", store.root])
+    return spark.createDataFrame([(not store._exists("triples"),)], "removed boolean")
 
 
-def _vp(level: str, stats: str | None):
+_VP_SPARQL = "SELECT ?total ?name ?n_name ?r_name WHERE { ?o p:o_totalprice ?total . ?o p:o_custkey ?c . ?c p:c_name ?name . ?c p:c_nationkey ?n . ?n p:n_name ?n_name . ?n p:n_regionkey ?r . ?r p:r_name ?r_name }"
+_VP_SQL = "SELECT o_totalprice AS total, c_name AS name, n_name, r_name FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey"
+_VP_DECODE = {"total": "double", "name": "string", "n_name": "string", "r_name": "string"}
+
+
+def on_store(name: str, sparql: str, sql: str, level: str, stats: str | None, decode: dict[str, str], **options) -> None:
+    """Register a query on a store of the whole tables."""
+
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        store = Store.load(spark, _small(spark, sf_dir), scratch(spark, "store"), stats)
-        return Engine(store).sparql(PREFIXES + _VP_SPARQL, level, decode={"s_name": "string", "r_name": "string"})
+        return Engine(_store(spark, sf_dir, stats)).sparql(PREFIXES + sparql, level, decode=decode, **options)
 
-    return run
+    QUERIES[name], ORACLE_SQL[name] = run, sql
+    ON_STORE[name] = (sparql, level)
 
 
+ON_STORE: dict[str, tuple[str, str]] = {}
 for _level, _stats in (("connected", None), ("stats", "coarse"), ("cost", "full")):
-    QUERIES[f"vp_{_level}"], ORACLE_SQL[f"vp_{_level}"] = _vp(_level, _stats), _VP_SQL
+    on_store(f"vp_{_level}", _VP_SPARQL, _VP_SQL, _level, _stats, _VP_DECODE)
+on_store("vp_cost_restricted", _VP_SPARQL, _VP_SQL, "cost", "full", _VP_DECODE, stat_limit=5)
+on_store("star_join_3", "SELECT ?c ?t ?s WHERE { ?o p:o_custkey.value ?c . ?o p:o_totalprice ?t . ?o p:o_orderstatus ?s }", "SELECT o_custkey AS c, o_totalprice AS t, o_orderstatus AS s FROM orders", "cost", "full", {"c": "bigint", "t": "double", "s": "string"})
+on_store(
+    "star_join_4",
+    "SELECT ?c ?t ?s ?p WHERE { ?o p:o_custkey.value ?c . ?o p:o_totalprice ?t . ?o p:o_orderstatus ?s . ?o p:o_orderpriority ?p }",
+    "SELECT o_custkey AS c, o_totalprice AS t, o_orderstatus AS s, o_orderpriority AS p FROM orders",
+    "cost",
+    "full",
+    {"c": "bigint", "t": "double", "s": "string", "p": "string"},
+)
+on_store(
+    "shared_filter",
+    "SELECT ?name ?balance WHERE { ?c p:c_name ?name . ?c p:c_nationkey ?n . ?o p:o_custkey ?c . ?c p:c_acctbal ?balance . ?c p:c_custkey 11 }",
+    "SELECT c_name AS name, c_acctbal AS balance FROM customer JOIN orders ON o_custkey = c_custkey WHERE c_custkey = 11",
+    "cost",
+    "full",
+    {"name": "string", "balance": "double"},
+)
+on_store("broadcast_join", "SELECT ?price ?name WHERE { ?l p:l_extendedprice ?price . ?l p:l_suppkey ?s . ?s p:s_name ?name }", "SELECT l_extendedprice AS price, s_name AS name FROM lineitem JOIN supplier ON l_suppkey = s_suppkey", "cost", "full", {"price": "double", "name": "string"})
+on_store("broadcast_product", "SELECT ?a ?b WHERE { ?c p:c_name ?a . ?r p:r_name ?b }", "SELECT c_name AS a, r_name AS b FROM customer CROSS JOIN region", "cost", "full", {"a": "string", "b": "string"})
 
 
-@special("SELECT doc_id, text FROM documents")
-def ntriples_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents written as N-Triples text, read back and queried directly."""
-    path = scratch(spark, "documents.nt")
-    source = MappedSource(mapping(spark, sf_dir, "documents"))
-    rows = source.scan_all().where(F.col("p").isin("<urn:p:doc_id>", "<urn:p:text>"))
-    write_ntriples(rows, path)
-    engine = Engine(DataFrameSource(read_ntriples(spark, path)))
-    return engine.sparql(PREFIXES + "SELECT ?doc_id ?text WHERE { ?d p:doc_id ?doc_id . ?d p:text ?text }", decode={"doc_id": "bigint", "text": "string"})
+@special("SELECT c_custkey AS key FROM customer WHERE c_acctbal > 9700")
+def broadcast_semi_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both patterns have the same two variables; the few triples of one filter the other's."""
+    customer = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    s, o = F.format_string("<urn:k:%d>", F.col("c_custkey")).alias("s"), F.format_string("<urn:n:%d>", F.col("c_nationkey")).alias("o")
+    triples = customer.select(s, F.lit("<urn:p:lives>").alias("p"), o).unionByName(customer.where("c_acctbal > 9700").select(s, F.lit("<urn:p:favours>").alias("p"), o))
+    found = Engine.from_dataframe(triples).sparql("SELECT ?c WHERE { ?c <urn:p:lives> ?n . ?c <urn:p:favours> ?n }", "cost")
+    return found.select(F.regexp_extract("c", "[0-9]+", 0).cast("bigint").alias("key"))
 
 
-@special(_VP_SQL)
-def direct_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same query on N-Triples text, without a store."""
-    path = scratch(spark, "small.nt")
-    write_ntriples(_small(spark, sf_dir), path, "gzip")
-    return Engine.from_ntriples(spark, path).sparql(PREFIXES + _VP_SPARQL, decode={"s_name": "string", "r_name": "string"})
+# --- bounds on cardinalities: where all values are listed, they are the numbers themselves
 
 
-# --- the same operators over whole large tables; without SQL where the triples of whole tables are too many for it
+def _known(spark: SparkSession, sf_dir: str) -> Statistics:
+    """All nations, regions, segments and suppliers' and customers' nations are listed: at most 25 objects a predicate."""
+    source = MappedSource(mapping(spark, sf_dir, "nation", "region", "supplier", "customer"))
+    source.stat_size = 25
+    names = ("s_nationkey", "c_nationkey", "n_regionkey", "c_mktsegment", "n_name")
+    return source.statistics(True, frozenset(f"<urn:p:{n}>" for n in names))
 
-_LARGE = ("customer", "orders", "lineitem", "documents", "nation", "region", "supplier", "part")
-LARGE: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
+def _pattern(text: str) -> Triple:
+    return parse(PREFIXES + f"SELECT * WHERE {{ {text} }}").where.elements[0].triples[0]
 
-def _large(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return MappedSource(mapping(spark, sf_dir, *_LARGE)).scan_all()
 
+_BOUNDS = {
+    "?s p:s_nationkey ?n": "SELECT count(*) FROM supplier",
+    "?s p:s_nationkey <urn:r:nation/3>": "SELECT count(*) FROM supplier WHERE s_nationkey = 3",
+    "?c p:c_mktsegment 'BUILDING'": "SELECT count(*) FROM customer WHERE c_mktsegment = 'BUILDING'",
+    "<urn:r:nation/3> p:n_regionkey ?r": "SELECT 1",
+    "<urn:r:nation/3> p:n_regionkey <urn:r:region/1>": "SELECT 1",
+    "?x p:no_such_thing ?y": "SELECT 0",
+}
 
-def large(f):
-    LARGE[f.__name__] = f
-    return f
 
+@special(" UNION ALL ".join("SELECT '{}' AS pattern, ({}) AS bound".format(k.replace("'", "''"), v) for k, v in _BOUNDS.items()))
+def cardinality_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    known = _known(spark, sf_dir)
+    rows = [(k, known.estimate(_pattern(k.replace("'", '"'))).size) for k in _BOUNDS]
+    return spark.createDataFrame(rows, "pattern string, bound long")
 
-@large
-def large_stats_coarse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return coarse(_large(spark, sf_dir), 20).select("pos", "term", "cnt")
 
+_JOINS = {
+    "?s p:s_nationkey ?n . ?c p:c_nationkey ?n": "SELECT count(*) FROM supplier JOIN customer ON s_nationkey = c_nationkey",
+    "?s p:s_nationkey ?n . ?n p:n_regionkey ?r": "SELECT count(*) FROM supplier JOIN nation ON s_nationkey = n_nationkey",
+}
 
-@large
-def large_stats_full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return full(_large(spark, sf_dir), 10)
 
+@special(" UNION ALL ".join(f"SELECT '{k}' AS pattern, CAST(({v}) AS BIGINT) AS bound" for k, v in _JOINS.items()))
+def cardinality_joins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    known, rows = _known(spark, sf_dir), []
+    for k in _JOINS:
+        one, two = (known.estimate(_pattern(t)) for t in k.split(" . "))
+        rows.append((k, join(one, two).size))
+    return spark.createDataFrame(rows, "pattern string, bound long")
 
-@large
-def large_vp_predicate_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Store.load(spark, _large(spark, sf_dir), scratch(spark, "store")).predicates().select("iri", "n_triples")
 
+_PARTNERS = "(SELECT *, row_number() OVER (ORDER BY partners DESC) AS place FROM (SELECT s_suppkey, count(c_custkey) AS partners FROM supplier LEFT JOIN customer ON c_nationkey = s_nationkey GROUP BY s_suppkey))"
 
-@large
-def large_vp_scan_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Store.load(spark, _large(spark, sf_dir), scratch(spark, "store")).scan_all()
 
+@special(f"SELECT place, CAST(sum(partners) OVER (ORDER BY place) AS BIGINT) AS reach, CAST(sum(least(partners, 60)) OVER (ORDER BY place) AS BIGINT) AS capped FROM {_PARTNERS}")
+def cardinality_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Result rows of the best n suppliers, for every n, with and without a ceiling."""
+    known = _known(spark, sf_dir)
+    one, two = known.estimate(_pattern("?s p:s_nationkey ?n")), known.estimate(_pattern("?c p:c_nationkey ?n"))
+    e = envelope(one, two)
+    return spark.createDataFrame([(i, e.area(i), e.area(i, 60)) for i in range(1, one.size + 1)], "place long, reach long, capped long")
 
-@large
-def large_dedup_load(spark: SparkSession, sf_dir: str) -> DataFrame:
-    once = _large(spark, sf_dir)
-    return Store.load(spark, once.unionByName(once), scratch(spark, "store")).scan_all().agg(F.count(F.lit(1)).alias("n"))
 
+@special(
+    "WITH a AS (SELECT row_number() OVER (ORDER BY c DESC) AS i, c FROM (SELECT count(*) OVER (PARTITION BY c_nationkey) AS c FROM customer)), b AS (SELECT row_number() OVER (ORDER BY c DESC) AS i, c FROM (SELECT count(*) OVER (PARTITION BY c_mktsegment) AS c FROM customer)) "
+    "SELECT CAST(sum(least(a.c, b.c)) AS BIGINT) AS bound FROM a JOIN b USING (i)"
+)
+def cardinality_lowest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers joined with themselves on nation and segment: the lower of two variables' envelopes."""
+    known = _known(spark, sf_dir)
+    nation, segment = known.estimate(_pattern("?c p:c_nationkey ?n")), known.estimate(_pattern("?c p:c_mktsegment ?m"))
+    both = Estimate(nation.size, {"n": nation.columns["n"], "m": segment.columns["m"]})
+    return spark.createDataFrame([(join(both, both).size,)], "bound long")
 
-_LARGE_SPARQL = "SELECT ?total ?name ?n_name ?r_name WHERE { ?o p:o_totalprice ?total . ?o p:o_custkey ?c . ?c p:c_name ?name . ?c p:c_nationkey ?n . ?n p:n_name ?n_name . ?n p:n_regionkey ?r . ?r p:r_name ?r_name }"
-_LARGE_SQL = "SELECT o_totalprice AS total, c_name AS name, n_name, r_name FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey"
-_LARGE_DECODE = {"total": "double", "name": "string", "n_name": "string", "r_name": "string"}
 
+# --- commands, files and explanations
 
-def _large_vp(level: str, stats: str | None):
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        store = Store.load(spark, _large(spark, sf_dir), scratch(spark, "store"), stats)
-        return Engine(store).sparql(PREFIXES + _LARGE_SPARQL, level, decode=_LARGE_DECODE)
 
-    return run
+def _written(spark: SparkSession, text: str) -> str:
+    path = scratch(spark, "query.rq")
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(path)
+    return path
 
 
-for _level, _stats in (("connected", None), ("stats", "coarse"), ("cost", "full")):
-    QUERIES[f"large_vp_{_level}"], ORACLE_SQL[f"large_vp_{_level}"] = _large_vp(_level, _stats), _LARGE_SQL
+def _loaded(spark: SparkSession, sf_dir: str, command: str) -> str:
+    """A store that a command made from N-Triples text."""
+    file, root = scratch(spark, "tables.nt"), scratch(spark, "store")
+    write_ntriples(_triples(spark, sf_dir), file, "gzip")
+    main([command, root, file])
+    return root
 
 
-@special(_LARGE_SQL)
-def large_direct_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = scratch(spark, "large.nt")
-    write_ntriples(_large(spark, sf_dir), path, "gzip")
-    return Engine.from_ntriples(spark, path).sparql(PREFIXES + _LARGE_SPARQL, decode=_LARGE_DECODE)
+def _spoken(*argv: str) -> list[str]:
+    out = io.StringIO()
+    with contextlib.redirect_stdout(out):
+        main(list(argv))
+    return out.getvalue().splitlines()
 
 
-@large
-def large_var_predicate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Engine.from_mapping(mapping(spark, sf_dir, *_LARGE)).sparql("SELECT DISTINCT ?p WHERE { ?s ?p ?o }")
+@special(_VP_SQL)
+def query_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _written(spark, PREFIXES + _VP_SPARQL)
+    return Engine.from_mapping(mapping(spark, sf_dir, *_TABLES)).sparql_file(path, decode=_VP_DECODE)
 
 
-@special("SELECT DISTINCT '<urn:k:' || o_custkey || '>' AS x FROM orders WHERE o_custkey = o_orderkey")
-def large_repeated_var(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    near = orders.select(F.format_string("<urn:k:%d>", F.col("o_custkey")).alias("s"), F.lit("<urn:p:near>").alias("p"), F.format_string("<urn:k:%d>", F.col("o_orderkey")).alias("o"))
-    return Engine.from_dataframe(near).sparql("SELECT ?x WHERE { ?x <urn:p:near> ?x }")
+_NATIONS_SPARQL = PREFIXES + "SELECT ?n_name ?r_name WHERE { ?n p:n_name ?n_name . ?n p:n_regionkey ?r . ?r p:r_name ?r_name }"
+
+
+@special("SELECT '\"' || n_name || '\"' AS n_name, '\"' || r_name || '\"' AS r_name FROM nation JOIN region ON n_regionkey = r_regionkey")
+def query_command_saves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """loadall, then query --fullstat --clean -o: the saved result."""
+    root, out = _loaded(spark, sf_dir, "loadall"), scratch(spark, "result")
+    _spoken("query", "--fullstat", "--clean", root, _written(spark, _NATIONS_SPARQL), "-o", out)
+    return spark.read.csv(out, header=True)
+
+
+def _printed(spark: SparkSession, lines: list[str]) -> DataFrame:
+    """The printed rows, and whether a time was reported behind them."""
+    timed = len(lines) > 0 and re.fullmatch(r"Total time: [0-9.]+ seconds", lines[-1]) is not None
+    return spark.createDataFrame([(*x.split("\t"), timed) for x in lines[:-1]], "n_name string, r_name string, timed boolean")
+
+
+_PRINTED_SQL = "SELECT '\"' || n_name || '\"' AS n_name, '\"' || r_name || '\"' AS r_name, true AS timed FROM nation JOIN region ON n_regionkey = r_regionkey"
+
+
+@special(_PRINTED_SQL)
+def query_command_prints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = _loaded(spark, sf_dir, "load")
+    return _printed(spark, _spoken("query", "--stat", root, _written(spark, _NATIONS_SPARQL)))
+
+
+@special(_PRINTED_SQL)
+def light_load_command(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = _loaded(spark, sf_dir, "light-load")
+    return _printed(spark, _spoken("query", "--no-optim", root, _written(spark, _NATIONS_SPARQL)))
+
+
+@special("SELECT '1.0' AS version")
+def version_command(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame([(_spoken("version")[0],)], "version string")
+
+
+_TOLD = "SELECT DISTINCT ?x WHERE { ?x p:n_name ?name OPTIONAL { ?c p:c_nationkey ?x } } ORDER BY ?x"
+
+
+@special("SELECT unnest([0, 1, 2, 3, 4, 5, 6, 7, 8, 9]) AS id, unnest(['PRED', 'SELECT', 'SELECT', 'PRED', 'SELECT', 'SELECT', 'LEFTJOIN', 'SELECT', 'DISTINCT', 'ORDER']) AS op")
+def explain_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    engine = Engine.from_mapping(mapping(spark, sf_dir, "nation", "region", "customer"))
+    commands = json.loads(engine.explain(PREFIXES + _TOLD, "json"))["commands"]
+    return spark.createDataFrame([(c["id"], c["op"]) for c in commands], "id int, op string")
+
+
+@special("SELECT unnest(['OPTIONAL', '  ?x <urn:p:n_name> ?name .', '  ?c <urn:p:c_nationkey> ?x .', '-- order (none)', 'SCAN ?x <urn:p:n_name> ?name', 'SCAN ?c <urn:p:c_nationkey> ?x']) AS line, unnest([1, 2, 3, 4, 5, 6]) AS place")
+def translate_command(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The printed translation, up to Spark's plan."""
+    root = _store(spark, sf_dir, names=("nation", "region", "customer")).root
+    lines = _spoken("translate", "--no-optim", root, _written(spark, PREFIXES + _TOLD))
+    return spark.createDataFrame([(x, i) for i, x in enumerate(lines[: lines.index("-- physical plan")]) if i], "line string, place int")
+
+
+_DOCUMENTS_SPARQL = "SELECT ?doc_id ?text ?lang ?source ?n WHERE { ?d p:doc_id ?doc_id . ?d p:text ?text . ?d p:lang ?lang . ?d p:source ?source . ?d p:n_chars ?n }"
+
+
+@special("SELECT doc_id, text, lang, source, n_chars AS n FROM documents WHERE text IS NOT NULL AND lang IS NOT NULL AND source IS NOT NULL AND n_chars IS NOT NULL")
+def ntriples_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents written as N-Triples text, read back and queried directly."""
+    path = scratch(spark, "documents.nt")
+    write_ntriples(MappedSource(mapping(spark, sf_dir, "documents")).scan_all(), path)
+    engine = Engine(DataFrameSource(read_ntriples(spark, path)))
+    return engine.sparql(PREFIXES + _DOCUMENTS_SPARQL, decode={"doc_id": "bigint", "text": "string", "lang": "string", "source": "string", "n": "bigint"})
+
+
+@special(_VP_SQL)
+def direct_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same query on N-Triples text, without a store."""
+    path = scratch(spark, "tables.nt")
+    write_ntriples(_triples(spark, sf_dir), path, "gzip")
+    return Engine.from_ntriples(spark, path).sparql(PREFIXES + _VP_SPARQL, decode=_VP_DECODE)
