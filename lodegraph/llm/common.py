@@ -26,25 +26,40 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir, or the warehouse's folder where that is unset."""
+    """The folder that the driver and all executors share: spark.checkpoint.dir. Where that is unset, it is set beside the warehouse,
+    unless that is a folder of this machine and the executors are on others."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_lodegraph_shared"
+        warehouse = spark.conf.get("spark.sql.warehouse.dir")
+        if not spark.sparkContext.master.startswith("local[") and warehouse.startswith(("file:", "/")):
+            raise ValueError("spark.checkpoint.dir is unset, and the warehouse isn't in a file system that executors share")
+        base = warehouse.rstrip("/") + "/_lodegraph_shared"
     return base.rstrip("/")
 
 
-def materialise(df: DataFrame, tag: str) -> DataFrame:
+_made: dict[str, list[str]] = {"paths": [], "tables": []}
+
+
+def materialise(df: DataFrame, tag: str, compression: str = "snappy") -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lodegraph-{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    _made["paths"].append(path)
+    df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_path(spark: SparkSession, path: str) -> None:
-    jvm = spark._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+def made_table(name: str) -> None:
+    _made["tables"].append(name)
+
+
+def clean(spark: SparkSession) -> None:
+    """Remove what operators have stored on the way. Results that weren't written or read before are lost with it."""
+    while _made["paths"]:
+        p = spark._jvm.org.apache.hadoop.fs.Path(_made["paths"].pop())
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    while _made["tables"]:
+        spark.sql(f"DROP TABLE IF EXISTS {_made['tables'].pop()}")
 
 
 def bounded_batches(spark: SparkSession) -> None:
@@ -195,10 +210,6 @@ def signed(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64))
 
 
-def ids_of(batch: pa.RecordBatch, name: str = "doc_id") -> pa.Array:
-    return column(batch, name)
-
-
 def map_texts(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict[str, pa.Array]]], fields: str, keep: Iterable[str] = ("doc_id",), text: str = "text", also: Iterable[str] = ()) -> DataFrame:
     """Add columns computed from whole texts, piece by piece (see ``chunks``), through Arrow.
 

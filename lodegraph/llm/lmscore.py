@@ -1,319 +1,246 @@
 """Operator 6: cross-entropy difference of two matched n-gram models.
 
-A target model (texts marked as such) and a background model (all texts) are counted over the whole corpus in the same way. Both
-are bigram models over the whole vocabulary, with every word as a head and the start of a text as one more: P(w | h) mixes the
+A target model (chosen texts) and a background model (all texts) are counted over the whole corpus in the same way and share one
+vocabulary: every word. Both are bigram models with every word as a head and the start of a text as one more: P(w | h) mixes the
 bigram estimate, (c(h, w) + 5 P(w)) / (c(h) + 5), with the unigram estimate P(w), by ``mixture``; unigram counts have 0.5 added,
 for the vocabulary and one unseen word. A token's loss is -log2 P; a document's score is the mean over its tokens of target loss
 minus background loss, so lower is more like the target.
 
-Counts are tables, joined to the texts by key; nothing that grows with the corpus is gathered on the driver or broadcast. Texts
-are put into pieces of about PIECE_BYTES. A piece asks once for each word, head and bigram that it holds, so a common one has as
-many rows as there are pieces, not as it has occurrences; the answers return to the piece, which scores its texts. Words and
-bigrams are identified by 64-bit hashes.
+What is counted grows with the corpus and stays distributed. Texts are put into pieces of about PIECE_BYTES, a stored table
+bucketed by piece. A piece has its different words and bigrams, by 64-bit hashes in ascending order, with their counts; the range of
+hashes is cut into slices of about SLICE_BYTES of text each, and a piece sends every slice one packed block of its part. A slice adds
+up all pieces' counts and answers each with a block of the sums, in the order that was asked. The answers meet the pieces, whose
+texts never move. So a common word has as many counts to add as there are pieces, not as it has occurrences.
 
-``train`` and ``score`` are the same over the commonest words only (``max_vocab``, and ``max_heads`` as heads; words of over
-64 bytes count as unknown), with models that a task holds whole; the registered query doesn't use them.
-
-Null and empty texts have no tokens and null losses; an empty table gives an empty table; without a target text both models are
-the smoothed background's and every score is that of an untrained target.
+Null and empty texts have no tokens and null losses. Texts of any length are scored whole; one that is longer than a piece is a piece
+of its own. Repeated rows count, and are scored, each. Rows without a key are never targets. An empty table gives an empty table;
+without a target text the target model is uniform. Columns to keep that are named like a result give way to it.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+import struct
+import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+import zstandard
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from . import common as C
 
-LONGEST = 64
-PIECE_BYTES = 4 << 20
-START, CONTEXT = np.uint64(0x5851F42D4C957F2D), np.uint64(0xA0761D6478BD642F)
+PIECE_BYTES = 8 << 20
+SLICE_BYTES = 32 << 20
+RESULT = "n_tokens long, background_loss double, target_loss double, score double"
 
 
-def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(word binary, n long) over all texts."""
+# --- blocks of numbers
 
-    def count(batches):
-        bag: Counter = Counter()
 
-        def rows():
-            return pa.RecordBatch.from_arrays([pa.array(bag.keys(), pa.binary()), pa.array(bag.values(), pa.int64())], names=["word", "n"])
+def pack(columns: list[np.ndarray]) -> bytes:
+    """Columns of 64-bit numbers as bytes: for each its length, its width, and its bytes by place, the empty ones left out."""
+    parts = []
+    for x in columns:
+        planes = np.ascontiguousarray(np.ascontiguousarray(x, "<u8").view(np.uint8).reshape(-1, 8).T)
+        width = 8 - int(planes.any(axis=1)[::-1].argmax()) if planes.any() else 0
+        parts += [struct.pack("<QB", len(x), width), planes[:width].tobytes()]
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
 
-        for batch in C.chunks(batches, text):
-            for t in C.as_bytes(batch, text):
-                bag.update(t.split())
-            if len(bag) > C.CACHE_ENTRIES:
-                yield rows()
-                bag.clear()
-        if bag:
-            yield rows()
 
-    counted = docs.select(text).mapInArrow(count, StructType.fromDDL("word binary, n long"))
-    return counted.where(F.length("word") <= LONGEST).groupBy("word").agg(F.sum("n").alias("n"))
+def unpack(block: bytes) -> list[np.ndarray]:
+    raw, at, out = zstandard.ZstdDecompressor().decompress(block), 0, []
+    while at < len(raw):
+        n, width = struct.unpack_from("<QB", raw, at)
+        planes = np.zeros((8, n), np.uint8)
+        planes[:width] = np.frombuffer(raw, np.uint8, n * width, at + 9).reshape(width, n)
+        out.append(np.ascontiguousarray(planes.T).view("<u8").ravel())
+        at += 9 + n * width
+    return out
 
 
-def commonest(counted: DataFrame, most: int) -> list[bytes]:
-    """The ``most`` commonest words, ties in order of the word. ``counted`` is read twice, so it should be a stored table.
+def rises(keys: np.ndarray) -> np.ndarray:
+    """Ascending keys as their differences, which are shorter."""
+    return np.diff(keys, prepend=np.uint64(0))
 
-    Every task would send its own ``most`` candidates to the driver; a histogram of the counts' logarithms leaves little more than
-    ``most`` words in all.
-    """
-    size = F.floor(F.log2("n") * 16)
-    left, least = most, 0
-    for r in sorted(counted.groupBy(size.alias("size")).agg(F.count(F.lit(1)).alias("c")).collect(), reverse=True):  # at most 16 * 63 rows
-        least = r.size
-        left -= r.c
-        if left <= 0:
-            break
-    return [bytes(r.word) for r in counted.where(size >= least).orderBy(F.desc("n"), "word").limit(most).collect()]
 
+# --- pieces
 
-class Cells:
-    """Numbering of the counts: unigrams of the vocabulary and the unknown word, then bigrams (head, follower).
 
-    Words are numbered by falling frequency, so a word below ``heads`` is a head. As a follower, ``heads`` stands for any other
-    word; as a context, ``heads`` is any other word and ``heads + 1`` the start of a text.
-    """
-
-    def __init__(self, vocab: int, heads: int):
-        self.vocab, self.heads = vocab, heads
-        self.wide = heads + 1
-        self.size = vocab + 1 + (heads + 2) * self.wide
-
-    def bigrams(self, ids: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """Cells of the bigrams that end in each word; ``first`` marks the first words of texts."""
-        before = np.empty_like(ids)
-        before[1:] = np.minimum(ids[:-1], self.heads)
-        before[first] = self.heads + 1
-        return self.vocab + 1 + before * self.wide + np.minimum(ids, self.heads)
-
-
-def numbered(texts: list[bytes], get) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word ids of all texts in a row, the mask of first words, and the number of words of each text."""
-    ids: list[int] = []
-    counts = []
-    for t in texts:
-        words = t.split()
-        counts.append(len(words))
-        ids.extend(map(get, words))
-    many = np.array(counts, np.int64)
-    first = np.zeros(len(ids), bool)
-    starts = np.concatenate([[0], np.cumsum(many)[:-1]])
-    first[starts[many > 0]] = True
-    return np.array(ids, np.int64), first, many
-
-
-class Vocabulary(dict):
-    def __init__(self, words: list[bytes]):
-        super().__init__((w, i) for i, w in enumerate(words))
-        self.unknown = len(words)
-
-    def __missing__(self, word: bytes) -> int:
-        return self.unknown
-
-
-class Models:
-    """log2 P of every unigram and of every bigram cell, under the background and the target."""
-
-    def __init__(self, words: list[bytes], heads: int, background: np.ndarray, target: np.ndarray, mixture: float = 0.6):
-        self.words, self.cells, self.mixture = words, Cells(len(words), heads), mixture
-        self.tables = [self._table(c) for c in (background, target)]
-
-    def _table(self, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Unigram probabilities, bigram probabilities, and each unigram's share of its follower class."""
-        c = self.cells
-        uni = counts[: c.vocab + 1] + 0.5
-        uni = uni / uni.sum()
-        by_class = np.bincount(np.minimum(np.arange(c.vocab + 1), c.heads), uni, c.wide)
-        grid = counts[c.vocab + 1 :].reshape(c.heads + 2, c.wide)
-        smooth = grid + 5.0 * by_class  # a context that is rare or unseen falls back on the classes' shares
-        return uni, (smooth / smooth.sum(1, keepdims=True)).ravel(), uni / by_class[np.minimum(np.arange(c.vocab + 1), c.heads)]
-
-    def losses(self, ids: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Background and target loss of each token, in bits."""
-        at = self.cells.bigrams(ids, first) - self.cells.vocab - 1
-        return tuple(-np.log2(self.mixture * pair[at] * share[ids] + (1 - self.mixture) * uni[ids]) for uni, pair, share in self.tables)
-
-
-def train(docs: DataFrame, is_target: str, text: str = "text", max_vocab: int = 40_000, max_heads: int = 700, mixture: float = 0.6) -> Models:
-    """``is_target`` names a boolean column (null: false)."""
-    C.bounded_batches(docs.sparkSession)
-    words = commonest(C.materialise(word_counts(docs, text), "lm-words"), max_vocab)  # of at most LONGEST bytes each
-    heads = min(max_heads, len(words))
-    shared = docs.sparkSession.sparkContext.broadcast(words)
-
-    def count(batches):
-        vocabulary = Vocabulary(shared.value)
-        cells = Cells(len(shared.value), heads)
-        total = np.zeros((2, cells.size), np.int64)
-        for batch in C.chunks(batches, text):
-            flags = C.column(batch, is_target).fill_null(False).to_numpy(zero_copy_only=False)
-            ids, first, many = numbered(C.as_bytes(batch, text), vocabulary.__getitem__)
-            if not len(ids):
-                continue
-            pair = cells.bigrams(ids, first)
-            marked = np.repeat(flags, many)
-            for row, mask in ((0, slice(None)), (1, marked)):
-                total[row] += np.bincount(ids[mask], minlength=cells.size) + np.bincount(pair[mask], minlength=cells.size)
-        at = np.flatnonzero(total[0])
-        for start in range(0, len(at), 100_000):
-            part = at[start : start + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(total[0][part]), pa.array(total[1][part])], names=["cell", "background", "target"])
-
-    counted = docs.select(text, is_target).mapInArrow(count, StructType.fromDDL("cell long, background long, target long"))
-    summed = counted.groupBy("cell").agg(F.sum("background").alias("background"), F.sum("target").alias("target"))
-    size = Cells(len(words), heads).size
-    sums = np.zeros((2, size))
-    found = summed.toArrow()  # at most `size` rows
-    at = found.column("cell").to_numpy()
-    for row, name in enumerate(("background", "target")):
-        sums[row][at] = found.column(name).to_numpy()
-    return Models(words, heads, sums[0], sums[1], mixture)
-
-
-def score(df: DataFrame, models: Models, keep=("doc_id",), text: str = "text") -> DataFrame:
-    """``keep`` columns, n_tokens long, background_loss, target_loss and score (bits a token; null without tokens)."""
-    shared = df.sparkSession.sparkContext.broadcast(models)  # bounded by max_vocab and max_heads
-
-    def make():
-        m = shared.value
-        vocabulary = Vocabulary(m.words)
-
-        def run(batch: pa.RecordBatch) -> dict[str, pa.Array]:
-            ids, first, many = numbered(C.as_bytes(batch, text), vocabulary.__getitem__)
-            means = np.full((2, len(many)), np.nan)
-            some = many > 0
-            if len(ids):
-                starts = np.concatenate([[0], np.cumsum(many)[:-1]])[some]
-                for row, loss in enumerate(m.losses(ids, first)):
-                    means[row, some] = np.add.reduceat(loss, starts) / many[some]
-            nothing = ~some
-            return {
-                "n_tokens": pa.array(many),
-                "background_loss": pa.array(means[0], mask=nothing),
-                "target_loss": pa.array(means[1], mask=nothing),
-                "score": pa.array(means[1] - means[0], mask=nothing),
-            }
-
-        return run
-
-    return C.map_texts(df, make, "n_tokens long, background_loss double, target_loss double, score double", keep, text)
-
-
-def pieces(docs: DataFrame, is_target: str, keep=("doc_id",), text: str = "text") -> DataFrame:
-    """piece long, and lists (row for row): texts, marks, and the columns ``keep`` as k0, k1, ... A stored table."""
-    C.bounded_batches(docs.sparkSession)
+def pieces(docs: DataFrame, key: str, keep: tuple[str, ...], text: str) -> DataFrame:
+    """piece long, size long (bytes), and lists, row for row: texts, keys, and the columns ``keep`` as k0, k1, ... A stored table."""
+    spark = docs.sparkSession
+    C.bounded_batches(spark)
 
     def cut(batches):
         from pyspark import TaskContext
 
         at = TaskContext.get().partitionId() << 32
 
-        def piece(parts):
+        def piece(parts, size):
             whole = pa.Table.from_batches(parts).combine_chunks()
             lists = [pa.ListArray.from_arrays(pa.array([0, whole.num_rows], pa.int32()), whole.column(c).combine_chunks()) for c in whole.column_names]
-            return pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), *lists], names=schema.names)
+            return pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([size], pa.int64()), *lists], names=schema.names)
 
         parts, size = [], 0
         for batch in C.chunks(batches, "texts"):
             more = C.column(batch, "texts").nbytes
             if parts and size + more > PIECE_BYTES:
-                yield piece(parts)
+                yield piece(parts, size)
                 at, parts, size = at + 1, [], 0
             parts.append(batch)
             size += more
         if parts:
-            yield piece(parts)
+            yield piece(parts, size)
 
-    rows = docs.select(F.col(text).alias("texts"), F.coalesce(F.col(is_target), F.lit(False)).alias("marks"), *(F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)))
-    schema = StructType([StructField("piece", LongType()), *(StructField(f.name, ArrayType(f.dataType)) for f in rows.schema.fields)])
-    return C.materialise(rows.mapInArrow(cut, schema), "lm-pieces")
+    rows = docs.select(F.col(text).alias("texts"), F.col(key).alias("keys"), *(F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)))
+    schema = StructType([StructField("piece", LongType()), StructField("size", LongType()), *(StructField(f.name, ArrayType(f.dataType)) for f in rows.schema.fields)])
+    name = f"lodegraph_pieces_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows.mapInArrow(cut, schema).write.bucketBy(buckets, "piece").option("compression", "zstd").saveAsTable(name)
+    C.made_table(name)
+    return spark.table(name)
 
 
 class Piece:
-    """The keys that a piece asks for (words, contexts, bigrams) and where its tokens find them."""
-
-    def __init__(self, texts: list[bytes], hasher: C.WordHasher):
-        self.many, one, _ = hasher.of(texts)
-        starts = (np.cumsum(self.many) - self.many)[self.many > 0]
-        before = np.empty_like(one)
-        before[1:] = one[:-1]
-        before[starts] = START
+    """The different words and bigrams of texts, ascending, and where each token finds its own."""
+
+    def __init__(self, texts: list[str | None]):
+        self.many, one, _ = C.WordHasher().of([(t or "").encode() for t in texts])
+        ends = np.cumsum(self.many)
+        self.first = np.zeros(len(one), bool)
+        self.first[(ends - self.many)[self.many > 0]] = True
+        self.last = np.zeros(len(one), bool)
+        self.last[ends[self.many > 0] - 1] = True
+        self.words, self.word = np.unique(one, return_inverse=True)
+        before = np.roll(one, 1)
+        before[self.first] = 0  # the start of a text
         with np.errstate(over="ignore"):
-            context = C.mix(before + CONTEXT)
-            asked = [one, context, C.mix(context * C.ODD + one)]
-        found = [np.unique(x, return_inverse=True) for x in asked]
-        self.sizes = [len(keys) for keys, _ in found]
-        offsets = np.cumsum([0, *self.sizes[:2]])
-        self.keys = np.concatenate([keys for keys, _ in found])
-        self.word, self.context, self.bigram = (at + offset for (_, at), offset in zip(found, offsets))
-
-    def counts(self, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            self.bigrams, self.bigram = np.unique(C.mix(C.mix(before + self.first) * C.ODD + one), return_inverse=True)
+
+    def counts(self, marks: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """Of words: occurrences in all and in marked texts, then occurrences that another word follows; of bigrams: the first two."""
         marked = np.repeat(marks, self.many)
-        places = (self.word, self.context, self.bigram)
-        return tuple(sum(np.bincount(at[mask], minlength=len(self.keys)) for at in places) for mask in (slice(None), marked))
-
-
-def asked(stored: DataFrame) -> DataFrame:
-    """One row for each key of each piece: piece, slot, key, is_word, background and target (counts in the piece)."""
-
-    def ask(batches):
-        hasher = C.WordHasher()
-        for batch in batches:
-            for i, texts in enumerate(C.column(batch, "texts")):
-                p = Piece([(t or "").encode() for t in texts.as_py()], hasher)
-                background, target = p.counts(np.array(C.column(batch, "marks")[i].as_py(), bool))
-                slot = np.arange(len(p.keys), dtype=np.int32)
-                piece = np.full(len(slot), C.column(batch, "piece")[i].as_py(), np.int64)
-                columns = [pa.array(piece), pa.array(slot), C.signed(p.keys), pa.array(slot < p.sizes[0]), pa.array(background.astype(np.int64)), pa.array(target.astype(np.int64))]
-                whole = pa.RecordBatch.from_arrays(columns, names=["piece", "slot", "key", "is_word", "background", "target"])
-                for start in range(0, len(slot), 100_000):
-                    yield whole.slice(start, 100_000)
-
-    return stored.select("piece", "texts", "marks").mapInArrow(ask, "piece long, slot int, key long, is_word boolean, background long, target long")
-
-
-def score_whole(docs: DataFrame, is_target: str, keep=("doc_id",), text: str = "text", mixture: float = 0.6) -> DataFrame:
-    """``keep`` columns, n_tokens long, background_loss, target_loss and score, under models of the whole vocabulary."""
-    stored = pieces(docs, is_target, keep, text)
-    rows = asked(stored)
-    vocabulary = rows.where("is_word").groupBy("key").agg(F.sum("background").alias("b"), F.sum("target").alias("t"))
-    v, *tokens = vocabulary.agg(F.count(F.lit(1)), F.coalesce(F.sum("b"), F.lit(0)), F.coalesce(F.sum("t"), F.lit(0))).first()
-    of_key = Window.partitionBy("key")
-    answers = rows.select("piece", "slot", F.sum("background").over(of_key).alias("background"), F.sum("target").over(of_key).alias("target"))
-    fields = StructType.fromDDL("n_tokens long, background_loss double, target_loss double, score double")
-    schema = StructType([*(docs.schema[c] for c in keep if c not in fields.names), *fields.fields])
-    kept = [(f"k{i}", c) for i, c in enumerate(keep) if c not in fields.names]
+        every = np.ones(len(marked), bool)
+
+        def of(at: np.ndarray, size: int, mask: np.ndarray) -> np.ndarray:
+            return np.bincount(at[mask], minlength=size)
+
+        words = [of(self.word, len(self.words), m) for m in (every, marked, ~self.last, marked & ~self.last)]
+        return words, [of(self.bigram, len(self.bigrams), m) for m in (every, marked)]
+
+
+BLOCKS = "slice long, piece long, words binary, bigrams binary"
+ANSWERS = "piece long, slice long, words binary, bigrams binary, vocabulary long, tokens long, marked long, followed long, marked_followed long"
+
+
+def blocks(stored: DataFrame, marks: DataFrame, slices: int) -> DataFrame:
+    """For each piece and slice: the keys in the slice's range and their counts. ``marks``: of_piece, place (of marked texts)."""
+
+    def ask(left: pa.Table, right: pa.Table) -> pa.Table:
+        rows = []
+        for i in range(left.num_rows):  # one row, or none
+            texts = left.column("texts")[i].as_py()
+            marked = np.zeros(len(texts), bool)
+            marked[right.column("place").to_numpy()] = True
+            p = Piece(texts)
+            bounds = np.array([(s << 64) // slices for s in range(1, slices)], np.uint64)
+            found = []
+            for keys, counts in zip((p.words, p.bigrams), p.counts(marked)):
+                cuts = [0, *np.searchsorted(keys, bounds).tolist(), len(keys)]
+                found.append((keys, counts, cuts))
+            for s in range(slices):
+                parts = [pack([rises(keys[cuts[s] : cuts[s + 1]]), *(c[cuts[s] : cuts[s + 1]] for c in counts)]) for keys, counts, cuts in found if cuts[s] < cuts[s + 1]]
+                if parts:
+                    which = [cuts[s] < cuts[s + 1] for _, _, cuts in found]
+                    whole = iter(parts)
+                    rows.append((s, left.column("piece")[i].as_py(), *(next(whole) if w else None for w in which)))
+        return pa.Table.from_pylist([dict(zip(("slice", "piece", "words", "bigrams"), r)) for r in rows], schema)
+
+    schema = pa.schema([("slice", pa.int64()), ("piece", pa.int64()), ("words", pa.binary()), ("bigrams", pa.binary())])
+    return stored.select("piece", "texts").groupBy("piece").cogroup(marks.groupBy("of_piece")).applyInArrow(ask, StructType.fromDDL(BLOCKS))
+
+
+def answers(asked: DataFrame) -> DataFrame:
+    """The sums over all pieces, to each piece in the order of its keys; and one row of totals for each slice, of piece -1."""
+
+    names = StructType.fromDDL(ANSWERS).names
+
+    def add(table: pa.Table) -> pa.Table:
+        at = table.column("slice")[0].as_py()
+        piece_ids = table.column("piece").to_pylist()
+        replies = {}
+        totals = [0] * 5
+        for name in ("words", "bigrams"):
+            held = [(i, unpack(b)) for i, b in enumerate(table.column(name).to_pylist()) if b is not None]
+            replies[name] = [None] * len(piece_ids)
+            if not held:
+                continue
+            with np.errstate(over="ignore"):
+                keys, place = np.unique(np.concatenate([np.cumsum(c[0], dtype=np.uint64) for _, c in held]), return_inverse=True)
+            sums = []
+            for k in range(1, len(held[0][1])):
+                total = np.zeros(len(keys), np.int64)
+                np.add.at(total, place, np.concatenate([c[k] for _, c in held]).view(np.int64))
+                sums.append(total)
+            if name == "words":
+                totals = [len(keys), *(int(x.sum()) for x in sums)]
+            start = 0
+            for i, c in held:
+                mine = place[start : start + len(c[0])]
+                replies[name][i] = pack([x[mine] for x in sums])
+                start += len(c[0])
+        n = len(piece_ids)
+        fields = [pa.array([*piece_ids, -1]), pa.array([at] * (n + 1)), *(pa.array([*replies[x], None], pa.binary()) for x in ("words", "bigrams")), *(pa.array([0] * n + [t]) for t in totals)]
+        return pa.table(fields, names=names)
+
+    return asked.groupBy("slice").applyInArrow(add, StructType.fromDDL(ANSWERS))
+
+
+def score(docs: DataFrame, targets: DataFrame, key: str = "doc_id", keep: tuple[str, ...] = ("doc_id",), text: str = "text", mixture: float = 0.6) -> DataFrame:
+    """``keep`` columns, n_tokens long, background_loss, target_loss and score (bits a token; null without tokens).
+
+    The target texts are the rows whose key is in ``targets``, a table with that column.
+    """
+    fields = StructType.fromDDL(RESULT)
+    keep = tuple(c for c in dict.fromkeys(keep) if c not in fields.names)
+    stored = pieces(docs, key, keep, text)
+    slices = max(1, -(-(stored.agg(F.sum("size")).first()[0] or 0) // SLICE_BYTES))
+    chosen = targets.select(F.col(key).alias("key")).where("key IS NOT NULL").distinct()
+    marks = stored.select("piece", F.posexplode("keys").alias("place", "key")).join(chosen, "key").select(F.col("piece").alias("of_piece"), "place")
+    told = C.materialise(answers(blocks(stored, marks, slices)), "lm-answers", "zstd")
+    names = ("vocabulary", "tokens", "marked", "followed", "marked_followed")
+    v, *totals = told.where("piece < 0").agg(*(F.coalesce(F.sum(n), F.lit(0)) for n in names)).first()
+    tokens, starts = totals[:2], [totals[0] - totals[2], totals[1] - totals[3]]
+    schema = StructType([*(docs.schema[c] for c in keep), *fields.fields])
 
     def losses(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows:
+            return schema_of.empty_table()
         texts = left.column("texts")[0].as_py()
-        p = Piece([(t or "").encode() for t in texts], C.WordHasher())
-        slot, some = right.column("slot").to_numpy(), p.many > 0
-        starts = (np.cumsum(p.many) - p.many)[some]
+        p = Piece(texts)
+        right = right.sort_by("slice")
+        words, bigrams = ([np.concatenate(x).astype(float) for x in zip(*(unpack(b) for b in right.column(n).to_pylist() if b is not None))] for n in ("words", "bigrams"))
+        some = p.many > 0
+        begin = (np.cumsum(p.many) - p.many)[some]
         means = np.full((2, len(texts)), np.nan)
-        for row, name in enumerate(("background", "target")):
-            if not len(starts):
+        for row in (0, 1):
+            if not len(begin):
                 break
-            counts = np.zeros(len(p.keys))
-            counts[slot] = right.column(name).to_numpy()
-            uni = (counts[p.word] + 0.5) / (tokens[row] + 0.5 * (v + 1))
-            loss = -np.log2(mixture * (counts[p.bigram] + 5.0 * uni) / (counts[p.context] + 5.0) + (1 - mixture) * uni)
-            means[row, some] = np.add.reduceat(loss, starts) / p.many[some]
+            uni = (words[row][p.word] + 0.5) / (tokens[row] + 0.5 * (v + 1))
+            head = np.where(p.first, starts[row], np.roll(words[2 + row][p.word], 1))
+            loss = -np.log2(mixture * (bigrams[row][p.bigram] + 5.0 * uni) / (head + 5.0) + (1 - mixture) * uni)
+            means[row, some] = np.add.reduceat(loss, begin) / p.many[some]
         out = [pa.array(p.many.astype(np.int64)), *(pa.array(x, mask=~some) for x in (means[0], means[1], means[1] - means[0]))]
-        return pa.table([*(left.column(k).combine_chunks().flatten() for k, _ in kept), *out], names=schema.names)
+        return pa.table([*(left.column(f"k{i}").combine_chunks().flatten() for i in range(len(keep))), *out], names=schema.names)
+
+    from pyspark.sql.pandas.types import to_arrow_schema
 
-    return stored.drop("marks").groupBy("piece").cogroup(answers.groupBy("piece")).applyInArrow(losses, schema)
+    schema_of = to_arrow_schema(schema)
+    return stored.drop("size", "keys").groupBy("piece").cogroup(told.where("piece >= 0").select("piece", "slice", "words", "bigrams").groupBy("piece")).applyInArrow(losses, schema)
 
 
 def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Target: the documents that labels.quality marks 1."""
-    docs, labels = C.table(spark, sf_dir, "documents"), C.table(spark, sf_dir, "labels")
-    good = labels.where("quality = 1").select("doc_id").distinct().withColumn("is_target", F.lit(True))
-    # labels grow with the corpus: the same join at every size
-    marked = docs.select("doc_id", "text").join(good.hint("merge"), "doc_id", "left")
-    return score_whole(marked, "is_target")
+    return score(C.table(spark, sf_dir, "documents"), C.table(spark, sf_dir, "labels").where("quality = 1"))

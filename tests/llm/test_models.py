@@ -108,48 +108,19 @@ def test_quality(spark, tmp_path):
     assert quality.score(frame(spark, rows), quality.learn(frame(spark, rows), spark.createDataFrame([], "doc_id long, quality int"))).agg(F.max("score")).first()[0] == 0.0
 
 
-def test_losses_equal_brute_force(spark):
-    rows = corpus(4, 40)
-    df = frame(spark, rows).withColumn("is_target", F.col("doc_id") % 2 == 0)
-    models = lmscore.train(df, "is_target", max_vocab=30, max_heads=6, mixture=0.6)
-    counts = Counter(w for _, t, *_ in rows for w in (t or "").encode().split())
-    assert models.words == [w for w, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:30] if len(w) <= 64]
-    number = {w: i for i, w in enumerate(models.words)}
-    docs = [(i, [number.get(w, 30) for w in (t or "").encode().split()]) for i, t, *_ in rows]
-
-    def model(chosen):
-        uni, pair = [0.5] * 31, [[0.0] * 7 for _ in range(8)]
-        for i, ids in chosen:
-            before = 7
-            for w in ids:
-                uni[w] += 1
-                pair[before][min(w, 6)] += 1
-                before = min(w, 6)
-        total = sum(uni)
-        uni = [u / total for u in uni]
-        share = [sum(u for w, u in enumerate(uni) if min(w, 6) == c) for c in range(7)]
-
-        def loss(before, w):
-            row = [n + 5 * s for n, s in zip(pair[before], share)]
-            c = min(w, 6)
-            return -math.log2(0.6 * row[c] / sum(row) * uni[w] / share[c] + 0.4 * uni[w])
-
-        return loss
-
-    background, target = model(docs), model([d for d in docs if d[0] % 2 == 0])
-    got = by_id(lmscore.score(df, models), "n_tokens", "background_loss", "target_loss", "score")
-    for i, ids in docs:
-        befores = [7, *(min(w, 6) for w in ids)]
-        want = [sum(m(b, w) for b, w in zip(befores, ids)) / len(ids) if ids else None for m in (background, target)]
-        ((n, b, t, s),) = {tuple(None if v is None else round(v, 6) for v in x) for x in got[i]}
-        assert n == len(ids)
-        assert (b, t) == pytest.approx(tuple(None if v is None else v for v in want), abs=1e-5) if ids else (b, t, s) == (None, None, None)
-
-
-def test_whole_vocabulary(spark, monkeypatch):
-    """The distributed models are those of an unbounded vocabulary with every word as a head, whatever the pieces."""
-    rows = [*corpus(6, 40), (900, "rare " + "x" * 70 + " rare " + "x" * 70, None, None, 0), (901, "rare " + "y" * 70, None, None, 0)]
-    df = frame(spark, rows, n_tokens=7).withColumn("is_target", F.when(F.col("doc_id") % 2 == 0, True))
+def test_blocks_of_numbers():
+    rng = np.random.default_rng(1)
+    columns = [np.sort(rng.integers(0, 1 << 63, 500).astype(np.uint64) * 2), np.zeros(500, np.int64), rng.integers(0, 300, 500), np.zeros(0, np.int64)]
+    for x, y in zip(columns, lmscore.unpack(lmscore.pack(columns))):
+        assert (x.astype(np.uint64) == y).all() and len(x) == len(y)
+    assert (np.cumsum(lmscore.rises(columns[0]), dtype=np.uint64) == columns[0]).all()
+
+
+def test_losses_equal_brute_force(spark, monkeypatch):
+    """The vocabulary is unbounded and every word a head, whatever the pieces and slices."""
+    rows = [*corpus(6, 40), (900, "rare " + "x" * 70 + " rare " + "x" * 70, None, None, 0), (901, "rare " + "y" * 70, None, None, 0), (None, "rare words", None, None, 0)]
+    df = frame(spark, rows, n_tokens=7, score="x", piece=1, key=2)
+    targets = spark.createDataFrame([(i,) for i, *_ in rows if i is not None and i % 2 == 0] + [(0,), (None,), (77777,)], "doc_id long")
     docs = [(i, (t or "").encode().split()) for i, t, *_ in rows]
     vocabulary = {w for _, ws in docs for w in ws}
 
@@ -167,11 +138,12 @@ def test_whole_vocabulary(spark, monkeypatch):
 
         return loss
 
-    models = model(docs), model([d for d in docs if d[0] % 2 == 0])
-    for size in (lmscore.PIECE_BYTES, 1):
-        monkeypatch.setattr(lmscore, "PIECE_BYTES", size)
-        out = lmscore.score_whole(df, "is_target")
-        assert out.count() == len(rows)
+    models = model(docs), model([d for d in docs if d[0] is not None and d[0] % 2 == 0])
+    for piece, part in ((lmscore.PIECE_BYTES, lmscore.SLICE_BYTES), (1, 4000)):
+        monkeypatch.setattr(lmscore, "PIECE_BYTES", piece)
+        monkeypatch.setattr(lmscore, "SLICE_BYTES", part)
+        out = lmscore.score(df, targets, keep=("doc_id", "lang", "score"))
+        assert out.count() == len(rows) and out.columns == ["doc_id", "lang", "n_tokens", "background_loss", "target_loss", "score"]
         got = by_id(out, "n_tokens", "background_loss", "target_loss")
         for i, ws in docs:
             want = [sum(m(h, w) for h, w in zip([None, *ws], ws)) / len(ws) if ws else None for m in models]
@@ -179,13 +151,25 @@ def test_whole_vocabulary(spark, monkeypatch):
                 assert n == len(ws) and (losses == pytest.approx(want, abs=1e-9) if ws else losses == want)
 
 
+def test_without_a_target_the_target_model_is_uniform(spark):
+    df = frame(spark, [(1, "a b a", None, None, 0), (2, "", None, None, 0)])
+    got = by_id(lmscore.score(df, spark.createDataFrame([], "doc_id long")), "target_loss")
+    assert got[1].pop()[0] == pytest.approx(math.log2(3)) and got[2] == {(None,)}
+
+
+def test_pieces_are_joined_where_they_are(spark):
+    """Texts are shuffled neither for the counts nor for the losses."""
+    out = lmscore.score(frame(spark, corpus(2, 30)), spark.createDataFrame([(0,)], "doc_id long"))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
 def test_lm_query_and_empty_tables(spark, tmp_path):
     rows = [*corpus(5, 30), (None, "w1 w2", None, None, 0)]
     frame(spark, rows, is_target="x", n_tokens=0).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(0, 1, 0), (3, 1, 0), (3, 1, 0), (6, 0, 0), (None, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     assert lmscore.op6_lm_score(spark, str(tmp_path)).count() == len(rows)
-    empty = spark.createDataFrame([], SCHEMA).withColumn("is_target", F.lit(True))
-    assert lmscore.score(empty, lmscore.train(empty, "is_target")).collect() == []
+    assert lmscore.score(spark.createDataFrame([], SCHEMA), spark.createDataFrame([(1,)], "doc_id long")).collect() == []
 
 
 def repeats(words, window=8):
