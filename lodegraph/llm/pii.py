@@ -2,30 +2,33 @@
 
 Base spans are found by form (e-mail, IP, card and phone numbers); their values are the protected entities. Terms (words)
 within ``reach`` words of an entity are its context. Over the whole corpus, how strongly a term t reveals an entity e is
-PMI(t; e) / IC(e) = log(N c(t,e) / (c(t) c(e))) / log(N / c(e)), with N texts, c(e) and c(t) the numbers of texts with e and
-with t, and c(t,e) of texts with t in e's context; 1 means that t tells e for certain. A term is disclosing if this is at least
+PMI(t; e) / IC(e) = log(N c(t,e) / (c(t) c(e))) / log(N / c(e)), with N rows, c(e) and c(t) the numbers of rows with e and
+with t, and c(t,e) of rows with t in e's context; 1 means that t tells e for certain. A term is disclosing if this is at least
 ``threshold`` and the pair isn't chance. Pairs seen in at least ``support`` different contexts (copies of a passage count once)
 aren't; of the others those are, unless t is found elsewhere too and k contexts are unlikely where t and e are independent: at
 most (c(t) c(e) / N)^k / k!, a bound of the Poisson tail, which must not exceed ``chance``. (A word that stands nowhere but in
 one passage has no frequency to judge by.) Disclosing terms are generalised: every occurrence in any text becomes a span of kind
-``term``, unless it overlaps a base span.
+``term``, unless it overlaps a base span. Terms are words of three characters or more without signs at their ends, of any length.
 
 Matches are leftmost and don't overlap within a kind; one that fails its check is dropped, and the search goes on behind it.
-Null texts are empty. Texts in which nothing is found have no spans; repeated rows are judged alike, and count once. Rows whose
-key is null keep their base spans and take part in no statistics; ``with_key`` makes a key that is never null. Offsets count
-code points.
+Null texts are empty. Texts in which nothing is found have no spans; texts of any length are searched whole. Repeated rows are
+judged alike, and count each. Rows whose key is null keep their base spans and take part in no statistics; ``with_key`` makes a
+key that is never null. Ties need no order: pairs are judged each. An empty table gives an empty table; columns to keep that are
+named like a result give way to it. Offsets count code points.
 """
 
 from __future__ import annotations
 
 import re
 from bisect import bisect_left
+from collections import Counter
 from itertools import accumulate
 
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from . import common as C
 
@@ -41,6 +44,8 @@ DIGIT = re.compile(r"[0-9]")
 NOT_DIGIT = re.compile(r"[^0-9]")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 EDGES = ".,;:!?()[]{}\"'|*#$%&<>"
+EDGE_BYTES = EDGES.encode()
+SHARED_BYTES = 16 << 20
 PLACEHOLDER = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "term": "[TERM]"}
 
 
@@ -149,34 +154,64 @@ def words_of(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.where(F.col(key).isNotNull()).select(key, F.explode(F.array_distinct(F.transform(F.split(F.lower(F.col(text)), "[\\x20\\x09-\\x0D]+"), lambda w: F.btrim(w, F.lit(EDGES))))).alias("term"))
 
 
+def bare_term(word: bytes) -> bytes | None:
+    """A word as a term, if it is one."""
+    s = word.strip(EDGE_BYTES).decode()
+    return s.lower().encode() if len(s) > 2 else None
+
+
+def row_counts(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """term, c_t: the number of rows with a key that hold the term; added up in each piece of input before anything is shuffled."""
+    C.bounded_batches(docs.sparkSession)
+
+    def count(batches):
+        terms, bag = C.Memo(bare_term), Counter()
+
+        def rows():
+            return pa.RecordBatch.from_arrays([pa.array(bag.keys(), pa.binary()), pa.array(bag.values(), pa.int64())], names=["word", "n"])
+
+        for batch in C.chunks(batches, text):
+            for t in C.as_bytes(batch, text):
+                bag.update(set(map(terms.__getitem__, set(t.split()))))
+            if len(bag) > C.CACHE_ENTRIES:
+                bag.pop(None, None)
+                yield rows()
+                bag.clear()
+        bag.pop(None, None)
+        if bag:
+            yield rows()
+
+    counted = docs.where(F.col(key).isNotNull()).select(text).mapInArrow(count, StructType.fromDDL("word binary, n long"))
+    return counted.groupBy(F.col("word").cast("string").alias("term")).agg(F.sum("n").alias("c_t"))
+
+
 def disclosing(found: DataFrame, docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.8, support: int = 3, chance: float = 0.01) -> DataFrame:
-    """(entity, term) pairs that disclose too much, as a stored table. ``found`` is ``find``'s result, stored.
+    """(entity, term, strength, n_contexts, c_te, c_e, c_t) of the pairs that disclose too much, as a stored table.
 
-    The threshold bounds c(t) from above, and the texts that have t in some context bound it from below: pairs that these two
-    rule out need no count of t over the corpus. So only words that are rare near entities are counted in all texts.
+    ``found`` is ``find``'s result, stored. The threshold bounds c(t) from above, and the rows that have t in some context bound
+    it from below: pairs that these two rule out are dropped before terms are counted in all texts.
     """
-    pairs = found.where(F.col(key).isNotNull()).select(key, F.explode("contexts").alias("x")).select(key, "x.entity", "x.seal", F.explode_outer("x.terms.term").alias("term"))
-    seen = pairs.where("term is not null").groupBy("entity", "term").agg(F.countDistinct("seal").alias("n_contexts"), F.countDistinct(key).alias("c_te"))
-    n = docs.count()
-    c_e = pairs.groupBy("entity").agg(F.countDistinct(key).alias("c_e")).where(F.col("c_e") < n)
-    at_least = pairs.where("term is not null").groupBy("term").agg(F.countDistinct(key).alias("c_least"))
+    # rows are numbered before their contexts are taken apart
+    held = found.where(F.col(key).isNotNull() & (F.size("contexts") > 0)).select("contexts", F.monotonically_increasing_id().alias("row"))
+    pairs = held.select("row", F.explode("contexts").alias("x")).select("row", "x.entity", "x.seal", F.explode_outer("x.terms.term").alias("term"))
+    seen = pairs.where("term is not null").groupBy("entity", "term").agg(F.countDistinct("seal").alias("n_contexts"), F.countDistinct("row").alias("c_te"))
+    n = docs.where(F.col(key).isNotNull()).count()
+    c_e = pairs.groupBy("entity").agg(F.countDistinct("row").alias("c_e")).where(F.col("c_e") < n)
+    at_least = pairs.where("term is not null").groupBy("term").agg(F.countDistinct("row").alias("c_least"))
 
     def strength(c_t: str):
         return F.log(n * F.col("c_te") / (F.col(c_t) * F.col("c_e"))) / F.log(n / F.col("c_e"))
 
     open_pairs = C.materialise(seen.join(c_e, "entity").join(at_least, "term").where(strength("c_least") >= threshold).drop("c_least"), "pii-pairs")
-    if open_pairs.isEmpty():
-        return open_pairs.select("entity", "term")
-    c_t = words_of(docs, key, text).join(open_pairs.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.countDistinct(key).alias("c_t"))
     k = F.least("n_contexts", F.lit(20)).cast("int")
     luck = F.pow(F.col("c_t") * F.col("c_e") / n, k) / F.factorial(k)
     meant = (F.col("n_contexts") >= support) | ((F.col("c_t") > F.col("c_te")) & (luck <= chance))
-    return C.materialise(open_pairs.join(c_t, "term").where((strength("c_t") >= threshold) & meant).select("entity", "term"), "pii-terms")
+    judged = open_pairs.join(row_counts(docs, key, text), "term").withColumn("strength", strength("c_t")).where((F.col("strength") >= threshold) & meant)
+    return C.materialise(judged.select("entity", "term", "strength", "n_contexts", "c_te", "c_e", "c_t"), "pii-terms")
 
 
-def places(text: str, wanted: set[str], least: int = 3) -> list[tuple[int, int]]:
-    """Where the terms ``wanted`` stand in the text, outside its base spans."""
-    spans = base_spans(text)
+def places(text: str, wanted, spans: list[tuple[str, int, int]], least: int = 3) -> list[tuple[int, int]]:
+    """Where the terms ``wanted`` stand in the text, outside the spans."""
     out = []
     for m in WORD.finditer(text):
         word = m[0].strip(EDGES)
@@ -187,28 +222,52 @@ def places(text: str, wanted: set[str], least: int = 3) -> list[tuple[int, int]]
     return out
 
 
-def extra_spans(docs: DataFrame, pairs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per key the spans of disclosing terms wherever they stand: ``key``, terms array<struct<a,b>>, sorted, without repeats."""
-    hits = words_of(docs, key, text).join(pairs.select("term").distinct(), "term", "left_semi").groupBy(key).agg(F.collect_set("term").alias("wanted"))
-    held = docs.select(key, F.col(text).alias("text")).join(hits, key)
+def all_spans(docs: DataFrame, pairs: DataFrame, keep=("doc_id",), key: str = "doc_id", text: str = "text", shared_bytes: int = SHARED_BYTES) -> DataFrame:
+    """``keep`` columns, spans (the base spans) and all_spans (these, then the disclosing terms of ``pairs`` wherever they stand).
+
+    If all terms have at most ``shared_bytes`` bytes, every task is given them and texts are read once; otherwise each text is
+    first joined with the terms that it holds. Both give the same spans.
+    """
+    spark = docs.sparkSession
+    terms = pairs.select("term").distinct()
+    size, many = terms.agg(F.coalesce(F.sum(F.octet_length("term")), F.lit(0)), F.count(F.lit(1))).first()
+    joined = size + 64 * many > shared_bytes
+    keep = tuple(dict.fromkeys(keep))
+    if joined:
+        hits = words_of(docs, key, text).join(terms, "term").groupBy(F.col(key).alias("wanted_key")).agg(F.collect_set("term").alias("wanted"))
+        docs = docs.join(hits, F.col(key) == F.col("wanted_key"), "left")
+        shared = None
+    else:
+        shared = spark.sparkContext.broadcast([r.term.encode() for r in terms.collect()])  # at most shared_bytes
 
     def make():
-        kind = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
+        listed = pa.list_(pa.struct([("kind", pa.string()), ("a", pa.int32()), ("b", pa.int32())]))
+        known = None if shared is None else frozenset(shared.value)
+        words = None if known is None else frozenset(w.decode() for w in known)
+        is_known = C.Memo(lambda w: bare_term(w) in known)
 
         def run(batch: pa.RecordBatch) -> dict[str, pa.Array]:
-            rows = zip(C.column(batch, "text").to_pylist(), C.column(batch, "wanted").to_pylist())
-            return {"found_terms": pa.array([[{"a": a, "b": b} for a, b in places(t, set(w))] for t, w in rows], kind)}
+            base, every = [], []
+            wanted = C.column(batch, "wanted").to_pylist() if known is None else None
+            for i, t in enumerate(C.column(batch, text).to_pylist()):
+                found = base_spans(t or "")
+                if known is None:
+                    mine = frozenset(wanted[i] or ())
+                else:
+                    mine = words if t and known and any(map(is_known.__getitem__, set(t.encode().split()))) else ()
+                more = [("term", a, b) for a, b in places(t, mine, found)] if mine else []
+                base.append([{"kind": k, "a": a, "b": b} for k, a, b in found])
+                every.append(base[-1] + [{"kind": k, "a": a, "b": b} for k, a, b in more])
+            return {"spans": pa.array(base, listed), "all_spans": pa.array(every, listed)}
 
         return run
 
-    found = C.map_texts(held, make, "found_terms array<struct<a:int,b:int>>", (key,), "text", ("wanted",))
-    return found.select(key, F.explode("found_terms").alias("t")).groupBy(key).agg(F.array_sort(F.collect_set("t")).alias("terms"))
+    kind = "array<struct<kind:string,a:int,b:int>>"
+    return C.map_texts(docs, make, f"spans {kind}, all_spans {kind}", keep, text, ("wanted",) if joined else ())
 
 
 def sanitise(df: DataFrame, spans: str = "all_spans", text: str = "text") -> DataFrame:
     """Replace each span of ``text`` by its kind's placeholder; of spans that overlap, what the first hasn't covered goes too."""
-    from pyspark.sql.types import StructType
-
     def run(batches):
         for batch in C.chunks(batches, text):
             out = []
@@ -229,16 +288,6 @@ def sanitise(df: DataFrame, spans: str = "all_spans", text: str = "text") -> Dat
     return df.mapInArrow(run, StructType([f for f in df.schema.fields if f.name != spans]))
 
 
-def with_all_spans(found: DataFrame, docs: DataFrame, key: str = "doc_id", **limits) -> DataFrame:
-    """``found`` with all_spans: the base spans, then those of disclosing terms."""
-    pairs = disclosing(found, docs, key, **limits)
-    if pairs.isEmpty():
-        return found.withColumn("all_spans", F.col("spans"))
-    more = extra_spans(docs, pairs, key)
-    terms = F.transform(F.coalesce("terms", F.array().cast("array<struct<a:int,b:int>>")), lambda t: F.struct(F.lit("term").alias("kind"), t["a"].alias("a"), t["b"].alias("b")))
-    return found.join(more, key, "left").withColumn("all_spans", F.concat("spans", terms)).drop("terms")
-
-
 def with_key(docs: DataFrame) -> DataFrame:
     """A key of a row's doc_id and text, never null, so that rows with one doc_id and several texts are told apart."""
     return docs.withColumn(KEY, F.xxhash64("doc_id", "text"))
@@ -253,8 +302,8 @@ def digest(spans: str):
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = with_key(C.table(spark, sf_dir, "documents"))
-    found = C.materialise(find(docs, ("doc_id", KEY)), "pii")
-    out = with_all_spans(found, docs, KEY)
+    docs = with_key(C.table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = C.materialise(find(docs, (KEY,)), "pii")
+    out = all_spans(docs, disclosing(found, docs, KEY), ("doc_id",), KEY)
     counts = [count_kind("spans", k).alias(f"n_{k}") for k in KINDS]
     return out.select("doc_id", *counts, F.sha2(digest("spans"), 256).alias("base_sha256"), digest("all_spans").alias("spans"))

@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import re
 
@@ -89,33 +90,78 @@ def test_pairs_of_one_context(spark):
     assert pairs == {("email:t.m@mail.example.com", "trillian")}
 
 
+def brute_pairs(rows, threshold=0.8, support=3, chance=0.01, reach=6):
+    """Strengths of all pairs, from counts over every row."""
+    held, words = [], []
+    for i, t, *_ in rows:
+        if i is None:
+            continue
+        held.append([(e, s, {w for w, _, _ in terms}) for e, s, terms in pii.contexts(t or "", brute(t or ""), reach)])
+        words.append({w.strip(pii.EDGES).lower() for w in re.split("[ \\t\\n\\v\\f\\r]+", t or "")})
+    n, out = len(held), {}
+    for e in {e for row in held for e, _, _ in row}:
+        c_e = sum(any(x == e for x, _, _ in row) for row in held)
+        near = {w for row in held for x, _, ws in row if x == e for w in ws}
+        for w in near if c_e < n else ():
+            c_te = sum(any(x == e and w in ws for x, _, ws in row) for row in held)
+            seals = {s for row in held for x, s, ws in row if x == e and w in ws}
+            c_t = sum(w in x for x in words)
+            strength = math.log(n * c_te / (c_t * c_e)) / math.log(n / c_e) if c_t else -1
+            k = min(len(seals), 20)
+            meant = len(seals) >= support or (c_t > c_te and (c_t * c_e / n) ** k / math.factorial(k) <= chance)
+            if strength >= threshold and meant:
+                out[e, w] = (round(strength, 9), c_te, c_e, c_t)
+    return out
+
+
+def test_strengths_equal_brute_force(spark):
+    rng = random.Random(5)
+    word = lambda: f"word{min(rng.randrange(400), rng.randrange(400))}"
+    rows = []
+    for i in range(400):
+        t = [word() for _ in range(rng.randrange(2, 25))]
+        for _ in range(rng.choice((0, 0, 1, 1, 2))):
+            who = rng.randrange(12)
+            t.insert(rng.randrange(len(t)), f"Name{who},")
+            t.insert(rng.randrange(len(t)), rng.choice((f"user{who}@mail.example.com", f"10.0.0.{who}", f"(Name{who}:user{who}@mail.example.com)")))
+        rows.append((i, rng.choice((" ", "\n", "  ")).join(t), None, None, 0))
+    rows += [rows[3], (None, "Name1 user1@mail.example.com", None, None, 0), (900, None, None, None, 0)]
+    df = frame(spark, rows, term="x", c_t=1, row=2)
+    got = {(r.entity, r.term): (round(r.strength, 9), r.c_te, r.c_e, r.c_t) for r in pii.disclosing(pii.find(df).cache(), df).collect()}
+    assert got == brute_pairs(rows) and any(w.startswith("name") for _, w in got) and len(got) >= 10
+
+
 def test_terms_far_from_the_entity(spark):
-    rows = [(i, f"filler text number n{i} of common words", None, None, 0) for i in range(600)]
-    rows += [(1000, "Trillian, " + "common words " * 20 + "by trillian at t.m@mail.example.com only", None, None, 0), (1001, "(Trillian) was here, not trillian@mail.example.org", None, None, 0), (1001, "(Trillian) was here, not trillian@mail.example.org", None, None, 0)]
-    df = pii.with_key(frame(spark, rows))
-    out = pii.with_all_spans(pii.find(df, ("doc_id", pii.KEY)).cache(), df, pii.KEY)
-    assert out.count() == len(rows)
+    long = "very" * 50
+    rows = [(i, f"filler text number n{i} of common words", None, None, 0) for i in range(5000, 8000)]
+    rows += [(1000, "Trillian, " + "common words " * 20 + f"by trillian {long} at t.m@mail.example.com only", None, None, 0), (1001, f"(Trillian) was here, not trillian@mail.example.org, {long.upper()}!", None, None, 0)] + [(1001, f"(Trillian) was here, not trillian@mail.example.org, {long.upper()}!", None, None, 0)]
+    rows.append((1002, "common words " * 30_000 + "Trillian", None, None, 0))
+    df = pii.with_key(frame(spark, rows, spans="x", wanted="y"))
+    pairs = pii.disclosing(pii.find(df, (pii.KEY,)).cache(), df, pii.KEY)
     text = {i: t for i, t, *_ in rows}
-    got = {r.doc_id: [text[r.doc_id][s.a : s.b] for s in r.all_spans if s.kind == "term"] for r in out.collect()}
-    assert got[1000] == ["Trillian", "trillian"] and got[1001] == ["Trillian"] and not any(got[i] for i in range(600))
+    for size in (pii.SHARED_BYTES, 0):  # terms given to every task, or joined
+        out = pii.all_spans(df, pairs, ("doc_id",), pii.KEY, shared_bytes=size)
+        assert out.count() == len(rows)
+        got = {r.doc_id: [text[r.doc_id][s.a : s.b] for s in r.all_spans if s.kind == "term"] for r in out.collect()}
+        assert got[1000] == ["Trillian", "trillian", long] and got[1001] == ["Trillian", long.upper()] and got[1002] == ["Trillian"]
+        assert not any(got[i] for i in range(5000, 8000))
 
 
 def test_sanitised_texts(spark):
     rows = texts()
     df = frame(spark, rows)
-    found = pii.find(df, ("doc_id",)).cache()
-    spans = pii.with_all_spans(found, df).select("doc_id", "all_spans")
-    got = by_id(pii.sanitise(df.join(spans, "doc_id", "left")), "text")
+    spans = pii.all_spans(df, pii.disclosing(pii.find(df).cache(), df), ("doc_id", "text"))
+    got = by_id(pii.sanitise(spans), "text")
     assert got[302] == {("call [PHONE] or [CARD], [IP]",)}
     ((text,),) = got[100]
     assert "[EMAIL]" in text and "[TERM]" in text and "Zaphod" not in text
     assert got[300] == {(None,)} and got[301] == {("",)} and got[0] == {(rows[0][1],)}
 
 
-def test_clean_corpus_and_empty_table(spark):
+def test_clean_corpus_and_empty_table(spark, tmp_path):
     rows = corpus(8)
     df = frame(spark, rows)
-    out = pii.with_all_spans(pii.find(df).cache(), df)
+    out = pii.all_spans(df, pii.disclosing(pii.find(df).cache(), df))
     assert out.where(F.size("all_spans") > 0).isEmpty() and out.count() == len(rows)
-    empty = spark.createDataFrame([], SCHEMA)
-    assert pii.with_all_spans(pii.find(empty), empty).collect() == []
+    spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    assert pii.op4_pii(spark, str(tmp_path)).collect() == []

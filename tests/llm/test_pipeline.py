@@ -30,7 +30,8 @@ def test_every_stage_takes_effect(spark, tmp_path):
         rows[5],
     ]
     docs = [*rows, *bad, *more]
-    frame(spark, docs, score=1, component_id=2).select("doc_id", "text", "lang", "source", "n_chars", "score", "component_id").write.parquet(f"{tmp_path}/documents.parquet")
+    clashes = dict(score=77.0, component_id=2, all_spans="mine", pii_key="own", spans="s", wanted=4, row_of_input="r", **{"a.b": 5})
+    frame(spark, docs, **clashes).select("doc_id", "text", "lang", "source", "n_chars", *(f"`{c}`" for c in clashes)).write.parquet(f"{tmp_path}/documents.parquet")
     labels = [(i, 1, 0) for i, *_ in rows] + [(i, 0, 0) for i, *_ in bad]
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
@@ -41,6 +42,7 @@ def test_every_stage_takes_effect(spark, tmp_path):
             assert out.columns == frame_in.columns
             out.write.parquet(f"{tmp_path}/stage{k}")
             frame_in = spark.read.parquet(f"{tmp_path}/stage{k}")
+            assert {tuple(r) for r in frame_in.select(*(f"`{c}`" for c in clashes)).distinct().collect()} == {tuple(clashes.values())}
             sizes.append({r.doc_id for r in frame_in.select("doc_id").collect()})
     assert sizes[0] == {i for i, *_ in [*rows, *more]}  # bad lines go, clean documents stay
     assert sizes[1] == sizes[0] - {300, 301}
