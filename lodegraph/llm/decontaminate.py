@@ -3,27 +3,31 @@
 A benchmark item of m words is looked for in windows of m words (in the whole text, where it is shorter) of every document. Texts
 are compared in lower case by shingles of SHINGLE words (of m words, for shorter items), each weighing as often as it occurs.
 
-1. Windows. An item and a window that share no shingle have similarity 0, so only windows that hold one of the item's shingles
-   are fingerprinted: documents' shingles are matched against the items' shingles, and every window of the item's size around a
-   match is taken. This loses nothing.
-2. SimHash. A fingerprint has 64 bits; bit b is set if most of the window's shingle hashes have it set. Occurrences are added up
-   in packed counters, four of 16 bits to a long; for items of 2**15 words or more in a counter for each bit.
-3. Multi-index. A fingerprint is cut into BLOCKS blocks. Two fingerprints within RADIUS bits differ in at most RADIUS // BLOCKS
-   bits in one block, so items are listed under every value of each block within that distance: a lookup of a window's blocks
-   finds all items within RADIUS. RADIUS is three standard deviations above what a similarity of 0.8 leads one to expect.
+1. Regions. An item and a window that share no shingle have similarity 0, so only windows that hold a shingle of some item of
+   their size are fingerprinted: documents' shingles are matched against the items' shingles, and the windows of the item's size
+   around the matches are gathered into regions, each a run of windows that follow each other. This loses nothing. A region is
+   stored as the hashes of its shingles, so it is as long as the text that it covers, and equal regions are one from here on.
+2. SimHash. Fingerprints have TABLES times 64 bits; a bit is set if most of the window's shingle hashes have it set. Counters slide
+   over a region: the next window adds one hash and drops one.
+3. Multi-index. Each 64 bits are cut into the BLOCKS. Two fingerprints within RADIUS bits differ in at most FLIPS bits in some
+   block, so items are listed under every value of each block within that distance: a lookup of a window's blocks finds all items
+   of its size within RADIUS in any of the tables, and of the others less than one in a hundred (0.7 % of pairs of random
+   fingerprints). At similarity 0.8 a window is within RADIUS in one of the tables with probability 0.98, at 0.85 with 0.999.
 4. Verification. Candidates within RADIUS are compared exactly: the sum of least weights over the sum of greatest weights of all
    shingles, at least ``similarity``.
 
-Items' shingles are a constant of the plan if they are counted to be at most TABLE_ROWS, and are broadcast if at most
-BROADCAST_ROWS; otherwise they are joined by shuffle.
-Null and empty texts and items match nothing; rows without a key aren't searched. Rows that share a key are searched each. Equal
-items are all found; a document is reported once for each item, by its best window (the first of equals).
+Items' shingles are a constant of the plan if they are counted to be at most TABLE_ROWS; otherwise they are joined. Both find the
+same regions. Null and empty texts and items match nothing; rows without a key aren't searched; items and texts may be of any
+length. Rows that share a key are searched each. Equal items are all found; a document is reported once for each item, by its best
+window (the first of equals). Empty tables of either kind give an empty result. Only the key and the text are read, so other
+columns may have any names.
 """
 
 from __future__ import annotations
 
 import json
 from functools import reduce
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,13 +35,11 @@ from pyspark.sql import functions as F
 from . import common as C
 
 SHINGLE = 5
-BITS, BLOCKS, RADIUS = 64, 8, 19
-WIDTH = BITS // BLOCKS
-TABLE_ROWS, BROADCAST_ROWS = 50_000, 1_000_000
+BITS, TABLES, FLIPS = 64, 3, 3
+BLOCKS = ((0, 22), (22, 21), (43, 21))  # first bit, number of bits
+RADIUS = len(BLOCKS) * (FLIPS + 1) - 1
+TABLE_ROWS = 50_000
 SPACES = "[\\x20\\x09-\\x0D]+"
-#: Spreads four bits over the lanes of a long: the product has bit i at place 16 i.
-SPREAD, LANES = 1 | 1 << 15 | 1 << 30 | 1 << 45, 1 | 1 << 16 | 1 << 32 | 1 << 48
-PACK = BITS // 4
 
 
 def word_hashes(text: Column) -> Column:
@@ -54,30 +56,80 @@ def shingles(words: Column, k: int) -> Column:
     return F.when(n > 0, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.xxhash64(F.slice(words, i, F.lit(k))))).otherwise(F.array().cast("array<bigint>"))
 
 
-def fingerprints(rows: DataFrame, by: list[str], hash_column: str = "h", large: bool = False) -> DataFrame:
-    """``by``, f: the SimHash of each group's hashes; n: their number. ``large``: groups may hold 2**15 hashes or more."""
-    h = F.col(hash_column)
-    if large:  # a counter for each bit
-        counts = [F.sum(F.shiftrightunsigned(h, b).bitwiseAND(F.lit(1))).alias(f"b{b}") for b in range(BITS)]
-        counted = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *counts)
-        ones = [F.col(f"b{b}") for b in range(BITS)]
-    else:
-        sums = [F.sum((F.shiftrightunsigned(h, 4 * i).bitwiseAND(F.lit(15)) * F.lit(SPREAD)).bitwiseAND(F.lit(LANES))).alias(f"c{i}") for i in range(PACK)]
-        counted = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *sums)
-        ones = [F.shiftrightunsigned(F.col(f"c{b // 4}"), 16 * (b % 4)).bitwiseAND(F.lit(0xFFFF)) for b in range(BITS)]
+def tables_of(hashes: Column) -> Column:
+    """For each hash the words of 64 bits, one for each table, whose bits are counted."""
+    return F.transform(hashes, lambda h: F.array(h, *(F.xxhash64(h, F.lit(t)) for t in range(1, TABLES))))
+
+
+def bit_of(words: Column, b: Column) -> Column:
+    """Bit b of all tables' bits; shifts go by the last six bits of b."""
+    word = F.get(words, F.call_function("shiftright", b, F.lit(6)))
+    return F.call_function("shiftrightunsigned", word, b).bitwiseAND(F.lit(1)).cast("int")
+
+
+def fingerprint(counts: Column, n: Column) -> Column:
+    """One long for each table: the bits that more than half of n hashes have."""
+
+    def table(t: int) -> Column:
+        bits = F.transform(F.slice(counts, BITS * t + 1, BITS), lambda c, b: F.when(2 * c > n, F.call_function("shiftleft", F.lit(1).cast("long"), b)).otherwise(F.lit(0).cast("long")))
+        return F.aggregate(bits, F.lit(0).cast("long"), lambda x, y: x.bitwiseOR(y))
+
+    return F.array(*map(table, range(TABLES)))
+
+
+def sliding(words: Column, n: Column) -> Column:
+    """The fingerprints of all runs of n entries of ``words`` (see tables_of), in order."""
+    zero = F.array_repeat(F.lit(0), BITS * TABLES)
+    first = F.aggregate(F.slice(words, F.lit(1), n), zero, lambda counts, w: F.transform(counts, lambda c, b: c + bit_of(w, b)))
+
+    def step(state: Column, s: Column) -> Column:
+        counts = F.transform(state["counts"], lambda c, b: c + bit_of(F.get(words, s + n - 1), b) - bit_of(F.get(words, s - 1), b))
+        return F.struct(counts.alias("counts"), state["prints"].alias("prints"), F.lit(True).alias("new"))
+
+    def put(state: Column) -> Column:
+        return F.struct(state["counts"].alias("counts"), F.concat(state["prints"], F.array(fingerprint(state["counts"], n))).alias("prints"), F.lit(False).alias("new"))
+
+    start = F.struct(first.alias("counts"), F.array().cast("array<array<bigint>>").alias("prints"), F.lit(True).alias("new"))
+    # every other step puts out the print of the counters, so that they are worked out once
+    last = F.size(words) - n
+    steps = F.sequence(F.lit(0), 2 * last)
+    walked = F.aggregate(steps, start, lambda state, i: F.when(state["new"], put(state)).otherwise(step(state, F.call_function("shiftright", i + 1, F.lit(1)))))
+    return walked["prints"]
+
+
+def fingerprints(rows: DataFrame, by: list[str]) -> DataFrame:
+    """``by``, pos, f: the fingerprints of all windows of ``n`` hashes in ``hs``."""
+    worked = rows.select(*by, "n", once(tables_of(F.col("hs"))).alias("words"))
+    return worked.select(*by, F.posexplode(sliding(F.col("words"), F.col("n"))).alias("pos", "f"))
+
 
-    def bit(b: int) -> Column:
-        return F.when(2 * ones[b] > F.col("n"), F.shiftleft(F.lit(1).cast("long"), b)).otherwise(F.lit(0).cast("long"))
+def blocks(f: Column, flips: bool = False) -> Column:
+    """The index keys of a fingerprint: (table, block, value) as one number, with ``flips`` of every value within FLIPS bits."""
+    out = []
+    for t in range(TABLES):
+        for k, (first, width) in enumerate(BLOCKS):
+            value = F.shiftrightunsigned(F.get(f, F.lit(t)), first).bitwiseAND(F.lit((1 << width) - 1))
+            place = (t * len(BLOCKS) + k) << 32
+            if not flips:
+                out.append(F.array(value.bitwiseOR(F.lit(place).cast("long"))))
+            else:
+                based = value.bitwiseOR(F.lit(place).cast("long"))
+                out.append(F.transform(flipped(width), based.bitwiseXOR))
+    return F.concat(*out)
 
-    return counted.select(*by, "n", reduce(lambda x, y: x.bitwiseOR(y), map(bit, range(BITS))).alias("f"))
 
+def flips_of(width: int) -> list[int]:
+    """All numbers of ``width`` bits of which at most FLIPS are set."""
+    return [sum(1 << b for b in bits) for r in range(FLIPS + 1) for bits in combinations(range(width), r)]
 
-def block(f: Column, b: int) -> Column:
-    return F.shiftrightunsigned(f, WIDTH * b).bitwiseAND(F.lit((1 << WIDTH) - 1)).cast("int")
 
+def flipped(width: int) -> Column:
+    return F.from_json(F.lit(json.dumps(flips_of(width))), "array<bigint>")
 
-def blocks(f: Column) -> Column:
-    return F.array(*(F.struct(F.lit(b).alias("block"), block(f, b).alias("value")) for b in range(BLOCKS)))
+
+def near(f: Column, g: Column) -> Column:
+    """Whether two fingerprints are within RADIUS in some table."""
+    return reduce(lambda x, y: x | y, (F.bit_count(F.get(f, F.lit(t)).bitwiseXOR(F.get(g, F.lit(t)))) <= RADIUS for t in range(TABLES)))
 
 
 def item_table(benchmark: DataFrame, key: str, text: str, k: int) -> DataFrame:
@@ -96,95 +148,103 @@ def hash_table(rows: list, slots: int) -> Column:
     return F.from_json(F.lit(json.dumps(table, separators=(",", ":"))), "array<array<struct<h:bigint,m:int>>>")
 
 
-def windows_by_table(texts: DataFrame, sizes: list, width: int) -> DataFrame:
-    """Windows around shared shingles, found row by row: the few known hashes are a constant of the plan. Nothing is shuffled."""
+def around(at: Column, m: Column, n: Column, width) -> Column:
+    """m, and the first and last start of the windows of m words (n, if the text is shorter) that hold the shingle at a place."""
+    length = F.least(m, n)
+    return F.struct(m.alias("m"), F.greatest(F.lit(0), at - (length - width)).alias("lo"), F.least(at, n - length).alias("hi"))
+
+
+def regions(rows: DataFrame, width: int) -> DataFrame:
+    """doc, k, m, n (shingles of a window), len, lo (start of the first window), hs: spans of windows that meet are one region.
+
+    ``rows``: doc, total (number of words), hs, spans (array of struct<m, lo, hi>).
+    """
+
+    def merge(done: Column, x: Column) -> Column:
+        last = F.element_at(done, -1)
+        longer = F.struct(x["m"].alias("m"), last["lo"].alias("lo"), F.greatest(last["hi"], x["hi"]).alias("hi"))
+        meets = (F.size(done) > 0) & F.coalesce(F.get(done, F.size(done) - 1)["m"] == x["m"], F.lit(False)) & F.coalesce(F.get(done, F.size(done) - 1)["hi"] + 1 >= x["lo"], F.lit(False))
+        return F.when(meets, F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(longer))).otherwise(F.concat(done, F.array(x)))
+
+    empty = F.array().cast("array<struct<m:int,lo:int,hi:int>>")
+    whole = F.aggregate(F.array_sort(F.array_distinct("spans")), empty, merge)
+
+    def region(x: Column) -> Column:
+        length = F.least(x["m"], F.col("total"))
+        n = length - (width - 1)
+        return F.struct(x["m"].alias("m"), n.alias("n"), length.alias("len"), x["lo"].alias("lo"), F.slice(F.col("hs"), x["lo"] + 1, x["hi"] - x["lo"] + n).alias("hs"))
+
+    return rows.select("doc", F.lit(width).alias("k"), F.explode(F.transform(whole, region)).alias("r")).select("doc", "k", "r.*")
+
+
+def regions_by_table(texts: DataFrame, sizes: list, width: int) -> DataFrame:
+    """Regions around shared shingles, found row by row: the few known hashes are a constant of the plan. Nothing is shuffled."""
     slots = 1 << max(10, (4 * len(sizes) - 1).bit_length())
     table = hash_table(sizes, slots)
 
     def known(h: Column) -> Column:
         return F.get(table, h.bitwiseAND(F.lit(slots - 1).cast("long")).cast("int"))
 
-    n = F.size("words")
-    hashed = texts.select("doc", "words", once(shingles(F.col("words"), width)).alias("hs"))
+    hashed = texts.select("doc", F.size("words").alias("total"), once(shingles(F.col("words"), width)).alias("hs"))
     places = F.filter(F.transform(F.col("hs"), lambda h, i: F.struct(i.alias("at"), h.alias("h"))), lambda x: F.exists(known(x["h"]), lambda y: y["h"] == x["h"]))
-    found = hashed.select("doc", "words", once(places).alias("places")).where(F.size("places") > 0)
-
-    def around(at: Column, m: Column) -> Column:
-        length = F.least(m, n)
-        return F.transform(F.sequence(F.greatest(F.lit(0), at - (length - width)), F.least(at, n - length)), lambda s: F.struct(m.alias("m"), s.alias("start")))
+    found = hashed.select("doc", "total", "hs", once(places).alias("places")).where(F.size("places") > 0)
+    spans = F.transform(F.col("places"), lambda x: F.transform(F.filter(known(x["h"]), lambda y: y["h"] == x["h"]), lambda y: around(x["at"], y["m"], F.col("total"), width)))
+    return regions(found.select("doc", "total", "hs", once(F.flatten(spans)).alias("spans")), width)
 
-    of_place = F.transform(F.col("places"), lambda x: F.flatten(F.transform(F.filter(known(x["h"]), lambda y: y["h"] == x["h"]), lambda y: around(x["at"], y["m"]))))
-    windows = found.select("doc", "words", F.explode(F.array_distinct(F.flatten(of_place))).alias("w"))
-    length = F.least(F.col("w.m"), n)
-    return windows.select("doc", F.lit(width).alias("k"), "w.m", length.alias("len"), "w.start", F.slice("words", F.col("w.start") + 1, length).alias("words"))
 
-
-def windows_by_join(docs: DataFrame, item_hashes: DataFrame, widths: list[int], total: int, key: str, text: str) -> DataFrame:
+def regions_by_join(docs: DataFrame, item_hashes: DataFrame, widths: list[int], key: str, text: str) -> DataFrame:
     """The same for any number of hashes, by joins; texts with a match are read again."""
-    hashed = docs.select(F.col(key).alias("doc"), once(word_hashes(F.col(text))).alias("words"))
+    hashed = docs.select(F.col(key).alias("doc"), F.xxhash64(text).alias("seal"), once(word_hashes(F.col(text))).alias("words"))
     sizes = item_hashes.select("k", "h", "m").distinct()
-    if total <= BROADCAST_ROWS:
-        sizes = F.broadcast(sizes)
-    found = []
+    out = []
     for width in widths:
-        places = hashed.select("doc", F.size("words").alias("n"), F.posexplode(shingles(F.col("words"), width)).alias("pos", "h"))
-        found.append(places.join(sizes.where(F.col("k") == width), "h").select("doc", "n", "k", "m", "pos"))
-    anchors = C.materialise(reduce(DataFrame.unionByName, found), "decon-anchors")
-    # (doc, n) tells apart texts of different lengths under one key
-    length = F.least("m", "n")
-    starts = F.transform(F.col("at"), lambda p: F.sequence(F.greatest(F.lit(0), p - (length - F.col("k"))), F.least(p, F.col("n") - length)))
-    around = anchors.groupBy("doc", "n", "k", "m").agg(F.collect_set("pos").alias("at")).select("doc", "n", "k", "m", length.alias("len"), F.array_distinct(F.flatten(starts)).alias("starts"))
-    texts = docs.select(F.col(key).alias("doc"), F.col(text).alias("text")).join(around, "doc").withColumn("words", once(word_hashes(F.col("text"))))
-    windows = texts.where(F.size("words") == F.col("n")).select("doc", "k", "m", "len", "words", F.explode("starts").alias("start"))
-    return windows.select("doc", "k", "m", "len", "start", F.slice("words", F.col("start") + 1, F.col("len")).alias("words"))
+        places = hashed.select("doc", "seal", F.size("words").alias("n"), F.posexplode(shingles(F.col("words"), width)).alias("at", "h"))
+        met = places.join(sizes.where(F.col("k") == width), "h").select("doc", "seal", around(F.col("at"), F.col("m"), F.col("n"), width).alias("x"))
+        spans = C.materialise(met.groupBy("doc", "seal").agg(F.collect_set("x").alias("spans")), "decon-spans")
+        texts = docs.select(F.col(key).alias("doc"), F.xxhash64(text).alias("seal"), F.col(text).alias("text")).join(spans, ["doc", "seal"])
+        rows = texts.select("doc", "spans", once(word_hashes(F.col("text"))).alias("words")).select("doc", "spans", F.size("words").alias("total"), once(shingles(F.col("words"), width)).alias("hs"))
+        out.append(regions(rows, width))
+    return reduce(DataFrame.unionByName, out)
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", k: int = SHINGLE, similarity: float = 0.8, table_rows: int = TABLE_ROWS) -> DataFrame:
     """``key``, item, start (word), n_words, similarity: every document and item of which a window is similar enough."""
     items = C.materialise(item_table(benchmark, item_key, item_text, k), "decon-items")
-    any_large = not items.where(F.col("m") >= 1 << 15).isEmpty()
-    item_hashes = C.materialise(items.select("item", "m", "k", F.explode("hashes").alias("h")), "decon-hashes")
-    total, widths = item_hashes.count(), sorted(r.k for r in items.select("k").distinct().collect())  # at most k widths
-    if not widths:
-        return docs.sparkSession.createDataFrame([], f"{key} {docs.schema[key].dataType.simpleString()}, item long, start int, n_words int, similarity double")
+    total, widths = items.agg(F.sum(F.size("hashes"))).first()[0], sorted(r.k for r in items.select("k").distinct().collect())  # at most k widths
     docs = docs.where(F.col(key).isNotNull())
+    if not widths:
+        item_type = benchmark.schema[item_key].dataType.simpleString()
+        return docs.limit(0).select(key, F.lit(None).cast(item_type).alias("item"), *(F.lit(None).cast(t).alias(n) for n, t in (("start", "int"), ("n_words", "int"), ("similarity", "double"))))
+    item_hashes = items.select("item", "m", "k", F.explode("hashes").alias("h"))
 
-    # 1. windows around shared shingles
+    # 1. regions around shared shingles
     if total <= table_rows:
         texts = docs.select(F.col(key).alias("doc"), once(word_hashes(F.col(text))).alias("words"))
         sizes = item_hashes.select("k", "h", "m").distinct().collect()  # at most table_rows
-        windows = reduce(DataFrame.unionByName, [windows_by_table(texts, [r for r in sizes if r.k == w], w) for w in widths])
+        found = reduce(DataFrame.unionByName, [regions_by_table(texts, [r for r in sizes if r.k == w], w) for w in widths])
     else:
-        windows = windows_by_join(docs, item_hashes, widths, total, key, text)
-    windows = C.materialise(windows, "decon-windows").withColumn("seal", F.xxhash64("words"))
-
-    def with_hashes(df: DataFrame, columns: list[str]) -> DataFrame:
-        parts = [df.where(F.col("k") == w).select(*columns, F.explode(shingles(F.col("words"), w)).alias("h")) for w in widths]
-        return reduce(DataFrame.unionByName, parts)
-
-    # 2. and 3. fingerprints, and the items within RADIUS; windows with equal words are one
-    kinds = C.materialise(windows.select("seal", "k", "m", "words").dropDuplicates(["seal", "k", "m"]), "decon-kinds")
-    def all_prints(rows: DataFrame, by: list[str]) -> DataFrame:
-        small = fingerprints(rows.where(F.col("m") < 1 << 15) if any_large else rows, by)
-        return small.unionByName(fingerprints(rows.where(F.col("m") >= 1 << 15), by, large=True)) if any_large else small
-
-    prints = all_prints(with_hashes(kinds, ["seal", "k", "m"]), ["seal", "k", "m"])
-    item_prints = all_prints(item_hashes, ["item", "k", "m"]).select("item", "k", "m", F.col("f").alias("g"), F.col("n").alias("n_item"))
-    flips = [x for x in range(1 << WIDTH) if x.bit_count() <= RADIUS // BLOCKS]
-    listed = item_prints.select("*", F.explode(blocks(F.col("g"))).alias("b")).select("item", "k", "m", "g", "n_item", F.col("b.block").alias("block"), F.explode(F.transform(F.array(*map(F.lit, flips)), lambda x: F.col("b.value").bitwiseXOR(x))).alias("value"))
-    asked = prints.select("seal", "k", "m", "f", "n", F.explode(blocks(F.col("f"))).alias("b")).select("seal", "k", "m", "f", "n", F.col("b.block").alias("block"), F.col("b.value").alias("value"))
-    near = asked.join(listed, ["k", "m", "block", "value"]).where(F.bit_count(F.col("f").bitwiseXOR(F.col("g"))) <= RADIUS)
-    candidates = C.materialise(near.select("seal", "k", "m", "item", F.col("n").alias("n_window"), "n_item").distinct(), "decon-candidates")
+        found = regions_by_join(docs, item_hashes, widths, key, text)
+    kind = ["seal", "k", "m", "n"]
+    found = C.materialise(found.withColumn("seal", F.xxhash64("hs")), "decon-regions")
+    kinds = C.materialise(found.select(*kind, "hs").dropDuplicates(kind), "decon-kinds")
+
+    # 2. and 3. fingerprints, and the items within RADIUS
+    prints = fingerprints(kinds, kind).select(*kind, "pos", "f", F.explode(blocks(F.col("f"))).alias("key"))
+    of_items = fingerprints(items.select("item", "k", "m", F.size("hashes").alias("n"), F.col("hashes").alias("hs")), ["item", "k", "m"]).select("item", "k", "m", F.col("f").alias("g"))
+    listed = of_items.select("item", "k", "m", "g", F.explode(blocks(F.col("g"), True)).alias("key"))
+    close = prints.join(listed, ["k", "m", "key"]).where(near(F.col("f"), F.col("g")))
+    candidates = C.materialise(close.select(*kind, "pos", "item").distinct(), "decon-candidates")
 
     # 4. exact weighted similarity
-    asked_for = kinds.join(candidates.select("seal", "k", "m").distinct(), ["seal", "k", "m"], "left_semi")
-    of_window = with_hashes(asked_for, ["seal", "k", "m"]).groupBy("seal", "k", "m", "h").agg(F.count(F.lit(1)).alias("c"))
+    windows = kinds.join(candidates.select(*kind, "pos").distinct(), kind).select(*kind, "pos", F.explode(F.slice("hs", F.col("pos") + 1, F.col("n"))).alias("h"))
+    of_window = windows.groupBy(*kind, "pos", "h").agg(F.count(F.lit(1)).alias("c"))
     of_item = item_hashes.groupBy("item", "h").agg(F.count(F.lit(1)).alias("d"))
-    shared = candidates.join(of_window, ["seal", "k", "m"]).join(of_item, ["item", "h"]).groupBy("seal", "k", "m", "item", "n_window", "n_item").agg(F.sum(F.least("c", "d")).alias("both"))
-    value = F.col("both") / (F.col("n_window") + F.col("n_item") - F.col("both"))
-    similar = shared.withColumn("similarity", value).where(F.col("similarity") >= similarity).select("seal", "k", "m", "item", "similarity")
-    hits = windows.select("doc", "k", "m", "seal", "start", "len").join(similar, ["seal", "k", "m"])
-    best = hits.groupBy(F.col("doc").alias(key), "item").agg(F.max(F.struct("similarity", (-F.col("start")).alias("back"), "len")).alias("b"))
+    shared = candidates.join(of_window, [*kind, "pos"]).join(of_item, ["item", "h"]).groupBy(*kind, "pos", "item").agg(F.sum(F.least("c", "d")).alias("both"))
+    value = F.col("both") / (F.col("n") + F.col("n_item") - F.col("both"))
+    sized = shared.join(items.select("item", F.size("hashes").alias("n_item")), "item")
+    similar = sized.withColumn("similarity", value).where(F.col("similarity") >= similarity).select(*kind, "pos", "item", "similarity")
+    hits = found.select("doc", *kind, "lo", "len").join(similar, kind)
+    best = hits.groupBy(F.col("doc").alias(key), "item").agg(F.max(F.struct("similarity", (-(F.col("lo") + F.col("pos"))).alias("back"), "len")).alias("b"))
     return best.select(key, "item", (-F.col("b.back")).alias("start"), F.col("b.len").alias("n_words"), "b.similarity")
 
 

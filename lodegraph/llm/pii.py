@@ -232,7 +232,8 @@ def all_spans(docs: DataFrame, pairs: DataFrame, keep=("doc_id",), key: str = "d
     terms = pairs.select("term").distinct()
     size, many = terms.agg(F.coalesce(F.sum(F.octet_length("term")), F.lit(0)), F.count(F.lit(1))).first()
     joined = size + 64 * many > shared_bytes
-    keep = tuple(dict.fromkeys(keep))
+    keep = tuple(c for c in dict.fromkeys(keep) if c not in ("wanted", "wanted_key"))
+    docs = docs.drop("wanted", "wanted_key")
     if joined:
         hits = words_of(docs, key, text).join(terms, "term").groupBy(F.col(key).alias("wanted_key")).agg(F.collect_set("term").alias("wanted"))
         docs = docs.join(hits, F.col(key) == F.col("wanted_key"), "left")

@@ -1,6 +1,9 @@
 import random
 from collections import Counter
 
+from pyspark.sql import functions as F
+
+from lodegraph.llm import decontaminate as D
 from lodegraph.llm.decontaminate import matches, op3_decontaminate
 
 from .helpers import SCHEMA, frame
@@ -63,6 +66,37 @@ def test_equals_brute_force(spark):
         assert len(got) == len({(r.doc_id, r.item) for r in got})
 
 
+def bits(words, n):
+    return [sum((2 * sum(w[t] >> b & 1 for w in words) > n) << b for b in range(64)) for t in range(D.TABLES)]
+
+
+def test_sliding_fingerprints_equal_counts(spark):
+    rng = random.Random(4)
+    rows = [(i, [rng.randrange(-(1 << 63), 1 << 63) for _ in range(rng.randrange(1, 30))]) for i in range(20)]
+    rows = [(i, hs, rng.randrange(1, len(hs) + 1)) for i, hs in rows]
+    df = spark.createDataFrame(rows, "id int, hs array<bigint>, n int")
+    words = {r.id: [[x % (1 << 64) for x in w] for w in r.words] for r in df.select("id", D.tables_of(F.col("hs")).alias("words")).collect()}
+    got = {(r.id, r.pos): [x % (1 << 64) for x in r.f] for r in D.fingerprints(df, ["id"]).collect()}
+    assert got == {(i, s): bits(words[i][s : s + n], n) for i, hs, n in rows for s in range(len(hs) - n + 1)}
+
+
+def test_index_finds_all_within_the_radius_and_little_else(spark):
+    rng = random.Random(6)
+    items = [[rng.randrange(-(1 << 63), 1 << 63) for _ in range(D.TABLES)] for _ in range(60)]
+    asked = [[rng.randrange(-(1 << 63), 1 << 63) for _ in range(D.TABLES)] for _ in range(400)]
+    for i in range(60):  # one table at the radius, the others random
+        f, t = list(asked[i]), i % D.TABLES
+        mask = sum(1 << b for b in rng.sample(range(64), D.RADIUS))
+        f[t] = (items[i][t] ^ (mask - (1 << 64) if mask >> 63 else mask))
+        asked[i] = f
+    a = spark.createDataFrame(list(enumerate(asked)), "a int, f array<bigint>").select("a", "f", F.explode(D.blocks(F.col("f"))).alias("key"))
+    b = spark.createDataFrame(list(enumerate(items)), "b int, g array<bigint>").select("b", "g", F.explode(D.blocks(F.col("g"), True)).alias("key"))
+    met = a.join(b, "key")
+    pairs = {(r.a, r.b) for r in met.where(D.near(F.col("f"), F.col("g"))).collect()}
+    assert {(i, i) for i in range(60)} <= pairs
+    assert met.where("a >= 60").count() < 0.01 * 340 * 60
+
+
 def test_items_of_any_length(spark):
     """An item whose counters don't fit 16 bits is found like the others, and doesn't stop them."""
     rng = random.Random(9)
