@@ -4,10 +4,12 @@ A known word scores its log frequency in each language. A word that isn't known
 half of its character n-grams are known; where no n-gram is known, it says nothing. A text's scores are summed over its words
 and turned into probabilities.
 
-The model is learned from a bounded sample (``max_docs`` labelled texts, those with the least hash of doc_id), and keeps the
-``max_words`` and ``max_grams`` commonest entries, so its size doesn't depend on the table's. Null texts and texts without a
-letter get ``und`` and score 0; so does every text where nothing could be learned. Ties go to the first language in order of
-name. Rows without a doc_id are predicted, never learned from.
+The model is learned from a bounded sample (``max_docs`` labelled texts, those with the least hash of doc_id, whole whatever
+their length), of which it keeps the ``max_words`` and ``max_grams`` commonest entries, ties in order of the entry; so its size
+doesn't depend on the table's. Texts of any length are predicted whole. Null texts and texts without a letter (a character that
+Unicode counts among the letters) get ``und`` and score 0; so does every text where nothing could be learned. Ties go to the
+first language in order of name. Rows without a doc_id are predicted, never learned from; repeated rows are predicted alike, and
+learned from each. An empty table gives an empty table. Columns to keep that are named like a result give way to it.
 """
 
 from __future__ import annotations
@@ -23,9 +25,10 @@ from pyspark.sql.types import StructType
 
 from . import common as C
 
-WORD = re.compile(r"[^\W\d_]+")
+#: Characters that count as parts of words for ``re`` but are numbers, such as the half sign or a raised two.
+NUMBERS = "".join(c for c in map(chr, range(0x110000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+WORD = re.compile(rf"[^\W\d_{NUMBERS}]+")
 SIZES = (5, 4, 3, 2, 1)
-LONGEST = 40  # characters; longer words are scored by their n-grams alone
 
 
 def grams(word: str, n: int) -> list[str]:
@@ -92,11 +95,10 @@ def learn(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: st
             for label, bag in words.items():
                 parts: Counter = Counter()
                 for w, n in bag.items():
-                    if len(w) <= LONGEST:
-                        rows.append(("word", w, label, n))
-                        for size in SIZES:
-                            for g in grams(w, size):
-                                parts[g] += n
+                    rows.append(("word", w, label, n))
+                    for size in SIZES:
+                        for g in grams(w, size):
+                            parts[g] += n
                 rows += [("part", g, label, n) for g, n in parts.items()]
             if rows:
                 kind, item, label, n = zip(*rows)
