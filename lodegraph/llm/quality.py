@@ -5,17 +5,19 @@ transition matrix ties neighbours. Training maximises the likelihood of line lab
 inference runs forward-backward, and a document's score is the mean of its lines' probabilities of being good, weighted by
 their lengths in bytes.
 
-The field is learned from a bounded sample: at most ``max_docs`` labelled documents (those with the least hash of doc_id) of at
-most ``max_chars`` characters. Scores come from whole texts. Documents without a word, null and empty texts, and all documents
-when nothing could be learned, score ``empty_score``. Where a doc_id has several labels, each is learned from; rows without a
-doc_id are scored, never learned from.
+The field is learned from a bounded sample: at most ``max_docs`` labelled documents, those with the least hash of doc_id, whole
+whatever their length, as long as the documents before them have fewer than ``max_lines`` lines together. Scores come from whole
+texts of any length. Documents without a word, null and empty texts, and all documents when nothing could be learned, score
+``empty_score``. Where a doc_id has several labels, each is learned from (ties in hash go by doc_id, then label); repeated rows
+are learned from, and scored, each; rows without a doc_id are scored, never learned from. An empty table gives an empty table.
+Columns to keep that are named score give way to the result.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -25,7 +27,7 @@ from . import common as C
 CLASSES = (b"#*$%&<>{}\\^~=", b"|", b"!", b"0123456789", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b".,;:?", b"@/_+-")
 OWN = len(CLASSES) + 9
 WIDTH = 3 * OWN
-MOST_REPEATS = 8
+MOST_WEIGHT = 8
 
 
 def line_features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -88,8 +90,8 @@ class Field:
         self.theta = theta
         self.w, self.bias, self.edge = theta[:WIDTH], theta[WIDTH], theta[WIDTH + 1 :].reshape(2, 2)
 
-    def marginals(self, x: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-        """P(good) of each line, the expected transitions (2, 2), and the sum of the log partition functions.
+    def marginals(self, x: np.ndarray, counts: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, float]:
+        """P(good) of each line, the expected transitions (2, 2), each document by its weight, and the sum of the log partition functions.
 
         Documents go side by side, in order of length, so that each step handles one line of every document that has one.
         """
@@ -102,6 +104,7 @@ class Field:
             return good, pairs, 0.0
         first = np.concatenate([[0], np.cumsum(counts)[:-1]])[docs]
         many = counts[docs]
+        weight = np.ones(len(docs)) if weights is None else weights[docs]
         steps = int(many[0])
         alive = np.searchsorted(-many, -np.arange(steps), side="left")  # documents with more than t lines
         a = np.zeros((len(docs), 2))
@@ -124,7 +127,8 @@ class Field:
                 onward[:, 1] += unary[first[:m] + t + 1]
                 here[:m] = np.logaddexp(self.edge[:, 0] + onward[:, :1], self.edge[:, 1] + onward[:, 1:])
                 joint = forward[t][:m, :, None] + self.edge + onward[:, None, :]
-                pairs += np.exp(joint - np.logaddexp(here[:m, 0] + forward[t][:m, 0], here[:m, 1] + forward[t][:m, 1])[:, None, None]).sum(0)
+                share = np.exp(joint - np.logaddexp(here[:m, 0] + forward[t][:m, 0], here[:m, 1] + forward[t][:m, 1])[:, None, None])
+                pairs += np.tensordot(weight[:m], share, 1)
             b = here
             both = forward[t] + b
             z = np.logaddexp(both[:, 0], both[:, 1])
@@ -137,52 +141,51 @@ class Field:
 def fit(x: np.ndarray, counts: np.ndarray, labels: np.ndarray, rounds: int = 300, penalty: float = 1e-3) -> Field:
     """Maximise the penalised likelihood by gradient steps with per-weight scales (Adam).
 
-    Documents of the rarer class are repeated, up to MOST_REPEATS times, so that both classes weigh about alike.
+    Documents of the rarer class weigh more, up to MOST_WEIGHT times, so that both classes weigh about alike.
     """
     many = np.bincount(labels, minlength=2)
     rare = int(many.argmin())
-    repeats = np.where(labels == rare, np.clip(many.max() // max(1, many.min()), 1, MOST_REPEATS), 1)
-    if repeats.max() > 1:
-        cuts = np.concatenate([[0], np.cumsum(counts)])
-        order = np.repeat(np.arange(len(counts)), repeats)
-        x = np.concatenate([x[cuts[i] : cuts[i + 1]] for i in order])
-        counts, labels = counts[order], labels[order]
-    of_line = np.repeat(labels, counts)
+    weights = np.where(labels == rare, np.clip(many.max() // max(1, many.min()), 1, MOST_WEIGHT), 1).astype(float)
+    of_line = np.repeat(weights, counts)
+    labelled = of_line * np.repeat(labels, counts)
     theta = np.zeros(WIDTH + 5)
     m, v = np.zeros_like(theta), np.zeros_like(theta)
-    starts = np.concatenate([[0], np.cumsum(counts)[:-1]])
     seen = np.zeros((2, 2))
-    inner = np.maximum(counts - 1, 0)
+    inner = np.maximum(counts - 1, 0) * weights
     for y in (0, 1):
         seen[y, y] = inner[labels == y].sum()
-    target = np.concatenate([x.T @ of_line, [of_line.sum()], seen.ravel()])
-    n = max(1, len(starts))
+    target = np.concatenate([x.T @ labelled, [labelled.sum()], seen.ravel()])
+    n = max(1.0, weights.sum())
     for i in range(1, rounds + 1):
         field = Field(theta)
-        good, pairs, _ = field.marginals(x, counts)
+        good, pairs, _ = field.marginals(x, counts, weights)
+        good *= of_line
         slope = (target - np.concatenate([x.T @ good, [good.sum()], pairs.ravel()])) / n - penalty * theta
         m, v = 0.9 * m + 0.1 * slope, 0.99 * v + 0.01 * slope * slope
         theta = theta + 0.1 * (m / (1 - 0.9**i)) / (np.sqrt(v / (1 - 0.99**i)) + 1e-8)
     return Field(theta)
 
 
-def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", max_docs: int = 3000, max_chars: int = 30_000) -> Field | None:
+def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", max_docs: int = 3000, max_lines: int = 300_000) -> Field | None:
     """Learn from the texts of ``docs`` that ``labels`` marks 0 or 1; None if there aren't both.
 
     The sample is drawn from the labels alone and sent to the texts, so no text is shuffled.
     """
     known = labels.where(F.col(key).isNotNull() & F.col(label).isin(0, 1)).select(key, F.col(label).cast("int").alias("label"))
-    chosen = known.orderBy(F.xxhash64(key), key, "label").limit(max_docs)
-    sample = docs.where(F.length(text) <= max_chars).select(key, text).join(F.broadcast(chosen), key)  # at most max_docs rows
+    chosen = known.orderBy(F.xxhash64(key), key, "label").limit(max_docs).withColumn("rank", F.xxhash64(key))
+    sample = docs.select(key, text).join(F.broadcast(chosen), key)  # at most max_docs rows
 
     def features(batches):
         for batch in C.chunks(batches, text):
             x, _, counts = line_features(C.as_bytes(batch, text))
             cuts = np.concatenate([[0], np.cumsum(counts)])
             rows = [x[a:b].astype("<f4").tobytes() for a, b in zip(cuts, cuts[1:])]
-            yield pa.RecordBatch.from_arrays([C.column(batch, "label"), pa.array(rows, pa.binary())], names=["label", "x"])
+            yield pa.RecordBatch.from_arrays([C.column(batch, "rank"), C.column(batch, "label"), pa.array(counts), pa.array(rows, pa.binary())], names=["rank", "label", "n", "x"])
 
-    rows = sample.select(text, "label").mapInArrow(features, StructType.fromDDL("label int, x binary")).where("length(x) > 0").collect()
+    made = sample.select(text, "rank", "label").mapInArrow(features, StructType.fromDDL("rank long, label int, n long, x binary")).where("n > 0")
+    # at most max_docs documents (and their repeats) are put in order
+    before = F.sum("n").over(Window.orderBy("rank", "label", "x").rowsBetween(Window.unboundedPreceding, -1))
+    rows = C.materialise(made, "quality-lines").withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < max_lines).select("label", "x").collect()
     if len({r.label for r in rows}) < 2:
         return None
     rows.sort(key=lambda r: (r.label, bytes(r.x)))  # the order of rows doesn't change the sums
