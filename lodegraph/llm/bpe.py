@@ -27,6 +27,8 @@ SHORT = 64
 NONE = np.int64(1) << 62
 #: Characters for which the classes of ``re`` and the Unicode properties in the pattern agree.
 PLAIN = re.compile("[^\x00-\x1b\x20-\xb1\xb4-\xb8\xba\xbb\xbf-ɏ]")
+#: What QUICK does on such characters, as a pattern of the ``regex`` library; other patterns are always run as they are.
+SLOW = "'s|'t|'re|'ve|'m|'ll|'d| ?\\p{L}+| ?\\p{N}+| ?[^\\s\\p{L}\\p{N}]+|\\s+(?!\\S)|\\s+"
 QUICK = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
@@ -42,7 +44,7 @@ class Coder:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks = ranks
         self.bytes_of = {i: t for t, i in ranks.items()}
-        self.slow = regex.compile(pattern)
+        self.slow, self.has_quick = regex.compile(pattern), pattern == SLOW
         self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
         pairs = {}
         for t, i in ranks.items():
@@ -56,7 +58,7 @@ class Coder:
         self.memo: dict[str, bytes] = {}
 
     def split(self, text: str) -> list[str]:
-        return (self.slow if PLAIN.search(text) else QUICK).findall(text)
+        return QUICK.findall(text) if self.has_quick and not PLAIN.search(text) else [m[0] for m in self.slow.finditer(text)]
 
     def pair_ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Ranks of the pairs; NONE where either is missing (below 0) or they don't merge."""

@@ -24,7 +24,7 @@ def sentences(rng, lang, n):
 def test_languages(spark, tmp_path):
     rng = random.Random(0)
     rows = [(i, sentences(rng, lang := rng.choice(list(STEMS)), rng.randrange(6, 60)), lang, "s", 0) for i in range(300)]
-    rows += [(900, None, "en", "s", 0), (901, "", "en", "s", 0), (902, "123 !? 4", "en", "s", 0), (903, "the und " * 5, None, None, 0), (None, "the and the", "en", "s", 0)]
+    rows += [(900, None, "en", "s", 0), (901, "", "en", "s", 0), (902, "123 !? 4 ½ ² Ⅻ", "en", "s", 0), (903, "the und " * 5, None, None, 0), (None, "the and the", "en", "s", 0)]
     frame(spark, rows, lang_pred="x", score=2).write.parquet(f"{tmp_path}/documents.parquet")
     out = {r.doc_id: r for r in langid.op1_langid(spark, str(tmp_path)).collect()}
     assert len(out) == len(rows)
@@ -49,6 +49,59 @@ def test_longest_known_ngrams_score_unseen_words():
     assert langid.Model([], {}, {}, np.zeros(0)).predict("text") == ("und", 0.0)
 
 
+def brute_languages(rows, most=60_000):
+    """Word and n-gram tables by counting, texts scored one by one."""
+    taught = [(t.lower(), lang) for i, t, lang, *_ in rows if None not in (i, t, lang) and zlib.crc32(str(i).encode()) % 4 != 2]
+    langs = sorted({lang for _, lang in taught})
+    letters = lambda t: "".join(c if c.isalpha() else " " for c in t).split()
+
+    def table(items):
+        counts = {}
+        for item, lang in items:
+            counts.setdefault(item, [0] * len(langs))[langs.index(lang)] += 1
+        whole = [sum(c[k] for c in counts.values()) + 0.5 * len(counts) for k in range(len(langs))]
+        return {x: [math.log((n + 0.5) / w) for n, w in zip(c, whole)] for x, c in counts.items()}
+
+    known = table((w, lang) for t, lang in taught for w in letters(t))
+    grams = {n: [(f" {w} "[i : i + n], lang) for t, lang in taught for w in letters(t) for i in range(len(w) + 3 - n)] for n in langid.SIZES}
+    parts = table(x for n in langid.SIZES for x in grams[n])
+    assert max(len(known), len(parts)) <= most
+    prior = [math.log(sum(x == lang for _, x in taught) / len(taught)) for lang in langs]
+
+    def predict(t):
+        words = letters((t or "").lower())
+        if not words:
+            return "und", 0.0
+        total = list(prior)
+        for w in words:
+            score = known.get(w)
+            for n in langid.SIZES if score is None else ():
+                own = [f" {w} "[i : i + n] for i in range(len(w) + 3 - n)]
+                found = [parts[g] for g in own if g in parts]
+                if found and 2 * len(found) >= len(own):
+                    score = [sum(x) / len(found) for x in zip(*found)]
+                    break
+            total = [a + b for a, b in zip(total, score or [0] * len(langs))]
+        top = max(total)
+        p = [math.exp(x - top) for x in total]
+        return langs[total.index(top)], max(p) / sum(p)
+
+    return predict
+
+
+def test_languages_equal_brute_force(spark, tmp_path):
+    rng = random.Random(7)
+    rows = [(i, sentences(rng, lang := rng.choice(list(STEMS)), rng.randrange(1, 30)) + rng.choice(("", " ½ x² 12a", " _b_")), lang, "s", 0) for i in range(80)]
+    rows += [(500, "the" * 40 + " tion" * 5, "en", "s", 0), (501, sentences(rng, "de", 9000), "de", "s", 0), (502, "½", "de", "s", 0), (None, "eau que", "fr", "s", 0), rows[0]]
+    frame(spark, rows, lang_pred="x", score=3.0).write.parquet(f"{tmp_path}/documents.parquet")
+    predict, found = brute_languages(rows), langid.op1_langid(spark, str(tmp_path)).collect()
+    text = {i: t for i, t, *_ in rows}
+    assert len(found) == len(rows)
+    for r in found:
+        lang, score = predict(text[r.doc_id])
+        assert r.lang_pred == lang and r.score == pytest.approx(score, abs=1e-9), r.doc_id
+
+
 def test_nothing_to_learn_languages_from(spark):
     df = frame(spark, [(1, "some text", None, None, 0)])
     assert [tuple(r) for r in langid.identify(df, langid.learn(df)).collect()] == [(1, "und", 0.0)]
@@ -85,6 +138,48 @@ def test_marginals_equal_enumeration():
     assert log_z == pytest.approx(want_z)
 
 
+def test_gradient_equals_differences():
+    """Weighted documents: the slope of the likelihood by its definition."""
+    rng = np.random.default_rng(3)
+    counts, labels = np.array([2, 3, 1, 2]), np.array([1, 0, 0, 0])
+    x = rng.normal(size=(8, quality.WIDTH)) / 4
+    weights = np.array([3.0, 1, 1, 1])
+
+    def likelihood(theta):
+        field, at, total = quality.Field(theta), 0, 0.0
+        for n, y, w in zip(counts, labels, weights):
+            part = x[at : at + n]
+            _, _, z = field.marginals(part, np.array([n]))
+            total += w * ((part @ field.w + field.bias).sum() * y + field.edge[y, y] * (n - 1) - z)
+            at += n
+        return total
+
+    theta = rng.normal(size=quality.WIDTH + 5) / 5
+    good, pairs, _ = quality.Field(theta).marginals(x, counts, weights)
+    lines = np.repeat(weights, counts)
+    seen = np.zeros((2, 2))
+    for n, y, w in zip(counts, labels, weights):
+        seen[y, y] += w * (n - 1)
+    wanted = lines * np.repeat(labels, counts)
+    slope = np.concatenate([x.T @ (wanted - good * lines), [(wanted - good * lines).sum()], (seen - pairs).ravel()])
+    for k in range(0, len(theta), 7):
+        step = np.zeros(len(theta))
+        step[k] = 1e-5
+        assert slope[k] == pytest.approx((likelihood(theta + step) - likelihood(theta - step)) / 2e-5, abs=1e-5)
+
+
+def test_long_texts_are_learned_from(spark):
+    """The sample is bounded by lines; a text isn't left out for its length."""
+    rng = random.Random(1)
+    rows = [(i, "\n".join((sentences(rng, "en", 8) if i % 2 else "a | b | c | d | e") for _ in range(3000)), "en", "s", 0) for i in range(6)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(6)], "doc_id long, quality int")
+    df = frame(spark, rows, score=5)
+    field = quality.learn(df, labels)
+    got = {r.doc_id: r.score for r in quality.score(df, field).collect()}
+    assert all((got[i] > 0.5) == (i % 2 == 1) for i in got)
+    assert quality.learn(df, labels, max_lines=1) is None  # the first document alone has one class
+
+
 def test_quality(spark, tmp_path):
     rng = random.Random(0)
     rows, labels = [], []

@@ -84,3 +84,13 @@ def test_empty_tables(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert bpe.encode(empty, P.path(bpe.VOCABULARY), P.PATTERN).collect() == []
     assert wordpiece.token_counts(empty, P.path(bpe.VOCABULARY)).collect() == []
+
+
+def test_any_pattern(spark):
+    """The quick form stands for one pattern only."""
+    ranks = bpe.read_ranks(P.path(bpe.VOCABULARY))
+    assert bpe.SLOW == P.PATTERN
+    coder = bpe.Coder(ranks, r"\p{N}{1,3}|[^\p{N}]+")
+    assert coder.split("abc 12345") == ["abc ", "123", "45"]
+    other = bpe.Coder(ranks, r"(a|b)+|[^ab]+")
+    assert other.split("abba cd") == ["abba", " cd"]  # groups don't matter
