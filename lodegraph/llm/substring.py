@@ -3,23 +3,25 @@
 A window is ``WINDOW`` words in a row. Each window has an anchor: of its runs of ANCHOR words the one with the least hash, the
 leftmost of equals. Equal windows have equal anchors, and windows that follow each other mostly share theirs, so the index holds
 one entry for each anchor: the anchor's hash ``h``, a fingerprint ``g`` of all the words that its windows span (its context), and
-where it stands. The entries of a batch are written once as a run: a table bucketed and sorted by ``h`` that never changes. A
-batch's run is merge-joined with all older runs, bucket by bucket:
+where it stands. The entries of a batch are written once as a run: a table bucketed and sorted by ``h`` that never changes. The
+batch's anchors are merge-joined with every older run as it lies, bucket by bucket, without a shuffle or sort of the run; only old
+entries that share an anchor with the batch come out, so what follows is in proportion to the batch:
 
 * An entry that isn't the first with its (h, g) is a whole context seen before: all its windows are repeats. h and g are hashed
   independently, so a match is verified by 128 bits.
 * The first entry of a context whose h has other contexts too may share single windows with those. Only such entries, new
   and old, are expanded from the texts into windows, which are compared by two independent 64-bit hashes.
 
-Windows are judged on the input; a word covered by a repeated window is removed. Order is (batch, key, place). After
-``FAN_IN`` runs the runs are compacted into one, which keeps only the first entry of every context.
+Windows are judged on the input; a word covered by a repeated window is removed. Order is (batch, key, place). Before a batch
+that finds ``FAN_IN`` runs, these are compacted into one, which keeps only the first entry of every context. Old texts are read
+again where they hold a context that must be expanded; batches without one aren't.
 
 Copies within one piece of input are known to be repeats before anything is shuffled; they spread over the buckets and only
 their first entry travels to the bucket of its anchor, so a group of copies doesn't gather in one task.
 
 Null texts have no words. Rows without a key come back whole and are never earlier than anything. Rows with the same key and
-text are judged alike (an equal start isn't an earlier one); with the same key and different texts, each by its own words. An
-empty batch gives an empty result.
+text are judged alike (an equal start isn't an earlier one); with the same key and different texts, each by its own words. Texts
+of any length are judged whole. An empty batch gives an empty result. Columns to keep that are named like a result give way to it.
 """
 
 from __future__ import annotations
@@ -39,7 +41,9 @@ from . import common as C
 WINDOW = 20
 ANCHOR = 6
 SPAN = WINDOW - ANCHOR + 1  # runs of ANCHOR words in a window
-FAN_IN = 2
+FAN_IN = 4
+#: Spark trusts the order of a bucketed table only if this is set; every bucket of a run is one sorted file.
+ORDERED = "spark.sql.legacy.bucketedTableScan.outputOrdering"
 
 
 def _leftmost_least(x: np.ndarray, span: int) -> np.ndarray:
@@ -233,6 +237,7 @@ class PassageIndex:
         self._made += 1
         sorted_run = df.repartition(self.buckets, "h").sortWithinPartitions("h", "g", "seq", "doc", "at")
         sorted_run.write.bucketBy(self.buckets, "h").sortBy("h").option("compression", "zstd").saveAsTable(name)
+        C.made_table(name)
         return name
 
     def _all(self) -> DataFrame:
@@ -246,6 +251,8 @@ class PassageIndex:
         """Index the batch; its rows with n_words, n_removed and kept, judged against all batches so far."""
         seq = len(self.texts)
         keep = tuple(dict.fromkeys((key, *keep)))
+        if len(self.runs) >= FAN_IN:
+            self.compact()
         old = self.runs
         new = self._write(entries(batch, key, text).withColumn("seq", F.lit(seq)))
         self.runs = [*old, new]
@@ -253,14 +260,14 @@ class PassageIndex:
 
         place = F.struct("seq", "doc", "at")
         of_h, of_g = Window.partitionBy("h"), Window.partitionBy("h", "g")
-        # Every run is bucketed and sorted by h; whether Spark keeps that through the union is up to it.
         merged = self._merged(old, new).withColumn("top", F.min(place).over(of_g)).withColumn("lo", F.min("g").over(of_h)).withColumn("hi", F.max("g").over(of_h)).withColumn("newest", F.max("seq").over(of_h))
         first = F.col("top") == place
         judged = merged.select("seq", "doc", "at", "g", (F.col("known") | ~first).alias("whole"), (~F.col("known") & first & (F.col("lo") < F.col("hi")) & (F.col("newest") == seq)).alias("open"))
-        judged = C.materialise(judged.where(f"open OR (whole AND seq = {seq})"), "passages")
+        judged = self._ordered(lambda: C.materialise(judged.where(f"open OR (whole AND seq = {seq})"), "passages"))
 
+        touched = {r.seq for r in judged.where("open").select("seq").distinct().collect()}  # at most one row for each batch
         wanted = judged.where("open").groupBy("seq", "doc").agg(F.collect_list(F.struct("at", "g")).alias("wanted"))
-        parts = [expand(t.join(wanted.where(F.col("seq") == i).drop("seq"), "doc").select("doc", "text", "seq", "wanted"), "doc") for i, t in enumerate(self.texts)]
+        parts = [expand(t.join(wanted.where(F.col("seq") == i).drop("seq"), "doc").select("doc", "text", "seq", "wanted"), "doc") for i, t in enumerate(self.texts) if i in touched or i == seq]
         windows = parts[0]
         for p in parts[1:]:
             windows = windows.unionByName(p)
@@ -268,15 +275,26 @@ class PassageIndex:
         tops = windows.groupBy("w", "v").agg(F.min(place).alias("top"), F.count(F.lit(1)).alias("n")).where("n > 1").select("w", "v", "top")
         single = windows.where(F.col("seq") == seq).join(tops, ["w", "v"]).where(F.col("top") != place).select("doc", "at", F.col("w").alias("f"), F.lit(False).alias("whole"))
         marks = judged.where("whole").select("doc", "at", F.col("g").alias("f"), "whole").unionByName(single).groupBy(F.col("doc").alias(key)).agg(F.collect_list(F.struct("at", "f", "whole")).alias("marks"))
-        out = removal(batch.select(*keep, text).join(marks, key, "left"), keep, text)
-        if len(self.runs) >= FAN_IN:
-            self.compact()
-        return out
+        return removal(batch.select(*keep, text).join(marks, key, "left"), keep, text)
+
+    def _ordered(self, work):
+        """Run the work while Spark trusts the order of runs."""
+        before = self.spark.conf.get(ORDERED)
+        self.spark.conf.set(ORDERED, "true")
+        try:
+            return work()
+        finally:
+            self.spark.conf.set(ORDERED, before)
+
+    def partners(self, old: str, new: str) -> DataFrame:
+        """The entries of an old run whose anchor the new one has too, by a merge join of the runs."""
+        anchors = self.spark.table(new).where("NOT known").groupBy("h").agg(F.count(F.lit(1)).alias("n")).select("h")
+        return self.spark.table(old).where("NOT known").join(anchors.hint("merge"), "h", "left_semi")
 
     def _merged(self, old: list[str], new: str) -> DataFrame:
         out = self.spark.table(new)
         for name in old:
-            out = out.unionByName(self.spark.table(name).where("NOT known"))
+            out = out.unionByName(self.partners(name, new))
         return out
 
     def compact(self) -> None:
