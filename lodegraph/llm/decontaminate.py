@@ -229,10 +229,13 @@ def matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: st
     kinds = C.materialise(found.select(*kind, "hs").dropDuplicates(kind), "decon-kinds")
 
     # 2. and 3. fingerprints, and the items within RADIUS
-    prints = fingerprints(kinds, kind).select(*kind, "pos", "f", F.explode(blocks(F.col("f"))).alias("key"))
-    of_items = fingerprints(items.select("item", "k", "m", F.size("hashes").alias("n"), F.col("hashes").alias("hs")), ["item", "k", "m"]).select("item", "k", "m", F.col("f").alias("g"))
-    listed = of_items.select("item", "k", "m", "g", F.explode(blocks(F.col("g"), True)).alias("key"))
-    close = prints.join(listed, ["k", "m", "key"]).where(near(F.col("f"), F.col("g")))
+    code = F.xxhash64("k", "m", "key").alias("code")  # a place of the index; pairs that meet by chance are too far apart
+    prints = fingerprints(kinds, kind).select(*kind, "pos", "f", F.explode(blocks(F.col("f"))).alias("key")).select(*kind, "pos", "f", code)
+    of_items = C.materialise(fingerprints(items.select("item", "k", "m", F.size("hashes").alias("n"), F.col("hashes").alias("hs")), ["item", "k", "m"]).select("item", "k", "m", F.col("f").alias("g")), "decon-prints")
+    listed = of_items.select("item", "k", "m", F.explode(blocks(F.col("g"), True)).alias("key")).select("item", code)
+    # the list has thousands of rows an item, which Spark can't know: it is shuffled, never broadcast
+    met = prints.join(listed.hint("merge"), "code").join(of_items, ["item", "k", "m"])
+    close = met.where(near(F.col("f"), F.col("g")))
     candidates = C.materialise(close.select(*kind, "pos", "item").distinct(), "decon-candidates")
 
     # 4. exact weighted similarity
