@@ -46,6 +46,7 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 EDGES = ".,;:!?()[]{}\"'|*#$%&<>"
 EDGE_BYTES = EDGES.encode()
 SHARED_BYTES = 16 << 20
+MEMO = 50_000  # words whose terms a task remembers; Python workers live on, and keep the memory
 PLACEHOLDER = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "term": "[TERM]"}
 
 
@@ -165,7 +166,7 @@ def row_counts(docs: DataFrame, key: str, text: str) -> DataFrame:
     C.bounded_batches(docs.sparkSession)
 
     def count(batches):
-        terms, bag = C.Memo(bare_term), Counter()
+        terms, bag = C.Memo(bare_term, MEMO), Counter()
 
         def rows():
             return pa.RecordBatch.from_arrays([pa.array(bag.keys(), pa.binary()), pa.array(bag.values(), pa.int64())], names=["word", "n"])
@@ -173,7 +174,7 @@ def row_counts(docs: DataFrame, key: str, text: str) -> DataFrame:
         for batch in C.chunks(batches, text):
             for t in C.as_bytes(batch, text):
                 bag.update(set(map(terms.__getitem__, set(t.split()))))
-            if len(bag) > C.CACHE_ENTRIES:
+            if len(bag) > 2 * MEMO:
                 bag.pop(None, None)
                 yield rows()
                 bag.clear()
@@ -245,7 +246,7 @@ def all_spans(docs: DataFrame, pairs: DataFrame, keep=("doc_id",), key: str = "d
         listed = pa.list_(pa.struct([("kind", pa.string()), ("a", pa.int32()), ("b", pa.int32())]))
         known = None if shared is None else frozenset(shared.value)
         words = None if known is None else frozenset(w.decode() for w in known)
-        is_known = C.Memo(lambda w: bare_term(w) in known)
+        is_known = C.Memo(lambda w: bare_term(w) in known, MEMO)
 
         def run(batch: pa.RecordBatch) -> dict[str, pa.Array]:
             base, every = [], []
