@@ -255,3 +255,32 @@ def test_sources_are_checked(spark):
     with pytest.raises(ValueError, match="optimizer"):
         Engine.from_dataframe(spark.createDataFrame(PEOPLE, "s string, p string, o string")).sparql("SELECT * { ?a <p> ?b }", optimizer="best")
     assert isinstance(Engine.from_mapping({"x": Mapping(spark.range(3).toDF("k"), ["k"])}).source, MappedSource)
+
+
+def test_keys_of_several_columns_stay_apart(spark):
+    t = spark.createDataFrame([("a|b", "c", 1), ("a", "b|c", 2), ("a", None, 3), (None, "a", 4), ("1:a", "", 5), ("", "1:a", 6)], "x string, y string, n int")
+    engine = Engine.from_mapping({"t": Mapping(t, ["x", "y"])})
+    assert len({s for s, _ in ask(engine, "?s <urn:p:n> ?n")}) == 6
+
+
+def test_keys_that_are_not_unique(spark):
+    """Rows that share a key are one subject with the triples of all, in a star too."""
+    t = spark.createDataFrame([(1, "a", 5), (1, "b", 6), (1, "b", 6), (2, "c", 7)], "k int, name string, n int")
+    mapped = Engine.from_mapping({"t": Mapping(t, ["k"])})
+    plain = Engine.from_dataframe(mapped.source.scan_all())
+    for where in ("?s <urn:p:name> ?a . ?s <urn:p:n> ?n", "?s <urn:p:name> ?a", "<urn:r:t/1> ?p ?o", '?s <urn:p:name> "b" . ?s <urn:p:n> ?n'):
+        assert ask(mapped, where) == ask(plain, where)
+    assert len(ask(mapped, "?s <urn:p:name> ?a . ?s <urn:p:n> ?n")) == 5
+
+
+def test_values_are_compared_in_their_columns(shop, spark):
+    """What typed columns answer, terms answer too."""
+    plain = Engine.from_dataframe(shop.source.scan_all())
+    row = "?x <urn:p:k> ?k . ?x <urn:p:name> ?n . ?x <urn:p:price> ?p"
+    for test in ("?p > 0", "?p <= 1.5", "?p = 1.5e0", "?k != 1", "?k < 2.5", '?n >= "x"', '?n = "x"', '?n < 3', "?k = ?p", "?p < ?k", "?x = <urn:r:a/1>", "?x != <urn:r:a/1>", "?x != <other>", "?nowhere != 1", 'REGEX(?n, "^X", "i")', '?k = "1"'):
+        where = f"{row} FILTER({test})" if not test.startswith("REGEX") else f"{row} FILTER {test}"
+        assert ask(shop, where) == ask(plain, where), test
+    for where in ("?x <urn:p:k> ?k OPTIONAL { ?x <urn:p:price> ?p }", "{ ?x <urn:p:k> ?v } UNION { ?x <urn:p:name> ?v }", "?x <urn:p:k> ?k OPTIONAL { ?x <urn:p:b> ?y } { ?y <urn:p:name> ?n }", "?x <urn:p:price> ?p . ?z <urn:p:price> ?p"):
+        assert ask(shop, where) == ask(plain, where), where
+    plan = shop.sparql(f"SELECT ?x {{ {row} FILTER(?k > 1) }}")._jdf.queryExecution().optimizedPlan().toString()
+    assert "> 1" in plan and "regexp" not in plan
