@@ -313,8 +313,8 @@ def verified(pairs: DataFrame, sets: DataFrame, plan: Plan) -> DataFrame:
 
 def shared_lists(posted: DataFrame) -> DataFrame:
     """The entries of lists with two sets or more; entries without a list are kept, and dealt out by their sets."""
-    of_list = Window.partitionBy("list_key", F.when(F.col("list_key").isNull(), F.col("set_id")))
-    ends = posted.withColumn("lo", F.min("set_id").over(of_list)).withColumn("hi", F.max("set_id").over(of_list))
+    of_list = Window.partitionBy("list_key", "alone")  # a column, so that both bounds come from one shuffle
+    ends = posted.withColumn("alone", F.when(F.col("list_key").isNull(), F.col("set_id"))).withColumn("lo", F.min("set_id").over(of_list)).withColumn("hi", F.max("set_id").over(of_list))
     return ends.where("list_key IS NULL OR lo < hi").select("list_key", "set_id")
 
 
