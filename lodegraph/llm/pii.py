@@ -223,9 +223,24 @@ def places(text: str, wanted, spans: list[tuple[str, int, int]], least: int = 3)
     return out
 
 
-def all_spans(docs: DataFrame, pairs: DataFrame, keep=("doc_id",), key: str = "doc_id", text: str = "text", shared_bytes: int = SHARED_BYTES) -> DataFrame:
+def replaced(text: str | None, spans: list[dict]) -> str | None:
+    """The text with each span's kind's placeholder instead; of spans that overlap, what the first hasn't covered goes too."""
+    if not text or not spans:
+        return text
+    pieces, at = [], 0
+    for s in sorted(spans, key=lambda s: (s["a"], -s["b"])):
+        if s["b"] <= at:
+            continue
+        pieces += [text[at : s["a"]] if s["a"] >= at else "", PLACEHOLDER[s["kind"]] if s["a"] >= at else ""]
+        at = s["b"]
+    return "".join(pieces) + text[at:]
+
+
+def all_spans(docs: DataFrame, pairs: DataFrame, keep=("doc_id",), key: str = "doc_id", text: str = "text", shared_bytes: int = SHARED_BYTES, with_text: bool = False) -> DataFrame:
     """``keep`` columns, spans (the base spans) and all_spans (these, then the disclosing terms of ``pairs`` wherever they stand).
 
+    ``with_text`` adds sanitised, the text with all of them replaced, in the same pass (what ``sanitise`` gives).
+
     If all terms have at most ``shared_bytes`` bytes, every task is given them and texts are read once; otherwise each text is
     first joined with the terms that it holds. Both give the same spans.
     """
@@ -260,29 +275,22 @@ def all_spans(docs: DataFrame, pairs: DataFrame, keep=("doc_id",), key: str = "d
                 more = [("term", a, b) for a, b in places(t, mine, found)] if mine else []
                 base.append([{"kind": k, "a": a, "b": b} for k, a, b in found])
                 every.append(base[-1] + [{"kind": k, "a": a, "b": b} for k, a, b in more])
-            return {"spans": pa.array(base, listed), "all_spans": pa.array(every, listed)}
+            clean = {"sanitised": pa.array(map(replaced, C.column(batch, text).to_pylist(), every), pa.string())} if with_text else {}
+            return {"spans": pa.array(base, listed), "all_spans": pa.array(every, listed)} | clean
 
         return run
 
     kind = "array<struct<kind:string,a:int,b:int>>"
-    return C.map_texts(docs, make, f"spans {kind}, all_spans {kind}", keep, text, ("wanted",) if joined else ())
+    fields = f"spans {kind}, all_spans {kind}" + ", sanitised string" * with_text
+    return C.map_texts(docs, make, fields, keep, text, ("wanted",) if joined else ())
 
 
 def sanitise(df: DataFrame, spans: str = "all_spans", text: str = "text") -> DataFrame:
-    """Replace each span of ``text`` by its kind's placeholder; of spans that overlap, what the first hasn't covered goes too."""
+    """Replace each span of ``text`` (see ``replaced``)."""
+
     def run(batches):
         for batch in C.chunks(batches, text):
-            out = []
-            for t, found in zip(C.column(batch, text).to_pylist(), C.column(batch, spans).to_pylist()):
-                if t and found:
-                    pieces, at = [], 0
-                    for s in sorted(found, key=lambda s: (s["a"], -s["b"])):
-                        if s["b"] <= at:
-                            continue
-                        pieces += [t[at : s["a"]] if s["a"] >= at else "", PLACEHOLDER[s["kind"]] if s["a"] >= at else ""]
-                        at = s["b"]
-                    t = "".join(pieces) + t[at:]
-                out.append(t)
+            out = list(map(replaced, C.column(batch, text).to_pylist(), C.column(batch, spans).to_pylist()))
             at = batch.schema.get_field_index(text)
             yield batch.set_column(at, text, pa.array(out, pa.string())).drop_columns([spans])
 

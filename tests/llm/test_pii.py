@@ -152,6 +152,8 @@ def test_sanitised_texts(spark):
     df = frame(spark, rows)
     spans = pii.all_spans(df, pii.disclosing(pii.find(df).cache(), df), ("doc_id", "text"))
     got = by_id(pii.sanitise(spans), "text")
+    once = pii.all_spans(df, pii.disclosing(pii.find(df).cache(), df), ("doc_id",), with_text=True)
+    assert by_id(once, "sanitised") == got and pii.sanitise(spans).columns == ["doc_id", "text", "spans"]
     assert got[302] == {("call [PHONE] or [CARD], [IP]",)}
     ((text,),) = got[100]
     assert "[EMAIL]" in text and "[TERM]" in text and "Zaphod" not in text
