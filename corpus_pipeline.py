@@ -76,8 +76,9 @@ def no_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """
     keyed = packed(docs)
     found = common.materialise(pii.find(keyed, (pii.KEY,)), "stage-pii")
-    spans = pii.all_spans(keyed, pii.disclosing(found, keyed, pii.KEY), ("row_of_input", "text"), pii.KEY)
-    return unpacked(pii.sanitise(spans.drop("spans")), docs, n_chars=F.length("text").cast("long"))
+    # one pass, so one Python worker for each task: workers live on, and what a later stage loads is loaded by each of them
+    clean = pii.all_spans(keyed, pii.disclosing(found, keyed, pii.KEY), ("row_of_input",), pii.KEY, with_text=True)
+    return unpacked(clean.select("row_of_input", F.col("sanitised").alias("text")), docs, n_chars=F.length("text").cast("long"))
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
