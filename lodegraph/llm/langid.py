@@ -26,11 +26,17 @@ from pyspark.sql.types import StructType
 from . import common as C
 
 #: Characters that count as parts of words for ``re`` but are numbers, such as the half sign or a raised two.
-NUMBERS = "".join(c for c in map(chr, range(0x110000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
-WORD = re.compile(rf"[^\W\d_{NUMBERS}]+")
+NUMBER = re.compile("[" + "".join(c for c in map(chr, range(0x110000)) if c.isalnum() and not c.isalpha() and not c.isdecimal()) + "]")
+WORD = re.compile(r"[^\W\d_]+")
 SIZES = (5, 4, 3, 2, 1)
 
 
+def words_of(text: str) -> list[str]:
+    """Runs of letters, in lower case."""
+    text = text.lower()
+    return WORD.findall(text if text.isascii() else NUMBER.sub(" ", text))
+
+
 def grams(word: str, n: int) -> list[str]:
     padded = f" {word} "
     return [padded[i : i + n] for i in range(len(padded) - n + 1)]
@@ -63,7 +69,7 @@ class Model:
         return i
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        words = WORD.findall((text or "").lower())
+        words = words_of(text or "")
         if not words or not self.langs:
             return "und", 0.0
         if len(self.rows) + len(words) > C.CACHE_ENTRIES:
@@ -89,7 +95,7 @@ def learn(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: st
             words: dict[str, Counter] = {}
             docs: Counter = Counter()
             for t, label in zip(C.column(batch, text).to_pylist(), C.column(batch, lang).to_pylist()):
-                words.setdefault(label, Counter()).update(WORD.findall(t.lower()))
+                words.setdefault(label, Counter()).update(words_of(t))
                 docs[label] += 1
             rows = [("doc", "", label, n) for label, n in docs.items()]
             for label, bag in words.items():
