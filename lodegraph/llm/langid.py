@@ -33,8 +33,10 @@ SIZES = (5, 4, 3, 2, 1)
 
 def words_of(text: str) -> list[str]:
     """Runs of letters, in lower case."""
-    text = text.lower()
-    return WORD.findall(text if text.isascii() else NUMBER.sub(" ", text))
+    words = WORD.findall(text.lower())
+    if "".join(words).isalpha():
+        return words
+    return [part for w in words for part in ([w] if w.isalpha() else NUMBER.sub(" ", w).split())]
 
 
 def grams(word: str, n: int) -> list[str]:
