@@ -1,0 +1,24 @@
+"""Lines that are cut at their spaces say what the grammar says, and a load shuffles its triples once."""
+
+from pyspark.sql import functions as F
+
+from lodegraph.functions import terms as T
+from lodegraph.sources import Store
+from lodegraph.sources import ntriples as N
+
+LINES = ['<s> <p> <o> .', '<s> <p> "a b . c" .', '<s> <p> "" .', f'<s> <p> "1"^^<{T.XSD}integer> .', f'<s> <p> "x"^^<{T.XSD}string> .', '<s> <p> "x"@EN .', '<s x> <p> <o> .', '<s> <p> "q\\"q" .', '<s\\u0041> <p> <o> .', '_:b <p> <o> .', '<s>  <p> <o> .', '<s> <p> <o>.', '<s> <p> "é😀" .', '<> <> <> .', '<s> <p> "tab\there" . # note', '', ' # no triple']
+
+
+def test_plain_lines_are_the_grammars(spark):
+    df = spark.createDataFrame([(x,) for x in LINES], "value string")
+    line = F.col("value")
+    slow = df.where(~line.rlike(N.BLANK_LINE)).select(*(T.canonical(F.regexp_extract(line, N.LINE, i)).alias(c) for i, c in enumerate("spo", 1)))
+    assert sorted(map(tuple, N.parse_lines(df).collect())) == sorted(map(tuple, slow.collect()))
+    assert [r.value for r in df.where(line.rlike(N.PLAIN)).collect()] == [LINES[i] for i in (0, 1, 2, 3, 12, 13)]
+
+
+def test_a_load_shuffles_triples_once(spark, tmp_path):
+    rows = [(f"<s{i % 50}>", f"<p{i % 3}>", f"<o{i % 7}>") for i in range(3000)]
+    store = Store.load(spark, spark.createDataFrame(rows, "s string, p string, o string"), f"{tmp_path}/store", rows_per_part=40)
+    assert sorted(map(tuple, store.scan_all().collect())) == sorted(set(rows))
+    assert {(r.iri, r.n_triples) for r in store.predicates().collect()} == {(p, len({t for t in rows if t[1] == p})) for p in ("<p0>", "<p1>", "<p2>")}
