@@ -53,3 +53,13 @@ def test_rows_that_share_a_key_are_stored_as_triples(spark, tmp_path):
     t = spark.createDataFrame([(1, "a"), (1, "b"), (1, "b")], "k int, name string")
     store = Store.load(spark, MappedSource({"t": Mapping(t, ["k"])}), f"{tmp_path}/store", "full")
     assert store._exists("triples") and store.scan("<urn:p:name>").count() == 2 and store.scan_all().count() == 4
+
+
+def test_a_digest_is_stored_only_where_the_key_is_not(spark, tmp_path):
+    t = spark.createDataFrame([(1, "a", [1]), (1, "b", [1]), (2, None, [2])], "k int, name string, list array<int>")
+    whole = Store.load(spark, MappedSource({"t": Mapping(t, ["k", "name"], unique=True)}), f"{tmp_path}/whole")
+    part = Store.load(spark, MappedSource({"t": Mapping(t, ["k", "name", "list"], unique=True)}), f"{tmp_path}/part")
+    assert spark.read.parquet(f"{whole.root}/tables/0").columns == ["k", "name"]  # its digest is made of these on reading
+    assert spark.read.parquet(f"{part.root}/tables/0").columns == ["k", "name", "digest"]  # lists aren't stored
+    for store, key in ((whole, ["k", "name"]), (part, ["k", "name", "list"])):
+        assert bag(Store(spark, store.root).scan_all()) == bag(MappedSource({"t": Mapping(t, key, unique=True)}).scan_all())
