@@ -5,6 +5,7 @@ A *word* is a maximal run of bytes other than space and \\t \\n \\v \\f \\r, whi
 
 from __future__ import annotations
 
+import time
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 CHUNK_BYTES = 2 << 20
 CHUNK_ROWS = 1000
 CACHE_ENTRIES = 300_000
+RELEASE_AFTER = 0.5  # seconds that a write took whose shuffles are worth removing at once
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -45,7 +47,14 @@ def materialise(df: DataFrame, tag: str, compression: str = "snappy") -> DataFra
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lodegraph-{tag}-{uuid.uuid4().hex}"
     _made["paths"].append(path)
+    begun = time.monotonic()
     df.write.option("compression", compression).parquet(path)
+    if time.monotonic() - begun >= RELEASE_AFTER:
+        # shuffles that nothing refers to any more lie on the executors' disks until the driver collects garbage, which may be never;
+        # Spark itself refers to its last job, and events that still wait for listeners do
+        spark.range(1).collect()
+        spark._jsc.sc().listenerBus().waitUntilEmpty()
+        spark._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
