@@ -63,3 +63,23 @@ def test_a_digest_is_stored_only_where_the_key_is_not(spark, tmp_path):
     assert spark.read.parquet(f"{part.root}/tables/0").columns == ["k", "name", "digest"]  # lists aren't stored
     for store, key in ((whole, ["k", "name"]), (part, ["k", "name", "list"])):
         assert bag(Store(spark, store.root).scan_all()) == bag(MappedSource({"t": Mapping(t, key, unique=True)}).scan_all())
+
+
+def test_shuffles_of_a_load_are_removed_with_their_jobs(spark, source, tmp_path):
+    """What counting and placing shuffled doesn't lie on disk beside the store while a query on it shuffles."""
+    kept, cleanup = spark._jsc.sc().env().mapOutputTracker().shuffleStatuses(), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+    def ids():
+        found, numbers = kept.keysIterator(), set()
+        while found.hasNext():
+            numbers.add(found.next())
+        return numbers
+
+    held = source.scan_all().repartition(3).cache()
+    assert held.count()
+    before = ids()
+    Store.load(spark, source, f"{tmp_path}/tables", "full")
+    Store.load(spark, held, f"{tmp_path}/triples", "full")
+    assert ids() <= before and spark.conf.get(cleanup, None) is None
+    assert bag(held) == bag(Store(spark, f"{tmp_path}/triples").scan_all())  # a kept table still has its own
+    held.unpersist()
