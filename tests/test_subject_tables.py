@@ -83,3 +83,39 @@ def test_shuffles_of_a_load_are_removed_with_their_jobs(spark, source, tmp_path)
     assert ids() <= before and spark.conf.get(cleanup, None) is None
     assert bag(held) == bag(Store(spark, f"{tmp_path}/triples").scan_all())  # a kept table still has its own
     held.unpersist()
+
+
+def test_patterns_about_one_subject_are_one_scan_of_its_table(spark, source, tmp_path):
+    """Planned apart, as on a store of triples, but a table isn't shuffled to be joined with itself."""
+    tables, triples = Store.load(spark, source, f"{tmp_path}/tables", "full"), Store.load(spark, source.scan_all(), f"{tmp_path}/triples", "full")
+    near = "?s <urn:p:b> ?b . ?b <urn:p:title> ?t . ?s <urn:p:x> ?x . ?b <urn:p:near> ?n . ?n <urn:p:due> ?d . ?s <urn:p:k> ?k"
+    for where, scans in ((near, 3), ("?s <urn:p:b> ?b . ?s <urn:p:b> ?b . ?s <urn:p:b.value> ?v", 1), ("?s <urn:p:x> ?x . ?s <urn:p:near> ?n", 0), ("?s <urn:p:b> ?b . ?s ?p ?b", None), ("?s <urn:p:b> ?b . ?s <urn:p:k> 4 . ?r <urn:p:b> ?b . ?r <urn:p:at> ?at", 3)):
+        for level in ("none", "cost"):
+            text = f"SELECT * WHERE {{ {where} }}"
+            found = Engine(tables).sparql(text, level)
+            assert bag(found) == bag(Engine(triples).sparql(text, level)), (where, level)
+            if scans is not None and level == "none":
+                assert found._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == scans, (where, level)
+
+
+def test_scans_are_read_together_only_where_no_product_comes_of_it():
+    from lodegraph.plans import planner as P
+    from lodegraph.plans.syntax import Term, Triple, Var
+
+    def scan(s, o):
+        return P.Scan(P.Unit((Triple(Var(s), Term(f"<{s}{o}>"), Var(o)),)))
+
+    def same(a, b):
+        return a.triples[0].s == b.triples[0].s
+
+    sx, sy, bs, yc = scan("s", "x"), scan("s", "y"), scan("b", "s"), scan("y", "c")
+    chain = P.as_written([bs.unit, sx.unit, yc.unit, sy.unit])
+    both = P.Scan(P.Unit(sx.unit.triples + sy.unit.triples))
+    assert P.read_together(chain, same) == P.Joined(P.Joined(bs, both), yc)  # y comes with the scan, so it is a product no more
+    assert P.read_together(P.Star((sx, sy, bs), ("s",)), same) == P.Joined(both, bs)
+    assert P.read_together(P.Star((sx, bs, sy, yc), ("s",)), same).parts == (both, bs, yc)
+    ax = scan("a", "x")
+    bushy = P.Joined(P.Joined(ax, sx), P.Joined(P.Joined(bs, sy), yc))
+    assert P.read_together(bushy, same) == bushy  # without sy, bs and yc have nothing in common
+    small = P.Joined(sx, sy, "broadcast")
+    assert P.read_together(P.Joined(small, scan("s", "z")), same) == P.Joined(small, scan("s", "z"))
