@@ -46,3 +46,21 @@ def test_statistics_shuffle_no_number_by_itself(spark):
     for kind in ("coarse", "full"):
         plan = source.counted(kind, 3)._jdf.queryExecution().optimizedPlan().toString()
         assert "MapInArrow" in plan and "Aggregate [g" not in plan
+
+
+def test_hundredths_are_exact_and_short():
+    some = np.random.default_rng(4)
+    money = np.round(some.uniform(-1000, 100_000, 300_000), 2)
+    odd = np.array([0.0, -0.0, np.nan, np.inf, -np.inf, 0.1 + 0.2, 1 / 3, 1e300, -1e-300, 2.0**53, 2.0**60, 0.07, -0.07])
+    bits = np.concatenate([money, odd]).view(np.int64)
+    held, numbers = packed._hundredths(bits)
+    assert ((numbers / 100).view(np.int64) == bits[held]).all() and held[: len(money)].all()
+    assert held[len(money) :].tolist() == [True, *[False] * 8, False, False, True, True]
+    run = packed._packer([3], ["double"])
+
+    def size(x):
+        import pyarrow as pa
+
+        return sum(len(b) for batch in run(iter([pa.RecordBatch.from_arrays([pa.array(x)], names=["x"])])) for b in batch.column("block").to_pylist())
+
+    assert size(money) < len(money) * 1.5 < size(money + 1 / 3) / 2

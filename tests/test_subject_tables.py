@@ -119,3 +119,12 @@ def test_scans_are_read_together_only_where_no_product_comes_of_it():
     assert P.read_together(bushy, same) == bushy  # without sy, bs and yc have nothing in common
     small = P.Joined(sx, sy, "broadcast")
     assert P.read_together(P.Joined(small, scan("s", "z")), same) == P.Joined(small, scan("s", "z"))
+
+
+def test_whole_numbers_of_a_store_are_short(spark, tmp_path):
+    n = 150_000
+    t = spark.range(n).selectExpr("id * 7 AS k", "CAST(xxhash64(id) & 262143 AS INT) AS i", "CAST(id % 3 AS STRING) AS name", "IF(id % 7 = 0, NULL, id * 31) AS some").orderBy("i").coalesce(1)
+    store = Store.load(spark, MappedSource({"t": Mapping(t, ["k"], unique=True)}), f"{tmp_path}/store")
+    files = [f.getLen() for f in store._fs().listStatus(store._path("tables/0"))]
+    assert sum(files) < 7 * n
+    assert store._mapped().tables["t"].table.exceptAll(t).isEmpty() and store._mapped().tables["t"].table.count() == n
