@@ -158,4 +158,7 @@ def counted(tables: list[tuple[DataFrame, list[tuple[Column, str, list[int]]]]])
             kinds.append(kind)
         cells = [c.cast(kind).alias(f"c{i}") for i, (c, kind, _) in enumerate(columns)]
         frames.append(rows.select(*cells).mapInArrow(_packer(members, [kind for _, kind, _ in columns]), StructType.fromDDL(BLOCKS)))
-    return reduce(DataFrame.unionByName, frames).groupBy("bucket").applyInArrow(_merger(groups, kinds), StructType.fromDDL(COUNTED))
+    blocks = reduce(DataFrame.unionByName, frames)
+    # as many tasks as asked for, which Spark doesn't put together: a block's bytes don't show how many values are made of it
+    tasks = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return blocks.repartition(min(tasks, 1 << BUCKETS_BITS), "bucket").groupBy("bucket").applyInArrow(_merger(groups, kinds), StructType.fromDDL(COUNTED))

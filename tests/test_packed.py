@@ -64,3 +64,10 @@ def test_hundredths_are_exact_and_short():
         return sum(len(b) for batch in run(iter([pa.RecordBatch.from_arrays([pa.array(x)], names=["x"])])) for b in batch.column("block").to_pylist())
 
     assert size(money) < len(money) * 1.5 < size(money + 1 / 3) / 2
+
+
+def test_short_blocks_are_not_put_into_few_tasks(spark):
+    """Else a task sorts so many values that it spills."""
+    t = spark.range(2000).select(F.col("id").alias("k"))
+    found = packed.counted([(t, [(F.col("k"), "bigint", [1])])])
+    assert found.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions")) and found.count() == 2000
