@@ -202,6 +202,7 @@ def encode(df: DataFrame, path: str, pattern: str, keep=("doc_id",), text: str =
 
     def make():
         c = coder(path, pattern)
+        C.keep_until_other("bpe", coder.cache_clear)
 
         def run(batch: pa.RecordBatch) -> dict[str, pa.Array]:
             texts = [t or "" for t in C.column(batch, text).to_pylist()]

@@ -5,6 +5,8 @@ A *word* is a maximal run of bytes other than space and \\t \\n \\v \\f \\r, whi
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import time
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -20,6 +22,7 @@ CHUNK_BYTES = 2 << 20
 CHUNK_ROWS = 1000
 CACHE_ENTRIES = 300_000
 RELEASE_AFTER = 0.5  # seconds that a write took whose shuffles are worth removing at once
+COLLECT_AFTER = 3  # seconds that a write took after which executors' heaps are worth shrinking
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -49,7 +52,10 @@ def materialise(df: DataFrame, tag: str, compression: str = "snappy") -> DataFra
     _made["paths"].append(path)
     begun = time.monotonic()
     df.write.option("compression", compression).parquet(path)
-    if time.monotonic() - begun >= RELEASE_AFTER:
+    took = time.monotonic() - begun
+    if took >= COLLECT_AFTER:
+        shrink_heaps(spark)
+    if took >= RELEASE_AFTER:
         # shuffles that nothing refers to any more lie on the executors' disks until the driver collects garbage, which may be never;
         # Spark itself refers to its last job, and events that still wait for listeners do
         spark.range(1).collect()
@@ -58,6 +64,39 @@ def materialise(df: DataFrame, tag: str, compression: str = "snappy") -> DataFra
     return spark.read.schema(df.schema).parquet(path)
 
 
+def shrink_heaps(spark: SparkSession) -> int:
+    """Have each executor collect all its garbage, and return how many were asked.
+
+    A JVM's heap grows while a job runs and gives memory back only then; otherwise the needs of all jobs so far add up, beside the Python workers.
+    """
+    executors = spark._jsc.sc().getExecutorMemoryStatus().size() - 1  # one is the driver
+    if executors > 0:
+        spark.range(0, executors, 1, executors).select(F.expr("java_method('java.lang.System', 'gc')")).collect()  # a row for each executor
+    return executors
+
+
+_worker: dict = {"operator": None, "drops": {}}
+
+
+def keep_until_other(name: str, drop: Callable[[], None]) -> None:
+    """``drop`` frees what an operator keeps in this Python worker from task to task; it is called once a task of another one begins."""
+    _worker["drops"][name] = drop
+
+
+def take_over(operator: str) -> None:
+    """Free what tasks of other operators have left in this Python worker, which lives on from stage to stage."""
+    if _worker["operator"] == operator:
+        return
+    _worker["operator"] = operator
+    while _worker["drops"]:
+        _worker["drops"].popitem()[1]()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's
+    if trim is not None:
+        trim(0)
+
+
 def made_table(name: str) -> None:
     _made["tables"].append(name)
 
@@ -234,7 +273,10 @@ def map_texts(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict[
     need = list(dict.fromkeys([*kept, text, *also]))
     schema = StructType([*(df.schema[c] for c in kept), *new.fields])
 
+    operator = make.__module__
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_over(operator)
         function = make()
         for batch in chunks(batches, text):
             out = function(batch)
