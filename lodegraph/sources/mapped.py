@@ -183,11 +183,24 @@ class MappedSource(Source):
         triples = self.scan_all() if predicates is None else self._union([self.scan(p).select("s", F.lit(p).alias("p"), "o") for p in sorted(predicates)], TRIPLES)
         return (coarse if kind == "coarse" else full)(triples, k)
 
+    def is_apart(self) -> bool:
+        """Whether rows of two tables, or two columns of a row, never make the same triple."""
+        names = [*self.tables, *(r for m in self.tables.values() for r in m.references.values())]
+        return not any("/" in n for n in names) and all(len({a.table for a in found}) == len(found) for found in self.access.values())
+
     def is_set(self) -> bool:
         """Whether every row is a subject of its own, with one object at most for each predicate: then no triple is repeated."""
-        names = [*self.tables, *(r for m in self.tables.values() for r in m.references.values())]
-        apart = not any("/" in n for n in names) and all(len({a.table for a in found}) == len(found) for found in self.access.values())
-        return apart and all(m.is_unique() for m in self.tables.values())
+        return self.is_apart() and all(m.is_unique() for m in self.tables.values())
+
+    def plus(self, other: MappedSource) -> MappedSource:
+        """The rows of both; tables of one name are alike, and may have the same rows."""
+        tables = self.tables | other.tables
+        for name in self.tables.keys() & other.tables.keys():
+            a, b = self.tables[name], other.tables[name]
+            if (list(a.key), a.references, set(a.hidden), a.table.dtypes) != (list(b.key), b.references, set(b.hidden), b.table.dtypes):
+                raise ValueError(f"the two tables {name} differ in columns, key or references")
+            tables[name] = Mapping(a.table.unionByName(b.table), a.key, a.references, False, a.hidden)
+        return MappedSource(tables)
 
     def scan_all(self) -> DataFrame:
         return self._union([self._rows_of(t) for t in self.tables], TRIPLES)
