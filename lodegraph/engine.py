@@ -36,7 +36,7 @@ class Engine:
     @classmethod
     def from_ntriples(cls, spark: SparkSession, path: str, dedup: bool = True, mode: str = "fail") -> Engine:
         """Query N-Triples files directly, without loading them."""
-        return cls(DataFrameSource(read_ntriples(spark, path, mode), dedup))
+        return cls(DataFrameSource(read_ntriples(spark, path, mode), dedup, keep=True))
 
     @classmethod
     def from_dataframe(cls, triples: DataFrame, dedup: bool = True) -> Engine:

@@ -83,10 +83,14 @@ class Source:
 
 
 class DataFrameSource(Source):
-    """Triples of a DataFrame (s, p, o). A graph is a set: ``dedup`` drops repeats."""
+    """Triples of a DataFrame (s, p, o). A graph is a set: ``dedup`` drops repeats.
 
-    def __init__(self, triples: DataFrame, dedup: bool = True):
-        self.spark = triples.sparkSession
+    ``keep``: the triples take long to read, so those of a pattern's predicates are read once, for all its parts, and kept by Spark.
+    """
+
+    def __init__(self, triples: DataFrame, dedup: bool = True, keep: bool = False):
+        self.spark, self._keep = triples.sparkSession, keep
+        self._kept: dict[frozenset[str], DataFrameSource] = {}
         triples = triples.select("s", "p", "o").where("s IS NOT NULL AND p IS NOT NULL AND o IS NOT NULL")
         self.triples = triples.dropDuplicates() if dedup else triples
         self._raw, self._dedup = triples, dedup
@@ -99,6 +103,17 @@ class DataFrameSource(Source):
     def scan_all(self) -> DataFrame:
         return self.triples
 
+    def reader(self, units: Sequence[Unit]) -> tuple[Callable[[Unit], DataFrame], dict[str, Form]]:
+        read = [t.p for u in units for t in u.triples]
+        if not self._keep or len(read) < 2 or not all(isinstance(p, Term) for p in read):
+            return super().reader(units)
+        names = frozenset(p.text for p in read)
+        found = next((kept for known, kept in self._kept.items() if names <= known), None)
+        if found is None:
+            rows = self._raw.where(F.col("p").isin(*names))
+            found = self._kept[names] = DataFrameSource((rows.dropDuplicates() if self._dedup else rows).persist(), dedup=False)
+        return found.reader(units)
+
     def cache(self) -> DataFrameSource:
         """Keep the triples for several queries."""
         kept = DataFrameSource(self.triples.cache(), dedup=False)

@@ -11,7 +11,7 @@ values of their columns (``functions.values``) where all their occurrences in a
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -192,6 +192,14 @@ class MappedSource(Source):
         """Whether every row is a subject of its own, with one object at most for each predicate: then no triple is repeated."""
         return self.is_apart() and all(m.is_unique() for m in self.tables.values())
 
+    def dealt(self, size: int = 1 << 20) -> MappedSource:
+        """The same rows in as many parts as tables have ``size`` bytes, for work that takes long for each row: files are read in few."""
+        tables = {}
+        for name, m in self.tables.items():
+            n = -(-int(m.table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) // size)
+            tables[name] = replace(m, table=m.table.repartition(n)) if 1 < n < 1 << 20 else m
+        return MappedSource(tables)
+
     def plus(self, other: MappedSource) -> MappedSource:
         """The rows of both; tables of one name are alike, and may have the same rows."""
         tables = self.tables | other.tables

@@ -2,8 +2,9 @@
 
 from pyspark.sql import functions as F
 
+from lodegraph.engine import Engine
 from lodegraph.functions import terms as T
-from lodegraph.sources import Store
+from lodegraph.sources import MappedSource, Mapping, Store
 from lodegraph.sources import ntriples as N
 
 LINES = ['<s> <p> <o> .', '<s> <p> "a b . c" .', '<s> <p> "" .', f'<s> <p> "1"^^<{T.XSD}integer> .', f'<s> <p> "x"^^<{T.XSD}string> .', '<s> <p> "x"@EN .', '<s x> <p> <o> .', '<s> <p> "q\\"q" .', '<s\\u0041> <p> <o> .', '_:b <p> <o> .', '<s>  <p> <o> .', '<s> <p> <o>.', '<s> <p> "é😀" .', '<> <> <> .', '<s> <p> "tab\there" . # note', '', ' # no triple']
@@ -17,6 +18,41 @@ def test_plain_lines_are_the_grammars(spark):
     assert [r.value for r in df.where(line.rlike(N.PLAIN)).collect()] == [LINES[i] for i in (0, 1, 2, 3, 12, 13)]
 
 
+ODD = ['<s> <p> "a"^^<t> . # <x> .', '<s> <p> "a" . # "b" .', '<s> <p> <o> . # c .', '<s>\t<p> <o> .', '<s> <p> "a b"^^<t> .', '<s> <p> "\t" .', '<s\tx> <p> <o> .', '<s> <p> "a\rb" .', '<s> <p> _:b .', '\t<s> <p> <o> .']
+
+
+def test_lines_that_are_nearly_plain_go_by_the_grammar(spark):
+    df = spark.createDataFrame([(x,) for x in ODD], "value string")
+    slow = df.select(*(T.canonical(F.regexp_extract("value", N.LINE, i)).alias(c) for i, c in enumerate("spo", 1)))
+    assert sorted(map(tuple, N.parse_lines(df).collect())) == sorted(map(tuple, slow.collect()))
+
+
+def test_a_line_is_cut_once_whatever_is_asked_of_its_terms(spark):
+    df = spark.createDataFrame([(x,) for x in LINES], "value string")
+    found = N.parse_lines(df).where("s IS NOT NULL AND p IS NOT NULL AND o IS NOT NULL").where("p = '<p>'")
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("(?>") == N.parse_lines(df)._jdf.queryExecution().optimizedPlan().toString().count("(?>")
+
+
+def test_text_is_read_once_for_all_patterns(spark, tmp_path):
+    (tmp_path / "a.nt").write_text("".join(f"<s{i % 20}> <p{i % 3}> <o{i % 5}> .\n" for i in range(200)))
+    engine = Engine.from_ntriples(spark, str(tmp_path / "a.nt"))
+    text = "SELECT ?s ?a ?b WHERE { ?s <p0> ?a . ?s <p1> ?b }"
+    found = engine.sparql(text)
+    plain = Engine.from_dataframe(N.read_ntriples(spark, str(tmp_path / "a.nt"))).sparql(text)
+    assert found.count() == plain.count() > 0 and sorted(map(tuple, found.collect())) == sorted(map(tuple, plain.collect()))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("InMemoryRelation") == 2 and len(engine.source._kept) == 1
+    spark.catalog.clearCache()
+
+
+def test_rows_are_dealt_out(spark, tmp_path):
+    spark.range(0, 3000, 1, 1).write.parquet(f"{tmp_path}/t")
+    source = MappedSource({"t": Mapping(spark.read.parquet(f"{tmp_path}/t"), ["id"], unique=True)})
+    dealt = source.dealt(4000)
+    assert source.scan_all().rdd.getNumPartitions() == 1 < dealt.scan_all().rdd.getNumPartitions()
+    assert sorted(map(tuple, dealt.scan_all().collect())) == sorted(map(tuple, source.scan_all().collect()))
+
+
 def test_a_load_shuffles_triples_once(spark, tmp_path):
     rows = [(f"<s{i % 50}>", f"<p{i % 3}>", f"<o{i % 7}>") for i in range(3000)]
     store = Store.load(spark, spark.createDataFrame(rows, "s string, p string, o string"), f"{tmp_path}/store", rows_per_part=40)
